@@ -185,7 +185,5 @@ def document_languages(documents: DataFrame, codes: DataFrame) -> DataFrame:
     best = F.max(F.when(F.col("lang").isNotNull(), F.struct("letters", "lang", "confidence")))
     whole = per.groupBy("doc_id", "label").agg(best.alias("b"), F.sum("letters").alias("all"), F.count("lang").alias("languages"))
     found = whole.select("doc_id", "label", F.col("b.lang").alias("lang"), F.round(F.coalesce(F.try_divide(F.col("b.confidence") * F.col("b.letters"), F.col("all")), F.lit(0.0)), 4).alias("confidence"), "languages")
-    blank = documents.where("text is null or trim(text) = ''").select("doc_id").distinct()
-    return found.unionByName(
-        usable_labels(documents, codes).join(blank, "doc_id", "left_semi").join(found.select("doc_id"), "doc_id", "left_anti").select("doc_id", "label", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("languages"))
-    )
+    # documents without a paragraph have a row too
+    return usable_labels(documents, codes).select("doc_id", "label").join(found.drop("label"), "doc_id", "left").select("doc_id", "label", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.lit(0)).cast("long").alias("languages"))
