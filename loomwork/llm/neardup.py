@@ -3,7 +3,7 @@
 Method: records are cut into size-banded tiles - word sets whose sizes differ by more than the threshold allows never meet -
 and carry hashed bitmap signatures; bit counts bound a pair's overlap from above, and only pairs that pass the bound are
 intersected exactly. To keep the tiles small, records meet under the rarest words of their sets (any pair above the threshold
-shares one of them), and a word that many records hold is cut into blocks, so no tile exceeds about 2 x BLOCK records.
+shares one of them, early enough to leave room for the rest), and a word that many records hold is cut into blocks, so no tile exceeds about 2 x BLOCK records.
 Exact copies are one class from the start and are joined through their representative.
 
 Defined results: null texts count as empty; records without words are in no pair; copies are pairs with similarity 1;
@@ -65,21 +65,24 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     signed = staged(
         ranked.join(sized, "class_id").select("class_id", "words", "n", band.alias("band"), *[_signature(k).alias(f"s{k}") for k in range(4)], prefix.alias("prefix"))
     )
-    rows = signed.select("class_id", "n", "band", "s0", "s1", "s2", "s3", F.explode("prefix").alias("p")).where("p.df > 1")
+    rows = signed.select("class_id", "n", "band", "s0", "s1", "s2", "s3", F.posexplode("prefix").alias("at", "p")).where("p.df > 1")
     rows = rows.withColumn("k", F.ceil(F.col("p.df") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("k")).cast("int"))
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    side = ["class_id", "n", "s0", "s1", "s2", "s3"]
-    left = rows.withColumn("other", all_blocks).select(F.struct(F.col("p.word").alias("w"), "band", F.col("block").alias("i"), F.col("other").alias("j")).alias("tile"), *[F.col(c).alias(f"a_{c}") for c in side])
+    side = ["class_id", "n", "at", "s0", "s1", "s2", "s3"]
+    # the smaller set of a pair shares 2t / (1 + t) of its words, so a shorter prefix of it is enough
+    left = rows.where(F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)")).withColumn("other", all_blocks).select(F.struct(F.col("p.word").alias("w"), "band", F.col("block").alias("i"), F.col("other").alias("j")).alias("tile"), *[F.col(c).alias(f"a_{c}") for c in side])
     right = (
         rows.withColumn("other", all_blocks)
-        .withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-        .select(F.struct(F.col("p.word").alias("w"), F.col("at").alias("band"), F.col("other").alias("i"), F.col("block").alias("j")).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in side])
+        .withColumn("tier", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+        .select(F.struct(F.col("p.word").alias("w"), F.col("tier").alias("band"), F.col("other").alias("i"), F.col("block").alias("j")).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in side])
     )
     need = F.expr(f"ceil({share!r} * (a_n + b_n) - 1e-9)")
     a_only = sum((F.bit_count(F.col(f"a_s{k}").bitwiseAND(F.bitwise_not(f"b_s{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_s0").bitwiseAND(F.bitwise_not("b_s0"))))
     b_only = sum((F.bit_count(F.col(f"b_s{k}").bitwiseAND(F.bitwise_not(f"a_s{k}"))) for k in range(1, 4)), F.bit_count(F.col("b_s0").bitwiseAND(F.bitwise_not("a_s0"))))
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class_id") < F.col("b_class_id")))
-    fits = smaller & (F.col("a_n") >= F.expr(f"{t} * b_n - 1e-9")) & (F.col("a_n") - a_only >= need) & (F.col("b_n") - b_only >= need)
+    # the first word that two sets share leaves room for enough others behind it
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need
+    fits = smaller & (F.col("a_n") >= F.expr(f"{t} * b_n - 1e-9")) & room & (F.col("a_n") - a_only >= need) & (F.col("b_n") - b_only >= need)
     met = left.join(right, "tile").where(fits).select(F.col("a_class_id").alias("x"), F.col("b_class_id").alias("y")).distinct()
     sets = signed.select("class_id", "words")
     full = met.join(sets.select(F.col("class_id").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("class_id").alias("y"), F.col("words").alias("yw")), "y")
