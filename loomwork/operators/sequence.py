@@ -7,8 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import truncate
-
 #: The caps of the ladder: each three quarters of the one before, down to the floor.
 CAP, FLOOR, SHARE = 2000, 240, 0.75
 
@@ -35,19 +33,31 @@ def repeat_mark(text: Column, repeats: Column) -> Column:
     return F.when(repeats > 1, F.concat(text, F.lit(" ×"), repeats.cast("string"))).otherwise(text)
 
 
+def _last(df: DataFrame, group: list[str], order: str, n: int) -> DataFrame:
+    """The last n rows of a group. A row takes a byte at least, so no more fit a budget of n; ranks are cut within each task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order)))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= max(n, 1)).drop("_rank")
+
+
 def tail_pack(df: DataFrame, group: str, order: str, size: Column, budget: int | Column) -> DataFrame:
     """The newest rows whose sizes (and a line end each) fit the budget; nothing behind the first that doesn't."""
     newest = Window.partitionBy(group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     limit = F.lit(budget) if isinstance(budget, int) else budget
+    if isinstance(budget, int):
+        df = _last(df, [group], order, budget)
     return df.withColumn("used", F.sum(size + 1).over(newest)).where(F.col("used") <= limit)
 
 
-def two_class_pack(df: DataFrame, group: str, order: str, size: Column, filler: Column, budget: int) -> DataFrame:
-    """tail_pack of the rows that aren't filler; what they leave of the budget goes to the newest filler. Keeps used of the class."""
+def two_class_pack(df: DataFrame, group: str, order: str, size: Column, filler: Column, budget: int, limit: Column | None = None) -> DataFrame:
+    """tail_pack of the rows that aren't filler; what they leave of the budget goes to the newest filler. Keeps used of the class.
+
+    limit: the budget of a row's group, at most budget."""
+    limit = F.lit(budget) if limit is None else limit
     newest = Window.partitionBy(group, "_filler").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    sized = df.withColumn("_filler", filler).withColumn("used", F.sum(size + 1).over(newest))
-    taken = F.max(F.when(~F.col("_filler") & (F.col("used") <= budget), F.col("used"))).over(Window.partitionBy(group))
-    return sized.withColumn("_left", F.when(F.col("_filler"), F.lit(budget) - F.coalesce(taken, F.lit(0))).otherwise(F.lit(budget))).where("used <= _left").withColumnRenamed("_filler", "filler").drop("_left")
+    sized = _last(df.withColumn("_filler", filler).withColumn("_limit", limit), [group, "_filler"], order, budget).withColumn("used", F.sum(size + 1).over(newest))
+    taken = F.max(F.when(~F.col("_filler") & (F.col("used") <= F.col("_limit")), F.col("used"))).over(Window.partitionBy(group))
+    left = F.when(F.col("_filler"), F.col("_limit") - F.coalesce(taken, F.lit(0))).otherwise(F.col("_limit"))
+    return sized.withColumn("_left", left).where("used <= _left").withColumnRenamed("_filler", "filler").drop("_left", "_limit")
 
 
 def roll_forward(needs: Column, budget: int) -> Column:
@@ -96,10 +106,22 @@ def section_starts(df: DataFrame, group: str, order: list[str], section: str) ->
     return df.withColumn("header", ~F.col(section).eqNullSafe(before))
 
 
+def _prefix_bytes(text: Column, size: int) -> Column:
+    """Bytes of the longest prefix of whole characters within size bytes: a byte 10xxxxxx behind the cut continues a character."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda k: F.substring(F.hex(F.substring(raw, k + 1, 1)), 1, 1).isin("8", "9", "A", "B")
+    out = F.lit(size)
+    for k in range(max(size - 3, 0), size + 1):
+        out = F.when(~inside(k), k).otherwise(out)
+    return out
+
+
 def best_cap(df: DataFrame, group: str, text: str, budget: int, rungs: list[int] | None = None, overhead: int = 3) -> DataFrame:
     """group, cap, bytes, cut: the largest cap of the ladder at which the group's texts fit SHARE of the budget, else the floor."""
     rungs = rungs or ladder()
-    sums = [F.sum(F.octet_length(truncate(F.col(text), c)) + overhead).alias(f"_b{c}") for c in rungs]
+    # how long a text is when cut: the longest prefix of whole characters and the ellipsis of 3 bytes
+    size = lambda c: F.when(F.octet_length(text) <= c, F.octet_length(text)).otherwise(_prefix_bytes(F.col(text), c) + 3)
+    sums = [F.sum(size(c) + overhead).alias(f"_b{c}") for c in rungs]
     cuts = [F.count_if(F.octet_length(text) > c).alias(f"_c{c}") for c in rungs]
     per = df.groupBy(group).agg(*sums, *cuts)
     allow = int(budget * SHARE)

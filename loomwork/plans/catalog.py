@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import payload, text
-from loomwork.operators import delivery, nested, record, rules, sequence, sessions
+from loomwork import model
+from loomwork.operators import compact, delivery, nested, record, rules, sequence, sessions
 from loomwork.plans import sql as S
 from loomwork.sources.tables import table
 
@@ -102,14 +103,14 @@ def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    S.M + S.TOUCHED + ", st as (select distinct left(md5(path), 8) as sha, path from (select regexp_extract(file, '([^/]+/[^/]+)$', 1) as path from touched where reading) where path <> ''), ends as (select distinct session_key, array_to_string(p[i:], '/') as path from (select session_key, string_split(regexp_replace(file, '^(\\./|/)+', ''), '/') as p from touched where not reading), unnest(range(1, len(p) + 1)) as u(i))"
+    S.M + S.TOUCHED + ", st as (select distinct left(md5(path), 8) as sha, path from (select regexp_extract(file, '([^/]+/[^/]+)$', 1) as path from touched) where path <> ''), ends as (select distinct session_key, array_to_string(p[i:], '/') as path from (select session_key, string_split(regexp_replace(file, '^(\\./|/)+', ''), '/') as p from touched where not reading), unnest(range(1, len(p) + 1)) as u(i))"
     " select distinct st.sha, e.session_key from ends e join st on st.path = e.path"
 )
 def wrote_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last two steps of every path that was read stand for a staged path of their own commit."""
+    """The last two steps of every path that a tool names stand for a staged path of a commit of their own."""
     m = _messages(spark, sf_dir)
-    read = sessions.touched(m).where(sessions.reading_only(F.col("tool"))).select(F.regexp_extract("file", "([^/]+/[^/]+)$", 1).alias("path")).where("path <> ''").distinct()
-    return sessions.wrote_any(sessions.written_files(m), read.select(F.left(F.md5("path"), F.lit(8)).alias("sha"), "path"))
+    named = sessions.touched(m).select(F.regexp_extract("file", "([^/]+/[^/]+)$", 1).alias("path")).where("path <> ''").distinct()
+    return sessions.wrote_any(sessions.written_files(m), named.select(F.left(F.md5("path"), F.lit(8)).alias("sha"), "path"))
 
 
 @query(
@@ -279,6 +280,43 @@ def log_group_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.last_entries(entries, "doc_id", 3)
 
 
+_TOOL_SQL = "'  · ' || coalesce(x.name, '') || case when coalesce(x.error, '') <> '' then ' FAILED: ' || regexp_replace(regexp_replace(x.error, '\\s+', ' ', 'g'), '^ | $', '', 'g') when coalesce(len(x.files), 0) > 0 then ' ' || array_to_string(x.files, ', ') when coalesce(x.summary, '') <> '' then ': ' || regexp_replace(regexp_replace(x.summary, '\\s+', ' ', 'g'), '^ | $', '', 'g') else '' end"
+
+
+@query(
+    S.M + f"select session_key, seq, len(list_filter(tools[1:12], lambda x: coalesce(x.error, '') <> '')) as failures, concat_ws(chr(10), nullif(array_to_string(list_transform(list_filter(tools[1:12], lambda x: coalesce(x.error, '') = ''), lambda x: {_TOOL_SQL}), chr(10)), ''), case when len(tools) > 12 then '  · … ' || (len(tools) - 12) || ' more tool calls' end) as did"
+    " from m where tools is not null and len(list_filter(tools, lambda x: octet_length(encode(coalesce(x.summary, ''))) > 200)) = 0"
+)
+def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routine calls of each message as text; messages with a summary that would be cut are left to the tests."""
+    m = _messages(spark, sf_dir).where("tools is not null and not exists(tools, x -> octet_length(coalesce(x.summary, '')) > 200)")
+    failures = F.size(F.filter(F.slice("tools", 1, 12), lambda t: text.nonempty(t["error"]).isNotNull())).cast("long")
+    return compact.rendered(m).join(m.select("session_key", "seq", failures.alias("failures")), ["session_key", "seq"]).select("session_key", "seq", "failures", "did")
+
+
+@query()
+def session_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.payloads(_messages(spark, sf_dir), _sessions(spark, sf_dir), 6000)
+
+
+@query()
+def model_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads through a scripted model that answers with fenced JSON, decoded again."""
+    prompts = compact.payloads(_messages(spark, sf_dir), _sessions(spark, sf_dir), 6000)
+    numbered = prompts.select(F.xxhash64("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), F.array().cast("array<string>")).alias("prompt"))
+    answer = 'Here it is:\n```json\n{"rejected": [], "invariants": [{"rule": "keep {braces}", "why": "they balance", "files": ["a.py"]}], "claims": ["it \\"works\\""]}\n```'
+    answers = model.mapped(numbered, model.Scripted(_Fixed(answer)))
+    return model.decoded(answers).select("i", "model", "error", F.col("value.invariants")[0]["rule"].alias("rule"), F.size("value.claims").cast("long").alias("claims"))
+
+
+class _Fixed:
+    def __init__(self, answer: str):
+        self.answer = answer
+
+    def __call__(self, prompt: str) -> str:
+        return self.answer
+
+
 # --- strings -----------------------------------------------------------------------------------
 
 
