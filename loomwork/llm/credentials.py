@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.spans import Spans
 from loomwork.sources.rawjson import message_parts, opened, result_value, strings
 
 #: Words of an identifier that make what it is given a credential; fixed values.
@@ -121,22 +122,20 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
         if "PRIVATE KEY" in text:
             found += [(m.start(), m.end(), "private_key") for m in KEY_BLOCK.finditer(text)]
         barred = [m.span() for m in PUBLIC_BLOCK.finditer(text)]
-    taken = [(a, b) for a, b, _ in found] + barred
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+    taken = Spans()
+    for a, b in sorted([(a, b) for a, b, _ in found] + barred):
+        taken.add(a, b)
 
     def add(a: int, b: int, kind: str) -> None:
-        if a < b and free(a, b):
+        if a < b and taken.add(a, b):
             found.append((a, b, kind))
-            taken.append((a, b))
 
     if "://" in text:
         for m in URL_LOGIN.finditer(text):
             if not PLACEHOLDER.search(m[2]):
                 add(m.start(2), m.end(2), "password")
             else:
-                taken.append(m.span(2))
+                taken.add(*m.span(2))
     _assigned(text, add)
     for m in FORMS.finditer(text):
         if not PLACEHOLDER.search(m[0]):

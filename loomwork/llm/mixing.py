@@ -49,8 +49,24 @@ def plan(found: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 _PLAN = "source string, target_share double, max_repeats int, share double, available long, documents long, mean_quality double, budget long, epochs long, left long"
 
 
+def _fraction(rows: DataFrame) -> DataFrame:
+    """rows with taken: the documents of each source, in order of key, whose tokens sum up to left; the one that crosses is taken if that is nearer.
+
+    rows: source, doc_id, tokens, key, bucket, left. Buckets are summed first, so the windows span a bucket each."""
+    sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
+    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(along), F.lit(0)).alias("before"))
+    ordered = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.join(before, ["source", "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(ordered))
+    start = F.col("upto") - F.col("tokens")
+    taken = (F.col("upto") <= F.col("left")) | ((start < F.col("left")) & (F.col("upto") - F.col("left") <= F.col("left") - start))
+    return upto.withColumn("taken", taken).drop("upto", "before")
+
+
 def mixed(found: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> DataFrame:
-    """source, doc_id, tokens, copies: each document of the mix and how often it is in it. found: doc_id, source, tokens, quality."""
+    """source, doc_id, tokens, copies: each document of the mix and how often it is in it. found: doc_id, source, tokens, quality.
+
+    Where the crossing document was too large to take, a second prefix sum over the smaller ones behind it fills what is left."""
     spark = found.sparkSession
     found = staged(found.where("tokens > 0 and source is not null").select("doc_id", "source", "tokens", "quality"))
     plans = plan(found, targets, total_tokens)
@@ -59,14 +75,12 @@ def mixed(found: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     # one row a source: at most TARGETS
     joined = found.join(F.broadcast(planned.where("budget > 0").select("source", "documents", "mean_quality", "epochs", "left")), "source").withColumn("key", -F.log(uniform) / F.greatest("quality", F.lit(1e-9)))
     spread = F.floor((1 - F.exp(-F.col("key") * F.col("mean_quality"))) * F.ceil(F.col("documents") / BUCKET))
-    rows = joined.withColumn("bucket", spread)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    before = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "bucket", "before")
-    ordered = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = rows.join(before, ["source", "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(ordered))
-    start = F.col("upto") - F.col("tokens")
-    taken = (F.col("upto") <= F.col("left")) | ((start < F.col("left")) & (F.col("upto") - F.col("left") <= F.col("left") - start))
-    return upto.select("source", "doc_id", "tokens", (F.col("epochs") + F.when(taken, 1).otherwise(0)).alias("copies")).where("copies > 0")
+    first = staged(_fraction(joined.withColumn("bucket", spread)))
+    gaps = first.groupBy("source", "left").agg(F.sum(F.when(F.col("taken"), F.col("tokens")).otherwise(0)).alias("got")).select("source", (F.col("left") - F.col("got")).alias("gap"))
+    rest = first.where("not taken").drop("taken", "left").join(F.broadcast(gaps.where("gap > 0")), "source").where("tokens <= gap").withColumnRenamed("gap", "left")
+    more = _fraction(rest).where("taken").select("source", "doc_id", F.lit(1).alias("more"))
+    both = first.join(more, ["source", "doc_id"], "left")
+    return both.select("source", "doc_id", "tokens", (F.col("epochs") + F.when(F.col("taken") | F.col("more").isNotNull(), 1).otherwise(0)).alias("copies")).where("copies > 0")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.spans import Spans
 from loomwork.sources.rawjson import message_parts
 from loomwork.sources.stage import staged
 
@@ -29,7 +30,7 @@ LEXICON_LIMIT = 200_000
 
 _TLD_NOT = frozenset("png jpg jpeg gif svg webp ico py js ts go rs rb java sh sql md yaml yml json toml txt css html xml lock".split())
 EMAIL = re.compile(
-    r"""(?x) (?<![\w.+%@/-])[\w.+%'-]*[\w+]\s?(?:@|\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?|\s(?:AT|at)\s(?=[\w-]+(?:\s(?:DOT|dot)\s|\s?[(\[](?:dot|DOT)[)\]])))
+    r"""(?x) (?<![\w.+%@/'-])[\w.+%'-]*[\w+]\s?(?:@|\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?|\s(?:AT|at)\s(?=[\w-]+(?:\s(?:DOT|dot)\s|\s?[(\[](?:dot|DOT)[)\]])))
     \s?[\w-]+(?:(?:\.|\s(?:DOT|dot)\s|\s?[(\[]\s?(?:dot|DOT|Dot)\s?[)\]]\s?)[\w-]+)+ """
 )
 #: What may be a telephone or identity number.
@@ -61,6 +62,7 @@ _INI = rf"[{_U}]\."
 #: Runs of capitalised words that may hold a name.
 RUN = re.compile(rf"(?<![\w.@/'’#-])(?:{_WORD}\.?)(?:,?\s{_PART}{_WORD}\.?)+")
 _NAME = re.compile(rf"(?:(?P<fam>{_PART}{_WORD}),\s(?:{_WORD}|{_INI})(?:\s{_INI})?|(?:{_WORD}|{_INI})(?:\s{_INI})?\s{_PART}{_WORD})(?![\w.@/]*[\w@/])")
+_LISTED = re.compile(rf"{_PART}{_WORD},\s(?:{_WORD}|{_INI})(?:\s{_INI})?")
 _CAMEL = re.compile(rf"[a-zß-ÿ][{_U}]")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BREAK = re.compile(r"[.!?;:…]['\"»”)]*\s|\n|^")
@@ -93,14 +95,14 @@ def _clean_name(span: str) -> bool:
 def person_candidates(text: str, sure: frozenset[str]) -> Iterator[tuple]:
     """(kind, start, end, seed, slot); sub-spans of one run of capitalised words share a slot."""
     for run in RUN.finditer(text):
-        slot = run.start()
+        slot, listed = run.start(), "," in run.group()
         starts = [run.start()] + [run.start() + m.end() for m in re.finditer(r"\s", run.group())]
         for s in starts:
             m = _NAME.match(text, s, run.end())
             if not m:
                 continue
             ends = {m.end()}
-            if m.lastgroup != "fam" and "," in run.group() and (n := re.compile(rf"{_PART}{_WORD},\s(?:{_WORD}|{_INI})(?:\s{_INI})?").match(text, s, run.end())):
+            if m.lastgroup != "fam" and listed and (n := _LISTED.match(text, s, run.end())):
                 ends.add(n.end())
             for e in ends:
                 span = text[s:e].rstrip(".") if not re.search(rf"\b[{_U}]\.$", text[s:e]) else text[s:e]
@@ -116,31 +118,24 @@ def person_candidates(text: str, sure: frozenset[str]) -> Iterator[tuple]:
 def candidates(text: str, sure: frozenset[str]) -> list[tuple]:
     """(kind, start, end, seed, slot) of every span that may be personal information."""
     out: list[tuple] = []
-    low = "@" in text or " at" in text or "at)" in text or "AT" in text or "at]" in text
-    mail: list[tuple[int, int]] = []
-    if low:
+    taken = Spans()
+    if "@" in text or " at" in text or "at)" in text or "AT" in text or "at]" in text:
         for m in EMAIL.finditer(text):
-            last = re.split(r"[^\w-]+", m.group())
-            last = [w for w in last if w][-1]
+            last = [w for w in re.split(r"[^\w-]+", m.group()) if w][-1]
             after = text[m.end() : m.end() + 2]
             if last.lower() in _TLD_NOT or not re.fullmatch(r"[^\W\d_]{2,}", last) or (after[:1] == ":" and after[1:].strip()) or after[:1] == "/":
                 continue
             a = m.start() + len(m.group()) - len(m.group().lstrip("'"))
-            mail.append((a, m.end()))
+            taken.add(a, m.end())
             out.append(("email", a, m.end(), 1, a))
-    digit = re.search(r"\d", text)
-    taken = list(mail)
-    if digit:
+    if re.search(r"\d", text):
         for m in ADDRESS.finditer(text):
-            if all(m.end() <= x or y <= m.start() for x, y in taken):
+            if taken.add(*m.span()):
                 out.append(("street_address", m.start(), m.end(), 1, m.start()))
-                taken.append(m.span())
         for m in DIGITS.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in taken):
-                continue
             span = m.group()
-            if span.count("(") != span.count(")"):
+            if not taken.free(a, b) or span.count("(") != span.count(")"):
                 continue
             beside = text[max(0, a - 45) : a].rpartition("\n")[2] + " | " + text[b : b + 30].partition("\n")[0]
             if _ID_SURE.fullmatch(span):
@@ -152,9 +147,7 @@ def candidates(text: str, sure: frozenset[str]) -> list[tuple]:
                     out.append(("id_number", a, b, 1 if ID_CAPTION.search(beside) else 0, a))
                 if _PHONE_MAY.fullmatch(span):
                     out.append(("phone", a, b, 0, a))
-    for c in person_candidates(text, sure):
-        if all(c[2] <= x or y <= c[1] for x, y in taken):
-            out.append(c)
+    out.extend(c for c in person_candidates(text, sure) if taken.free(c[1], c[2]))
     return out
 
 
