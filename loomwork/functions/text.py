@@ -23,14 +23,14 @@ def truncate(text: Column, size: int) -> Column:
     raw = F.encode(text, "UTF-8")
     cut = lambda k: F.substring(raw, 1, k).cast("string")
     prefix = F.coalesce(*[F.when(F.is_valid_utf8(cut(k)), cut(k)) for k in range(size, max(size - 4, -1), -1)], F.lit(""))
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(prefix, F.lit(ELLIPSIS)))
+    return F.when(text.isNull() | (F.octet_length(text) <= size), text).otherwise(F.concat(prefix, F.lit(ELLIPSIS)))
 
 
 def truncate_lines(text: Column, size: int, appendix: Column | None = None) -> Column:
     """text if it fits size bytes, else cut at the last line end within size bytes (if there is one), with the appendix after it."""
     head = F.regexp_replace(truncate(text, size), f"{ELLIPSIS}$", "")
     whole = F.when(F.instr(head, "\n") > 0, F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head)
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(whole, appendix) if appendix is not None else whole)
+    return F.when(text.isNull() | (F.octet_length(text) <= size), text).otherwise(F.concat(whole, appendix) if appendix is not None else whole)
 
 
 def collapse(text: Column) -> Column:

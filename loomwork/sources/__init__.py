@@ -10,5 +10,6 @@ def register(spark: SparkSession) -> None:
     from loomwork.sources.gitlog import GitLogSource
     from loomwork.sources.session_log import SessionLogSource
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SessionLogSource)
     spark.dataSource.register(GitLogSource)

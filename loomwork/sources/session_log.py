@@ -66,7 +66,9 @@ def finished(path: str, start: int = 0) -> int:
     return start
 
 
-def _lines(piece: Piece) -> Iterator[tuple]:
+def _lines(piece: Piece | None) -> Iterator[tuple]:
+    if piece is None:  # Spark's stand-in where there are no partitions
+        return
     name = os.path.basename(piece.path).removesuffix(".jsonl")
     steps = piece.path.split(os.sep)
     project = steps[-2] if piece.layout == "a" else steps[-4]
