@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.text import collapse, nonempty, short, strip_wrappers, truncate
 from loomwork.operators import sequence
 from loomwork.operators.sessions import human_requests
+from loomwork.sources.stage import staged
 
 #: Byte limits of a rendered message and its lines; fixed values.
 BUDGET, TEXT, THINKING, HUMAN, FAILURE, SUMMARY, TOOL_LINES, RESERVE = 24_000, 2500, 1200, 2000, 300, 200, 12, 48
@@ -64,7 +65,7 @@ def bodies(messages: DataFrame, sessions: DataFrame, budget: int = BUDGET, taken
     """session_key, body, elided, dropped: header, kept blocks and marks where reasoning was left out; sessions that keep nothing have none.
 
     taken(session_key, used): what is already spent of each session's budget."""
-    found = blocks(messages)
+    found = staged(blocks(messages))
     spent = taken if taken is not None else found.select("session_key").distinct().withColumn("used_before", F.lit(0))
     found = found.join(spent.select("session_key", F.col(spent.columns[1]).cast("long").alias("_taken")), "session_key", "left")
     size = F.octet_length("text").cast("long")

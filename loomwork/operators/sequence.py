@@ -1,12 +1,15 @@
 """Ordered operators: run-length collapse, byte-budget packing, elision, headers. Sizes are UTF-8 bytes.
 
-Windows are partitioned by session (or file); a packing budget bounds what is kept, never what is read."""
+A session may hold a third of all rows: running values go through scan, whose tasks hold blocks of a session; packing cuts each
+session's rows to as many as the budget has bytes within the tasks that read them, before its windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators import scan
+
 #: The caps of the ladder: each three quarters of the one before, down to the floor.
 CAP, FLOOR, SHARE = 2000, 240, 0.75
 
@@ -20,13 +23,12 @@ def ladder(cap: int = CAP, floor: int = FLOOR) -> list[int]:
 
 def collapse_repeats(df: DataFrame, group: str, order: str, *same: str) -> DataFrame:
     """Runs of consecutive rows that agree in the given columns: group, first (lowest order), repeats, and the columns."""
-    along = Window.partitionBy(group).orderBy(order)
-    starts = F.lit(False)
+    seen = scan.previous(df.where(F.col(group).isNotNull()).select(group, order, *same), [group], [order], list(same), "_before")
+    starts = F.col("_before").isNull()
     for c in same:
-        starts = starts | ~F.col(c).eqNullSafe(F.lag(c).over(along))
-    first = F.row_number().over(along) == 1
-    run = F.sum(F.when(first | starts, 1).otherwise(0)).over(along)
-    return df.select(group, order, *same, run.alias("_run")).groupBy(group, "_run").agg(F.min(order).alias("first"), F.count("*").alias("repeats"), *[F.min_by(c, order).alias(c) for c in same]).drop("_run")
+        starts = starts | ~F.col(c).eqNullSafe(F.col("_before")[c])
+    runs = scan.running(seen, [group], [order], F.when(starts, F.col(order)), "_run", how="last")
+    return runs.groupBy(group, "_run").agg(F.min(order).alias("first"), F.count("*").alias("repeats"), *[F.min_by(c, order).alias(c) for c in same]).drop("_run")
 
 
 def repeat_mark(text: Column, repeats: Column) -> Column:
@@ -82,8 +84,7 @@ def prefix_pack(df: DataFrame, group: list[str], order: str, size: Column, budge
 
 def continuation_groups(lines: DataFrame, group: str, order: str, text: str, starts: Column) -> DataFrame:
     """Entries of a log: a starting line with the continuation lines behind it. Lines before the first start form an entry of their own (number 0)."""
-    along = Window.partitionBy(group).orderBy(order)
-    numbered = lines.withColumn("entry", F.sum(F.when(starts, 1).otherwise(0)).over(along))
+    numbered = scan.running(lines, [group], [order], F.when(starts, 1).otherwise(0), "entry")
     return numbered.groupBy(group, "entry").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_l")).select(group, F.col("entry").cast("long").alias("entry"), F.array_join(F.transform("_l", lambda x: x[text]), "\n").alias("text"), F.size("_l").cast("long").alias("lines"))
 
 
@@ -94,16 +95,15 @@ def last_entries(entries: DataFrame, group: str, n: int) -> DataFrame:
 
 def elisions(df: DataFrame, group: str, order: str, kept: Column) -> DataFrame:
     """group, before, elided: how many rows are left out directly before a kept row (before = its order) or at the end (null)."""
-    after = Window.partitionBy(group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     marked = df.select(group, order, kept.alias("_kept"))
-    upto = marked.withColumn("before", F.min(F.when(F.col("_kept"), F.col(order))).over(after)).where(~F.col("_kept"))
+    upto = scan.running(marked, [group], [order], F.when(F.col("_kept"), F.col(order)), "before", how="last", descending=True).where(~F.col("_kept"))
     return upto.groupBy(group, "before").agg(F.count("*").alias("elided"))
 
 
-def section_starts(df: DataFrame, group: str, order: list[str], section: str) -> DataFrame:
-    """df with header: whether a row's section differs from the one before it."""
-    before = F.lag(section).over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("header", ~F.col(section).eqNullSafe(before))
+def section_starts(df: DataFrame, group: str, order: list[str], section: str, block: Column) -> DataFrame:
+    """df with header: whether a row's section differs from the one before it. block rises with the order; see scan."""
+    seen = scan.previous(df, [group], order, [section], "_before", block)
+    return seen.withColumn("header", F.col("_before").isNull() | ~F.col(section).eqNullSafe(F.col("_before")[section])).drop("_before")
 
 
 def _prefix_bytes(text: Column, size: int) -> Column:

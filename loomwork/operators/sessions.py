@@ -6,10 +6,11 @@ session_key or seq belong to no session and are left out by first_received.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import is_artifact, nonempty, strip_wrappers
+from loomwork.operators import scan
 
 #: Parts of a tool's name that mark it as reading only; fixed values.
 READING_VERBS = ("read", "view", "grep", "search", "glob", "find", "list", "ls", "fetch", "lookup", "todo", "think", "plan", "diagnostic")
@@ -63,9 +64,9 @@ def touched(messages: DataFrame) -> DataFrame:
 
 def touched_files(messages: DataFrame) -> DataFrame:
     """session_key, place, file: distinct files, most recent message first, in the message in order."""
-    last = touched(messages).groupBy("session_key", "file").agg(F.max(F.struct(F.col("seq"), -F.col("tool_pos"), -F.col("file_pos"))).alias("at"))
-    order = Window.partitionBy("session_key").orderBy(F.desc("at"))
-    return last.select("session_key", (F.row_number().over(order) - 1).cast("long").alias("place"), "file")
+    last = touched(messages).groupBy("session_key", "file").agg(F.max(F.struct(F.col("seq"), (-F.col("tool_pos")).alias("tool"), (-F.col("file_pos")).alias("pos"))).alias("at"))
+    flat = last.select("session_key", "file", "at.seq", "at.tool", "at.pos")
+    return scan.running(flat, ["session_key"], ["seq", "tool", "pos"], F.lit(1), "n", descending=True).select("session_key", (F.col("n") - 1).cast("long").alias("place"), "file")
 
 
 def written_files(messages: DataFrame) -> DataFrame:

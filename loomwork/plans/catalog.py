@@ -253,10 +253,10 @@ def elision_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.elisions(marked, "session_key", "seq", F.coalesce("fits", F.lit(False)) | (F.col("seq") % 7 == 0))
 
 
-@query(S.M + S.LS + "select cwd, session_key, seq, session_key is distinct from lag(session_key) over (partition by cwd order by updated_ts, session_key, seq) as header from (select ls.cwd, ls.updated_ts, m.session_key, m.seq from m join ls using (session_key) where ls.cwd <> '' and m.role = 'user')")
+@query(S.M + S.LS + "select cwd, session_key, seq, session_key is distinct from lag(session_key) over (partition by cwd order by updated_ts, session_key, seq) as header from (select ls.cwd, ls.updated_ts, m.session_key, m.seq from m join ls using (session_key) where ls.cwd <> '' and ls.updated_ts is not null and m.role = 'user')")
 def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _messages(spark, sf_dir).where("role = 'user'").select("session_key", "seq").join(_sessions(spark, sf_dir).where("cwd <> ''").select("session_key", "cwd", "updated_ts"), "session_key")
-    return sequence.section_starts(m, "cwd", ["updated_ts", "session_key", "seq"], "session_key").select("cwd", "session_key", "seq", "header")
+    m = _messages(spark, sf_dir).where("role = 'user'").select("session_key", "seq").join(_sessions(spark, sf_dir).where("cwd <> '' and updated_ts is not null").select("session_key", "cwd", "updated_ts"), "session_key")
+    return sequence.section_starts(m, "cwd", ["updated_ts", "session_key", "seq"], "session_key", F.unix_date(F.to_date("updated_ts"))).select("cwd", "session_key", "seq", "header")
 
 
 @query(
@@ -530,4 +530,4 @@ def served_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def once_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", payload.text_at(F.try_parse_json(F.regexp_replace("props", r'("k":\s*)(\d+)', '$1"$2"')), "$.k").alias("path"), (F.col("event_type") == "error").alias("reset"))
-    return delivery.once(e, "user_id", ["ts", "event_id"]).select("event_id", "user_id", "path")
+    return delivery.once(e, "user_id", ["ts", "event_id"], block=F.unix_date(F.to_date("ts"))).select("event_id", "user_id", "path")
