@@ -47,7 +47,7 @@ SCHEME = re.compile(r"(?i)^(?:bearer|token|basic|apikey|digest|key|bot)\s+(?=\S)
 
 #: Only strings with one of these can hold a credential.
 TRIGGER = re.compile(
-    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|credential|kennwort|contrase|hasło|парол|wachtwoord|senha|://[^\s/]*:|-----BEGIN|eyJ|_live_|ntk-|\bqv\.|SKV|AKIA|gh[pousr]_|glpat|xox|sk-|login|\bcurl\b|\s-u\b|mysql|sshpass"
+    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|credential|kennwort|contrase|hasło|парол|wachtwoord|senha|://[^\s/]*:|-----BEGIN|eyJ|_live_|ntk-|\bqv\.|SKV|AKIA|gh[pousr]_|glpat|xox|sk-|login|\bcurl\b|\s-u\b|mysql|sshpass|\b(?:Client|connect|Session|hmac|sign|authenticate)\("
 )
 #: The lexical classes: quoted literals keep their escapes, words keep inner dots and dashes.
 TOKENS = re.compile(
@@ -93,15 +93,15 @@ _PATHLIKE = re.compile(r"^(?:\.{0,2}/|~/|[A-Za-z]:\\|https?://|[\w.-]+(?:/[\w.-]
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
-def is_literal_secret(value: str, quoted: bool, strict: bool = False) -> bool:
+def is_literal_secret(value: str, quoted: bool, strict: bool = False, certain: bool = False) -> bool:
     """Whether a value given to a credential name is one, rather than a reference, placeholder, number or path.
 
-    strict: the value stands bare in running text, so it must hold a digit or a mixture of classes."""
+    strict: the value stands bare in running text, so it must hold a digit or a mixture of classes. certain: nothing but a literal can stand there."""
     if len(value) < 3 or PLACEHOLDER.search(value) or _PATHLIKE.search(value) and not (looks_random(value) and entropy(value) >= 4):
         return False
     if re.fullmatch(r"[\d.]+(?:ms|s|m|h|d|kb|mb|gb)?", value) and len(value) < 12:
         return False
-    if not quoted and (_CODE.search(value) and not looks_random(value) or re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+", value)):
+    if not quoted and not certain and (_CODE.search(value) and not looks_random(value) or re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+", value)):
         return False
     if quoted and re.search(r"\s", value):
         return False
@@ -156,7 +156,7 @@ def _assigned(text: str, add) -> None:
             i += 1
         return i
 
-    def value(i: int, name: str, bare: bool, strict: bool) -> None:
+    def value(i: int, name: str, bare: bool, strict: bool, certain: bool = False) -> None:
         """The literal that starts at token i."""
         i = skip(i)
         if i >= n:
@@ -187,7 +187,7 @@ def _assigned(text: str, add) -> None:
                 return
             lo += user.end()
             got = text[lo:hi]
-        if is_literal_secret(got, kind == "str" or bool(user), strict):
+        if is_literal_secret(got, kind == "str" or bool(user), strict, certain or (text[hi : hi + 1] == ";" and ";" in text[max(0, toks[i][1] - 60) : toks[i][1]])):
             add(lo, hi, "password" if re.search(r"(?i)pass|pwd|^pw$|wort|-u|-p", name) else "token")
 
     for i in range(n):
@@ -214,9 +214,9 @@ def _assigned(text: str, add) -> None:
             elif op == "," and toks[j][0] == "op":
                 continue
             elif j == i + 2 and toks[j][0] in ("word", "num", "rest") and _COMMENT.search(text, max(0, text.rfind("\n", 0, a)), a):
-                value(j, name, True, name != "pw")
+                value(j, name, True, name != "pw", name == "pw")
             elif j == i + 2 and toks[j][0] in ("word", "num", "rest") and re.search(r"(?:machine|login|user(?:name)?)\s+\S+\s+(?:\S+\s+\S+\s+)?$", text[max(0, a - 120) : a]):
-                value(j, name, True, False)
+                value(j, name, True, False, True)
         elif kind == "flag":
             name = word(i).removeprefix("-D")
             j = i + 1

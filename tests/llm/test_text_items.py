@@ -99,3 +99,11 @@ def test_masking_keeps_the_rest(spark):
     items = spark.createDataFrame([(1, 2, "email", "a@x.test"), (1, 15, "email", "b@x.test")], "row_id long, start long, kind string, found_text string")
     got = {r.id: r.body for r in P.masked(df, "id", "body", items).collect()}
     assert got == {1: "é [EMAIL] and [EMAIL].", 2: None, 3: "none"}
+
+
+@pytest.mark.parametrize(
+    "text,secret",
+    [('client = Client("https://h.test", "9UrbS5tPrrARhaulwhA2PjGE6ENPG2Ix=")', "9UrbS5tPrrARhaulwhA2PjGE6ENPG2Ix="), ("Server=h;Uid=u;Pwd=1uBu.soTLXrewcy;Encrypt=no", "1uBu.soTLXrewcy"), ("// the box: bob / pw aGULUW.rHVYSCz", "aGULUW.rHVYSCz"), ("machine h login bob password kZpgNmX.jAUTV", "kZpgNmX.jAUTV")],
+)
+def test_literals_that_look_like_code(text, secret):
+    assert [text[a:b] for a, b, _ in K.find_secrets(text)] == [secret]
