@@ -34,7 +34,7 @@ EMAIL = re.compile(
     \s?[\w-]+(?:(?:\.|\s(?:DOT|dot)\s|\s?[(\[]\s?(?:dot|DOT|Dot)\s?[)\]]\s?)[\w-]+)+ """
 )
 #: What may be a telephone or identity number.
-DIGITS = re.compile(r"(?<![\w@#/=.,:+(-])(?:[+(]\s?)?\d[\d ().\-/]{5,}\d[A-Z]?(?![\w@])|(?<==)(?:[+(]\s?)?\d[\d ().\-/]{5,}\d(?![\w@])|(?<![\w-])[A-Z]{1,2}\d{6,8}[A-Z]?(?![\w-])|(?<![\w-])\d{7,8}-?[A-Z](?![\w-])")
+DIGITS = re.compile(r"(?<![\w@#/=.,:+(-])(?:[+(]\s?)?\d[\d ().\-/]{5,}\d[A-Z]?(?![\w@])|(?<=[=:])(?:[+(]\s?)?\d[\d ().\-/]{5,}\d(?![\w@])|(?<![\w-])[A-Z]{1,2}\d{6,8}[A-Z]?(?![\w-])|(?<![\w-])\d{7,8}-?[A-Z](?![\w-])")
 _PHONE_SURE = re.compile(
     r"""(?x) \+\d{8,15} | \+\d{1,3}[ .\-/]?(?:\(0\)\s?)?\(?\d{1,4}\)?(?:[ .\-/]?\d{2,9}){1,5} | 00\d{2}[ .\-/]\d{1,4}(?:[ .\-/]\d{2,9}){1,4} | \(\d{2,5}\)\s?\d{3,4}[ .\-]\d{3,5}
     | \d{3}[.\-]\d{3}[.\-]\d{4} | 0\d{1,4}/\d{5,9} | 0\d{2,4}\s\d{3,4}\s\d{3,5} | 0\d(?:[. ]\d{2}){4} """
@@ -55,7 +55,7 @@ ADDRESS = re.compile(
     | (?<![\w.,-])\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-z](?=[,\s])))?,?\s(?:rue|avenue|boulevard|impasse|place|allée|chemin|quai|cours|route|passage|square|sentier|ruelle|faubourg|villa|cité)\s(?:(?:de\sla|de\sl['’]|du|des|de|d['’]|aux|au|à\sla)\s?)?{_WORD}(?:\s(?:{_WORD}|de|du|des|la|le|les)(?=\s|[,.;!?]|$)){{0,3}}(?:,\s(?:appt\.?|appartement|apt\.?|bât\.?)\s\w+)?
     | (?<![\w-]){_WORD[:-len("[\\w'’-]*")]}[\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm|steig|markt|chaussee|pfad|hof|stieg|straat|laan|plein|gracht|kade|dijk|singel|steeg)\s\d{{1,4}}(?:\s?[a-z])?(?![\w-])(?:,\s{_FLAT.replace(' ', chr(92) + ' ')})?
     | (?<![\w-])(?:Am|An\sder|An\sden|Auf\sdem|Auf\sder|Im|In\sder|In\sden|Zum|Zur|Unter\sden|Hinter\sder|Bei\sder|Vor\sdem|Hinterm)\s(?:[a-zäöüß]+\s)?{_WORD}(?:\s{_WORD})?\s\d{{1,4}}(?:\s?[a-z])?(?![\w-])
-    | (?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|Rua|R\.|Travessa|Praça|Largo|Estrada|Via|Viale|Corso|Piazza|Vicolo|Lungo\w+|ul\.|al\.|ulica|aleja|plac|ул\.|улица|проспект|переулок|rue|avenue|boulevard)\s(?:(?:de\slas?|de\slos|del|de|das?|dos?|della|delle|dei|degli|di|la|las|los|el)\s)*[\w'’-]+(?:\s(?:de|la|del|di|da|do|{_WORD})){{0,4}},?\s(?:n\.?[º°]?\s?|д\.\s?)?\d{{1,4}}(?:\s?[a-z])?(?![\w-])(?:,?\s(?:piso\s\w+|\d+[ºª°](?:\s[A-Z])?|kv\.\s?\d+|кв\.\s?\d+|m\.\s?\d+|{_FLAT.replace(' ', chr(92) + ' ')}))? """
+    | (?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|Rua|Travessa|Praça|Largo|Estrada|Via|Viale|Corso|Piazza|Vicolo|Lungo\w+|ul\.|al\.|ulica|aleja|plac|ул\.|улица|проспект|переулок|rue|avenue|boulevard)\s(?:(?:de\slas?|de\slos|del|de|das?|dos?|della|delle|dei|degli|di|la|las|los|el)\s)*[\w'’-]+(?:\s(?:de|la|del|di|da|do|{_WORD})){{0,4}},?\s(?:n\.?[º°]?\s?|д\.\s?)?\d{{1,4}}(?:\s?[a-z])?(?![\w-])(?:,?\s(?:piso\s\w+|\d+[ºª°](?:\s[A-Z])?|kv\.\s?\d+|кв\.\s?\d+|m\.\s?\d+|{_FLAT.replace(' ', chr(92) + ' ')}))? """
 )
 _PART = r"(?:(?:van|von|der|den|de|la|di|da|del|dos|du|ter|ten|le|el|bin|al|zu|VAN|VON|DER|DEN|DE|LA|DI|DA|DEL|Van|Von|De|Der)\s)*"
 _INI = rf"[{_U}]\."
