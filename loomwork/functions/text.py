@@ -50,9 +50,10 @@ def remove_tag(text: Column, tag: str) -> Column:
 
 def strip_wrappers(text: Column) -> Column:
     """A prompt as its author typed it: no wrapper tags, query tags unwrapped."""
+    bare = text
     for tag in WRAPPER_TAGS:
-        text = remove_tag(text, tag)
-    return trimmed(F.regexp_replace(text, "</?user_query>", ""))
+        bare = remove_tag(bare, tag)
+    return trimmed(F.when(F.contains(text, F.lit("<")), F.regexp_replace(bare, "</?user_query>", "")).otherwise(text))
 
 
 def unwrap_query(text: Column) -> Column:

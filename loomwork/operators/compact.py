@@ -57,8 +57,11 @@ def blocks(messages: DataFrame) -> DataFrame:
     """session_key, ord, text, filler: the pieces of a session's body in order, equal neighbours run together."""
     both = rendered(messages).select("session_key", "seq", F.posexplode(F.array(F.struct(F.col("said").alias("text"), F.lit(False).alias("filler")), F.struct(F.col("did").alias("text"), F.lit(True).alias("filler")))).alias("half", "b"))
     pieces = both.select("session_key", (F.col("seq") * 2 + F.col("half")).alias("ord"), "b.text", "b.filler").where("text <> ''")
-    runs = sequence.collapse_repeats(pieces, "session_key", "ord", "text", "filler")
-    return runs.select("session_key", F.col("first").alias("ord"), F.when(F.col("repeats") > 1, F.concat("text", F.lit(TIMES), F.col("repeats").cast("string"))).otherwise(F.col("text")).alias("text"), "filler")
+    # runs are found over digests, so texts are shuffled once, to join their run
+    keys = pieces.select("session_key", "ord", F.md5(F.concat("text", F.col("filler").cast("string"))).alias("same"))
+    runs = sequence.collapse_repeats(keys, "session_key", "ord", "same").select("session_key", F.col("first").alias("ord"), "repeats")
+    shown = F.when(F.col("repeats") > 1, F.concat("text", F.lit(TIMES), F.col("repeats").cast("string"))).otherwise(F.col("text"))
+    return pieces.join(runs, ["session_key", "ord"]).select("session_key", "ord", shown.alias("text"), "filler")
 
 
 def bodies(messages: DataFrame, sessions: DataFrame, budget: int = BUDGET, taken: DataFrame | None = None) -> DataFrame:
