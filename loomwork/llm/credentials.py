@@ -37,7 +37,7 @@ PLACEHOLDER = re.compile(
 )
 #: Forms that are credentials by themselves.
 FORMS = re.compile(
-    r"""(?x) \beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{6,} | \b[a-z]{2,5}_(?:live|prod|secret)_[A-Za-z0-9]{16,} | \bntk-[0-9a-f]{24,} | \bqv\.[\w-]{6,}\.[\w-]{12,} | \bSKV[A-Z0-9]{17}\b
+    r"""(?x) \beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{6,} | \b[a-z]{2,5}_(?:live|prod|secret)_[A-Za-z0-9]{16,}
     | \bgh[pousr]_[A-Za-z0-9]{30,} | \bAKIA[A-Z0-9]{16}\b | \bxox[abprs]-[\w-]{10,} | \bglpat-[\w-]{16,} | \bsk-[\w-]{20,} """
 )
 KEY_BLOCK = re.compile(r"-----BEGIN (?!PUBLIC|CERTIFICATE|[A-Z0-9 ]*PUBLIC)[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", re.S)
@@ -47,7 +47,7 @@ SCHEME = re.compile(r"(?i)^(?:bearer|token|basic|apikey|digest|key|bot)\s+(?=\S)
 
 #: Only strings with one of these can hold a credential.
 TRIGGER = re.compile(
-    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|credential|kennwort|contrase|hasło|парол|wachtwoord|senha|://[^\s/]*:|-----BEGIN|eyJ|_live_|ntk-|\bqv\.|SKV|AKIA|gh[pousr]_|glpat|xox|sk-|login|\bcurl\b|\s-u\b|mysql|sshpass|\b(?:Client|connect|Session|hmac|sign|authenticate)\("
+    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|credential|kennwort|contrase|hasło|парол|wachtwoord|senha|://[^\s/]*:|-----BEGIN|eyJ|_live_|AKIA|gh[pousr]_|glpat|xox|sk-|login|\bcurl\b|\s-u\b|mysql|sshpass|\b(?:Client|connect|Session|hmac|sign|authenticate)\("
 )
 #: The lexical classes: quoted literals keep their escapes, words keep inner dots and dashes.
 TOKENS = re.compile(
@@ -83,9 +83,9 @@ def entropy(text: str) -> float:
 
 
 def looks_random(text: str) -> bool:
-    """Mixed character classes and many different characters, as in generated tokens."""
+    """Mixed character classes and many different characters, or long hexadecimal or upper-case codes, as in generated tokens."""
     classes = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", r"\d", r"[+/=_.-]"))
-    return len(text) >= 16 and not re.search(r"\s", text) and (classes >= 3 and entropy(text) >= 3.4 or bool(re.fullmatch(r"[0-9a-fA-F]{32,}", text)))
+    return len(text) >= 16 and not re.search(r"\s", text) and (classes >= 3 and entropy(text) >= 3.4 or bool(re.fullmatch(r"[0-9a-fA-F]{32,}|(?=.*\d)(?=.*[A-Z])[A-Z0-9]{16,}", text)))
 
 
 _CODE = re.compile(r"[(){}\[\]]|=>|->|^\w+(?:\.[a-z_]\w*)+$|^[A-Z][A-Z0-9]*_[A-Z0-9_]+$")
