@@ -68,7 +68,24 @@ def _commit_files(spark: SparkSession, d: str) -> DataFrame:
 # --- nested records ----------------------------------------------------------------------------
 
 
-@query()
+def _opened(c: str) -> str:
+    """A JSON text, or the text that a JSON string holds; null if it can't be read."""
+    inner = f"case when json_valid({c}) then case when json_type({c}) = 'VARCHAR' then json_extract_string({c}, '$') else {c} end end"
+    return f"(select case when json_valid(x) then x::json end from (select {inner} as x))"
+
+
+_PATH = "replace(regexp_replace(fullkey, '^\\$\\.?', ''), '\"', '')"
+
+
+@query(
+    "with v as (select entry_id, " + _opened("message") + " as m, " + _opened("tool_use_result") + " as r from log_entries),"
+    " parts as (select entry_id, i, json_extract(m, '$.content[' || i || ']') as p from v, unnest(range(0, coalesce(json_array_length(m, '$.content'), 0)::bigint)) as u(i) where json_type(m) = 'OBJECT' and json_type(m, '$.content') = 'ARRAY'),"
+    " inputs as (select entry_id, 'content[' || i || '].input' as stem, " + _opened("json_extract_string(p, '$.input')") + " as j from parts where json_extract_string(p, '$.type') = 'tool_use' and json_type(p, '$.input') = 'VARCHAR'),"
+    f" n as (select entry_id, 'message' as root, {_PATH} as node_path from v, json_tree(m) t where t.type = 'OBJECT' and ends_with(t.fullkey, ']')"
+    f" union all select entry_id, 'tool_use_result', {_PATH} from v, json_tree(r) t where t.type = 'OBJECT' and ends_with(t.fullkey, ']')"
+    f" union all select entry_id, 'message', stem || case when starts_with({_PATH}, '[') then '' else '.' end || {_PATH} from inputs, json_tree(j) t where t.type = 'OBJECT' and ends_with(t.fullkey, ']'))"
+    " select entry_id, root, node_path, regexp_extract(node_path, '^(.*\\])\\.', 1) as parent_path from n"
+)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.array_objects(table(spark, sf_dir, "log_entries")).select("entry_id", "root", "node_path", "parent_path")
 
