@@ -1,4 +1,4 @@
-"""The queries of this subpackage. SQL can't express their methods; tests hold them against brute force instead."""
+"""The queries of this subpackage. SQL gives the results of two of them; tests hold the others against brute force instead."""
 
 from __future__ import annotations
 
@@ -60,5 +60,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
 
 
+_P1 = r"""
+with f as (
+    select lower(session_id) as s, line_no as n, min_by({'e': entry_id, 'k': entry_type, 'ts': ts, 'p': prompt_id, 'side': coalesce(is_sidechain, false), 'm': message}, entry_id) as x
+    from log_entries where session_id is not null and line_no is not null group by all
+), o as (
+    select s, n, x.e as e, x.k as k, x.p as p, x.k in ('user', 'assistant') and not x.side as main,
+        case when regexp_full_match(x.ts, '\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})') then try_cast(x.ts as timestamptz) end as stamp,
+        case when json_valid(x.m) then case when json_type(x.m) = 'VARCHAR' then json_extract_string(x.m, '$') else x.m end end as t
+    from f
+), v as (
+    select *, last_value(stamp ignore nulls) over (partition by s order by n rows between unbounded preceding and current row) as time,
+        case when json_valid(t) then case when json_type(t) = 'OBJECT' then t::json end end as j from o
+), c as (
+    select *, json_type(j, '$.content') as shape, lower(json_extract_string(j, '$.role')) as role,
+        case when json_type(j, '$.content') = 'ARRAY' then from_json(json_extract(j, '$.content'), '["JSON"]') end as parts from v
+), d as (
+    select *, coalesce(main and j is not null and role in ('user', 'assistant') and case when shape = 'VARCHAR' then regexp_matches(json_extract_string(j, '$.content'), '[^\s]')
+        when shape = 'ARRAY' then len(list_filter(parts, lambda y: json_extract_string(y, '$.type') = 'text' and json_type(y, '$.text') = 'VARCHAR' and regexp_matches(json_extract_string(y, '$.text'), '[^\s]'))) > 0 end
+        and not (k = 'user' and shape = 'ARRAY' and (p is null or len(list_filter(parts, lambda y: json_extract_string(y, '$.type') = 'tool_result')) > 0)), false) as turn from c
+), g as (
+    select s from d group by s having count(*) = max(n) - min(n) + 1 and count(*) filter (main and j is null) = 0 and count(*) filter (turn) > 1
+), t as (
+    select s, e, role, row_number() over w - 1 as turn_no, lag(role) over w as before, row_number() over (partition by s order by time desc nulls last, n desc) as back
+    from d where turn and s in (select s from g) window w as (partition by s order by time nulls first, n)
+), keep as (
+    select s from t group by s having bool_or(turn_no = 0 and role = 'user') and bool_or(back = 1 and role = 'assistant') and not bool_or(role = 'user' and coalesce(before, '') = 'user')
+)
+select s as session_id, turn_no, e as entry_id from t where s in (select s from keep)
+"""
+
+_P5 = r"""
+with w as (
+    select rule_id, list_distinct(list_filter(string_split_regex(lower(coalesce(rule, '') || ' ' || coalesce(why, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as s from rule_entries
+), u as (
+    select rule_id, len(s) as n, unnest(s) as word from w
+), b as (
+    select a.rule_id as rule_a, b.rule_id as rule_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from u a join u b on a.word = b.word and a.rule_id < b.rule_id group by all
+)
+select rule_a, rule_b from b where shared >= 0.7 * (na + nb - shared) - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": _P1, "p5_found": _P5}
