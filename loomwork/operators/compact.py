@@ -70,9 +70,9 @@ def bodies(messages: DataFrame, sessions: DataFrame, budget: int = BUDGET, taken
     taken(session_key, used): what is already spent of each session's budget."""
     found = staged(blocks(messages))
     spent = taken if taken is not None else found.select("session_key").distinct().withColumn("used_before", F.lit(0))
-    found = found.join(spent.select("session_key", F.col(spent.columns[1]).cast("long").alias("_taken")), "session_key", "left")
+    found = found.join(spent.select("session_key", F.col(spent.columns[1]).cast("long").alias("_spent")), "session_key", "left")
     size = F.octet_length("text").cast("long")
-    kept = sequence.two_class_pack(found, "session_key", "ord", size, F.col("filler"), max(0, budget - RESERVE), F.greatest(F.lit(0), F.lit(budget - RESERVE) - F.coalesce("_taken", F.lit(0)))).select("session_key", "ord", F.lit(True).alias("kept"))
+    kept = sequence.two_class_pack(found, "session_key", "ord", size, F.col("filler"), F.greatest(F.lit(0), F.lit(budget - RESERVE) - F.coalesce("_spent", F.lit(0)))).select("session_key", "ord", F.lit(True).alias("kept"))
     marked = found.join(kept, ["session_key", "ord"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     gaps = sequence.elisions(marked.where("kept or not filler"), "session_key", "ord", F.col("kept")).select("session_key", F.coalesce("before", F.lit(2**62)).alias("ord"), F.lit(0).alias("half"), F.concat(F.lit("[… "), F.col("elided").cast("string"), F.lit(" earlier messages elided …]")).alias("text"))
     lines = marked.where("kept").select("session_key", "ord", F.lit(1).alias("half"), "text").unionByName(gaps)

@@ -1,7 +1,7 @@
 """Ordered operators: run-length collapse, byte-budget packing, elision, headers. Sizes are UTF-8 bytes.
 
-A session may hold a third of all rows: running values go through scan, whose tasks hold blocks of a session; packing cuts each
-session's rows to as many as the budget has bytes within the tasks that read them, before its windows."""
+A session may hold a third of all rows: running values, packing's included, go through scan, whose tasks hold blocks of a
+session. prefix_pack is for groups that are small already, as a limited history is."""
 
 from __future__ import annotations
 
@@ -35,31 +35,20 @@ def repeat_mark(text: Column, repeats: Column) -> Column:
     return F.when(repeats > 1, F.concat(text, F.lit(" ×"), repeats.cast("string"))).otherwise(text)
 
 
-def _last(df: DataFrame, group: list[str], order: str, n: int) -> DataFrame:
-    """The last n rows of a group. A row takes a byte at least, so no more fit a budget of n; ranks are cut within each task before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order)))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= max(n, 1)).drop("_rank")
-
-
 def tail_pack(df: DataFrame, group: str, order: str, size: Column, budget: int | Column) -> DataFrame:
     """The newest rows whose sizes (and a line end each) fit the budget; nothing behind the first that doesn't."""
-    newest = Window.partitionBy(group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    if isinstance(budget, int):
-        df = _last(df, [group], order, budget)
-    return df.withColumn("used", F.sum(size + 1).over(newest)).where(F.col("used") <= limit)
+    return scan.running(df.where(F.col(group).isNotNull()), [group], [order], size + 1, "used", descending=True).where(F.col("used") <= limit)
 
 
-def two_class_pack(df: DataFrame, group: str, order: str, size: Column, filler: Column, budget: int, limit: Column | None = None) -> DataFrame:
-    """tail_pack of the rows that aren't filler; what they leave of the budget goes to the newest filler. Keeps used of the class.
-
-    limit: the budget of a row's group, at most budget."""
-    limit = F.lit(budget) if limit is None else limit
-    newest = Window.partitionBy(group, "_filler").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    sized = _last(df.withColumn("_filler", filler).withColumn("_limit", limit), [group, "_filler"], order, budget).withColumn("used", F.sum(size + 1).over(newest))
-    taken = F.max(F.when(~F.col("_filler") & (F.col("used") <= F.col("_limit")), F.col("used"))).over(Window.partitionBy(group))
-    left = F.when(F.col("_filler"), F.col("_limit") - F.coalesce(taken, F.lit(0))).otherwise(F.col("_limit"))
-    return sized.withColumn("_left", left).where("used <= _left").withColumnRenamed("_filler", "filler").drop("_left", "_limit")
+def two_class_pack(df: DataFrame, group: str, order: str, size: Column, filler: Column, budget: int | Column) -> DataFrame:
+    """tail_pack of the rows that aren't filler; what they leave of the budget (constant in a group) goes to the newest filler. Keeps used of the class."""
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    marked = df.where(F.col(group).isNotNull()).withColumn("filler", filler).withColumn("_limit", limit)
+    sized = scan.running(marked, [group, "filler"], [order], size + 1, "used", descending=True).where(F.col("used") <= F.col("_limit"))
+    taken = sized.where(~F.col("filler")).groupBy(group).agg(F.max("used").alias("_taken"))
+    left = F.col("_limit") - F.when(F.col("filler"), F.coalesce("_taken", F.lit(0))).otherwise(F.lit(0))
+    return sized.join(taken, group, "left").where(F.col("used") <= left).drop("_taken", "_limit")
 
 
 def roll_forward(needs: Column, budget: int) -> Column:

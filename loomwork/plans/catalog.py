@@ -44,25 +44,30 @@ def oracle_sql() -> dict[str, str]:
 # --- relations ---------------------------------------------------------------------------------
 
 
-def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.first_received(table(spark, d, "messages"), ["session_key", "seq"], "message_id")
+def _messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Messages without repeated rows; only the named columns (and the keys) are read and shuffled."""
+    m = table(spark, d, "messages")
+    return sessions.first_received(m.select("session_key", "seq", "message_id", *columns) if columns else m, ["session_key", "seq"], "message_id")
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.latest_snapshot(table(spark, d, "sessions"))
 
 
-def _commits(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "commits").dropDuplicates()
+def _commits(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Commits without repeated rows, which are equal in all columns."""
+    c = table(spark, d, "commits")
+    return (c.select("sha", *columns) if columns else c).dropDuplicates()
 
 
-def _rules(spark: SparkSession, d: str) -> DataFrame:
+def _rules(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """rule_entries with (sha, kind, pos) unique: of repeated ones the lowest rule_id."""
-    return sessions.first_received(table(spark, d, "rule_entries"), ["sha", "kind", "pos"], "rule_id")
+    r = table(spark, d, "rule_entries")
+    return sessions.first_received(r.select("sha", "kind", "pos", "rule_id", *columns) if columns else r, ["sha", "kind", "pos"], "rule_id")
 
 
 def _commit_files(spark: SparkSession, d: str) -> DataFrame:
-    return _rules(spark, d).select("sha", F.explode("files").alias("path")).where("path <> ''").distinct()
+    return _rules(spark, d, "files").select("sha", F.explode("files").alias("path")).where("path <> ''").distinct()
 
 
 # --- nested records ----------------------------------------------------------------------------
@@ -100,23 +105,23 @@ def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.M + f"select session_key, min(seq) as seq, text from (select session_key, seq, {S.strip_wrappers('text')} as text from m where {S.HUMAN}) where text <> '' and not {S.ARTIFACT} group by session_key, text")
 def human_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.human_requests(_messages(spark, sf_dir))
+    return sessions.human_requests(_messages(spark, sf_dir, "role", "meta", "text"))
 
 
 @query(S.M + f"select session_key, count(*) as messages from m group by session_key having bool_or(({S.HUMAN}) or coalesce(role = 'assistant' and (text <> '' or coalesce(thinking, '') <> '' or coalesce(len(tools), 0) > 0), false))")
 def sessions_with_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.sessions_with_signal(_messages(spark, sf_dir))
+    return sessions.sessions_with_signal(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"))
 
 
 @query(S.M + "select t.name as tool, regexp_matches(lower(t.name), 'read|view|grep|search|glob|find|list|ls|fetch|lookup|todo|think|plan|diagnostic') as reading, count(*) as calls, count(*) filter (t.error is not null) as failed from (select unnest(tools) as t from m) group by all")
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _messages(spark, sf_dir).select(F.explode("tools").alias("t"))
+    calls = _messages(spark, sf_dir, "tools").select(F.explode("tools").alias("t"))
     return calls.groupBy(F.col("t.name").alias("tool"), sessions.reading_only(F.col("t.name")).alias("reading")).agg(F.count("*").alias("calls"), F.count("t.error").alias("failed"))
 
 
 @query(S.M + S.TOUCHED + "select session_key, row_number() over (partition by session_key order by seq desc, tp, fp) - 1 as place, file from (select session_key, file, seq, tp, fp from touched qualify row_number() over (partition by session_key, file order by seq desc, tp, fp) = 1)")
 def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.touched_files(_messages(spark, sf_dir))
+    return sessions.touched_files(_messages(spark, sf_dir, "tools"))
 
 
 @query(
@@ -125,7 +130,7 @@ def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wrote_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last two steps of every path that a tool names stand for a staged path of a commit of their own."""
-    m = _messages(spark, sf_dir)
+    m = _messages(spark, sf_dir, "tools")
     named = sessions.touched(m).select(F.regexp_extract("file", "([^/]+/[^/]+)$", 1).alias("path")).where("path <> ''").distinct()
     return sessions.wrote_any(sessions.written_files(m), named.select(F.left(F.md5("path"), F.lit(8)).alias("sha"), "path"))
 
@@ -138,19 +143,19 @@ def wrote_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relevant_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates: the sessions in the commit's repository that were updated on its day."""
-    c = _commits(spark, sf_dir).select("sha", F.element_at(F.split("repo", "/"), 2).alias("place"), F.to_date("ts").alias("day"))
+    c = _commits(spark, sf_dir, "repo", "ts").select("sha", F.element_at(F.split("repo", "/"), 2).alias("place"), F.to_date("ts").alias("day"))
     s = _sessions(spark, sf_dir).select("session_key", F.regexp_extract("cwd", "^/srv/work/([^/]+)", 1).alias("place"), F.to_date("updated_ts").alias("day"))
-    return sessions.relevant(c.join(s, ["place", "day"]), sessions.written_files(_messages(spark, sf_dir)), _commit_files(spark, sf_dir))
+    return sessions.relevant(c.join(s, ["place", "day"]), sessions.written_files(_messages(spark, sf_dir, "tools")), _commit_files(spark, sf_dir))
 
 
 @query(S.M + f"select session_key, max(seq) as seq, max_by(text, seq) as text from m where {S.HUMAN} group by session_key")
 def last_human_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.last_human_prompt(_messages(spark, sf_dir))
+    return sessions.last_human_prompt(_messages(spark, sf_dir, "role", "meta", "text"))
 
 
 @query(S.M + "select session_key, min(ts) as first_ts, max(ts) as last_ts, count(ts) as dated, count(*) - count(ts) as undated from m group by session_key")
 def session_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_span(_messages(spark, sf_dir))
+    return sessions.session_span(_messages(spark, sf_dir, "ts"))
 
 
 @query("select lower(session_id) as session, max_by(git_branch, {'a': entry_id, 'b': git_branch}) filter (git_branch <> '') as git_branch, max_by(cwd, {'a': entry_id, 'b': cwd}) filter (cwd <> '' and not starts_with(cwd, '<')) as cwd, max_by(ai_title, {'a': entry_id, 'b': ai_title}) filter (ai_title <> '') as ai_title from log_entries where session_id is not null group by 1")
@@ -176,7 +181,7 @@ _FROM, _TO = "2025-05-01 00:00:00", "2025-09-01 00:00:00"
     " select session_key, seq, ts, bool_or(ts is null) over (partition by session_key) as approximate from x"
 )
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sessions.time_slice(_messages(spark, sf_dir), _sessions(spark, sf_dir), F.to_timestamp(F.lit(_FROM)), F.to_timestamp(F.lit(_TO)))
+    found = sessions.time_slice(_messages(spark, sf_dir, "ts"), _sessions(spark, sf_dir), F.to_timestamp(F.lit(_FROM)), F.to_timestamp(F.lit(_TO)))
     return found.select("session_key", "seq", "ts", "approximate")
 
 
@@ -209,14 +214,14 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     " select sha, array_to_string(list_sort(list_distinct(list(session_id) filter (session_id <> ''))), ',') as session_ids, array_to_string(list_sort(list_distinct(list(agent))), '+') || coalesce('/' || nullif(array_to_string(list_sort(list_distinct(list(model) filter (model <> ''))), '+'), ''), '') as label, array_to_string(list_sort(list_distinct(list(sha256(session_key)))), ',') as transcripts from l group by sha"
 )
 def commit_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _commits(spark, sf_dir).select("sha", F.element_at(F.split("repo", "/"), 2).alias("place"), F.to_date("ts").alias("day"))
+    c = _commits(spark, sf_dir, "repo", "ts").select("sha", F.element_at(F.split("repo", "/"), 2).alias("place"), F.to_date("ts").alias("day"))
     s = _sessions(spark, sf_dir).select("session_key", "session_id", "agent", "model", F.regexp_extract("cwd", "^/srv/work/([^/]+)", 1).alias("place"), F.to_date("updated_ts").alias("day"))
     return sessions.commit_metadata(c.join(s, ["place", "day"]))
 
 
 @query(S.M + "select session_key, min_by(thinking, seq) filter (thinking <> '') as thinking from m group by session_key")
 def first_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.first_position(_messages(spark, sf_dir), "session_key", "seq", "thinking")
+    return rules.first_position(_messages(spark, sf_dir, "thinking"), "session_key", "seq", "thinking")
 
 
 # --- sequences ---------------------------------------------------------------------------------
@@ -227,7 +232,7 @@ def first_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
     " select session_key, min(seq) as first, count(*) as repeats, any_value(role) as role, any_value(role) || case when count(*) > 1 then ' ×' || count(*) else '' end as shown from y group by session_key, run"
 )
 def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = sequence.collapse_repeats(_messages(spark, sf_dir).where("role is not null"), "session_key", "seq", "role")
+    runs = sequence.collapse_repeats(_messages(spark, sf_dir, "role").where("role is not null"), "session_key", "seq", "role")
     return runs.withColumn("shown", sequence.repeat_mark(F.col("role"), F.col("repeats")))
 
 
@@ -236,7 +241,7 @@ _SIZE = "octet_length(encode(coalesce(text, '')))"
 
 @query(S.M + f"select session_key, seq, used from (select session_key, seq, sum({_SIZE} + 1) over (partition by session_key order by seq desc rows unbounded preceding)::bigint as used from m) where used <= 4000")
 def tail_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _messages(spark, sf_dir).select("session_key", "seq", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    m = _messages(spark, sf_dir, "text").select("session_key", "seq", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     return sequence.tail_pack(m, "session_key", "seq", F.col("n"), 4000).select("session_key", "seq", "used")
 
 
@@ -245,12 +250,15 @@ def tail_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     " select session_key, seq, filler, used from z where used <= case when filler then 3000 - taken else 3000 end"
 )
 def two_class_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _messages(spark, sf_dir)
+    m = _messages(spark, sf_dir, "text", "tools")
     sized = m.select("session_key", "seq", (F.coalesce("text", F.lit("")) == "").alias("empty"), (F.octet_length(F.coalesce("text", F.lit(""))) + F.coalesce(F.size("tools"), F.lit(0)) * 40).cast("long").alias("n"))
     return sequence.two_class_pack(sized, "session_key", "seq", F.col("n"), F.col("empty"), 3000).select("session_key", "seq", "filler", "used")
 
 
-@query()
+@query(
+    S.LS + ", n as (select cwd, cast(updated_ts as date) as day, list(session_key order by updated_ts, session_key) as sessions, list(coalesce(cursor_bytes, 0)::bigint order by updated_ts, session_key) as needs from ls where cwd <> '' and updated_ts is not null group by all)"
+    " select cwd, day, sessions, list_reduce(list_transform(needs, lambda x: [x]), lambda acc, x: list_append(acc, least(x[1], (24000 - coalesce(list_sum(acc), 0)::bigint) // (len(needs) - len(acc)))), []::bigint[]) as shares from n"
+)
 def share_rollforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of a repository's sessions of a day gets of 24000 bytes, oldest first."""
     s = _sessions(spark, sf_dir).where("cwd <> '' and updated_ts is not null").withColumn("day", F.to_date("updated_ts"))
@@ -264,7 +272,7 @@ def share_rollforward(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def elision_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left out: what neither fits 2000 bytes from the end nor has a sequence number that divides by seven."""
-    m = _messages(spark, sf_dir).select("session_key", "seq", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    m = _messages(spark, sf_dir, "text").select("session_key", "seq", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     packed = sequence.tail_pack(m, "session_key", "seq", F.col("n"), 2000).select("session_key", "seq", F.lit(True).alias("fits"))
     marked = m.join(packed, ["session_key", "seq"], "left")
     return sequence.elisions(marked, "session_key", "seq", F.coalesce("fits", F.lit(False)) | (F.col("seq") % 7 == 0))
@@ -272,7 +280,7 @@ def elision_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.M + S.LS + "select cwd, session_key, seq, session_key is distinct from lag(session_key) over (partition by cwd order by updated_ts, session_key, seq) as header from (select ls.cwd, ls.updated_ts, m.session_key, m.seq from m join ls using (session_key) where ls.cwd <> '' and ls.updated_ts is not null and m.role = 'user')")
 def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _messages(spark, sf_dir).where("role = 'user'").select("session_key", "seq").join(_sessions(spark, sf_dir).where("cwd <> '' and updated_ts is not null").select("session_key", "cwd", "updated_ts"), "session_key")
+    m = _messages(spark, sf_dir, "role").where("role = 'user'").select("session_key", "seq").join(_sessions(spark, sf_dir).where("cwd <> '' and updated_ts is not null").select("session_key", "cwd", "updated_ts"), "session_key")
     return sequence.section_starts(m, "cwd", ["updated_ts", "session_key", "seq"], "session_key", F.unix_date(F.to_date("updated_ts"))).select("cwd", "session_key", "seq", "header")
 
 
@@ -282,7 +290,7 @@ def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cap_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the ASCII texts, whose cut length is the cap itself; a budget of 2000 bytes."""
-    m = _messages(spark, sf_dir).where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    m = _messages(spark, sf_dir, "text").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
     return sequence.best_cap(m, "session_key", "text", 2000)
 
 
@@ -306,20 +314,20 @@ _TOOL_SQL = "'  · ' || coalesce(x.name, '') || case when coalesce(x.error, '')
 )
 def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routine calls of each message as text; messages with a summary that would be cut are left to the tests."""
-    m = _messages(spark, sf_dir).where("tools is not null and not exists(tools, x -> octet_length(coalesce(x.summary, '')) > 200)")
+    m = _messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools").where("tools is not null and not exists(tools, x -> octet_length(coalesce(x.summary, '')) > 200)")
     failures = F.size(F.filter(F.slice("tools", 1, 12), lambda t: text.nonempty(t["error"]).isNotNull())).cast("long")
     return compact.rendered(m).join(m.select("session_key", "seq", failures.alias("failures")), ["session_key", "seq"]).select("session_key", "seq", "failures", "did")
 
 
 @query()
 def session_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact.payloads(_messages(spark, sf_dir), _sessions(spark, sf_dir), 6000)
+    return compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), 6000)
 
 
 @query()
 def model_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads through a scripted model that answers with fenced JSON, decoded again."""
-    prompts = compact.payloads(_messages(spark, sf_dir), _sessions(spark, sf_dir), 6000)
+    prompts = compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), 6000)
     numbered = prompts.select(F.xxhash64("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), F.array().cast("array<string>")).alias("prompt"))
     answer = 'Here it is:\n```json\n{"rejected": [], "invariants": [{"rule": "keep {braces}", "why": "they balance", "files": ["a.py"]}], "claims": ["it \\"works\\""]}\n```'
     answers = model.mapped(numbered, model.Scripted(_Fixed(answer)))
@@ -372,7 +380,7 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     " len(list_filter(list_transform(string_split(coalesce(body, ''), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) as items, starts_with(lower(coalesce(subject, '')), 'why:') as keyed from p"
 )
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _commits(spark, sf_dir).select("sha", "subject", "body").distinct()
+    c = _commits(spark, sf_dir, "subject", "body").select("sha", "subject", "body").distinct()
     return c.select("sha", text.message_text(F.col("subject"), F.col("body")).alias("message"), text.first_line(F.col("body")).alias("first"), F.size(text.split_list(F.coalesce("body", F.lit("")))).cast("long").alias("items"), text.has_key(F.coalesce("subject", F.lit("")), "why").alias("keyed"))
 
 
@@ -435,7 +443,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.coalesce("why", F.lit("")) == "", "unclear").when(F.coalesce(F.size("files"), F.lit(0)) <= 0, "contradicted").otherwise("Supported")
     verdicts = r.select("sha", F.struct("kind", "pos").alias("idx"), status.alias("status"))
     claims = r.select("sha", F.struct("kind", "pos").alias("idx"), F.col("rule").alias("claim"))
-    return rules.confidence(_commits(spark, sf_dir), rules.attached(verdicts, claims))
+    return rules.confidence(table(spark, sf_dir, "commits").select("sha"), rules.attached(verdicts, claims))
 
 
 @query(S.R + "select sha, len(list_distinct(flatten(list(list_filter(files, lambda x: x <> '')))))::bigint as n from r where files is not null group by sha")
@@ -470,7 +478,15 @@ def merge_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.merged(parts)
 
 
-@query()
+_TOKENS_SQL = f"list_sort(list_distinct(list_transform(list_filter(string_split_regex(lower(rule), '[^a-z0-9а-яё]+'), lambda w: w <> '' and not list_contains({list(text.STOPWORDS)!r}, w)), lambda w: {S.SINGULAR})))"
+
+
+@query(
+    f"with t as (select rule_id, sha, kind, {S.trimmed('rule')} as rule, {_TOKENS_SQL} as t from rule_entries where rule is not null and sha is not null and kind is not null),"
+    " p as (select x.rule_id as a, y.rule_id as b, x.rule as ra, y.rule as rb, len(x.t) as na, len(y.t) as nb, list_filter(x.t, lambda w: regexp_full_match(w, '[0-9]+')) = list_filter(y.t, lambda w: regexp_full_match(w, '[0-9]+')) as numbers, list_intersect(x.t, y.t) as i, len(list_distinct(list_concat(x.t, y.t))) as u from t x join t y on x.sha = y.sha and x.kind = y.kind and x.rule_id < y.rule_id),"
+    " q as (select *, len(i) / u as j, len(list_filter(i, lambda w: octet_length(encode(w)) >= 6 or regexp_matches(w, '[0-9]'))) > 0 as heavy from p where len(i) > 0)"
+    " select a, b, round(j, 6) as score, heavy from q where ra <> '' and rb <> '' and numbers and case when na < 3 or nb < 3 then lower(ra) = lower(rb) else j >= 0.55 or (j >= 0.32 and heavy) end"
+)
 def similar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a commit's entries of one kind that would fold."""
     r = table(spark, sf_dir, "rule_entries").where("rule is not null and sha is not null and kind is not null")
@@ -491,10 +507,17 @@ def valid_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.PARSE)
 def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record.parsed(_commits(spark, sf_dir))
+    return record.parsed(_commits(spark, sf_dir, "body", "note"))
 
 
-@query()
+def _flat(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{S.UNICODE_SPACE}+', ' ', 'g'), ' ')"
+
+
+
+@query(
+    S.R + f"select sha, kind, row_number() over (partition by sha order by case when kind = 'reject' then 0 else 1 end, pos) - 1 as pos, {_flat('rule')} as rule, nullif({_flat('why')}, '') as why, list_filter(coalesce(files, []), lambda x: x <> '') as files from r where kind in ('reject', 'invariant') and trim(rule) <> ''"
+)
 def render_and_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries written as a block and read again."""
     r = _rules(spark, sf_dir).where("kind in ('reject', 'invariant') and trim(rule) <> ''")
@@ -502,17 +525,19 @@ def render_and_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.parsed(blocks.select("sha", F.col("block").alias("body"), F.lit(None).cast("string").alias("note")), record.SESSION_RECORD)
 
 
-@query(
-    S.CO + ", t as (select sha, regexp_extract(regexp_replace(body, '\\s+\\z', ''), '(?s)(?:\\A|\\n[ \\t]*\\n)((?:[A-Za-z][\\w-]*:[^\\n]*(?:\\n|\\z)(?:[ \\t]+\\S[^\\n]*(?:\\n|\\z))*)+)\\z', 1) as last from c), l as (select sha, i - 1 as pos, string_split(regexp_replace(last, '\\n[ \\t]+', ' ', 'g'), chr(10))[i] as line from t, unnest(range(1, len(string_split(last, chr(10))) + 1)) as u(i))"
-    " select sha, pos, regexp_extract(line, '^([^:]+):', 1) as key, regexp_replace(regexp_replace(line, '^[^:]+:', ''), '^\\s+|\\s+$', '', 'g') as value from l where line <> '' and regexp_matches(line, '^[A-Z][A-Za-z]*(?:-[A-Z]\\w*)*:')"
-)
+@query(S.CO + S.TRAILER_TABLES + "select sha, pos, key, value from trailers")
 def commit_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record.trailers(_commits(spark, sf_dir))
+    return record.trailers(_commits(spark, sf_dir, "body"))
 
 
-@query()
+@query(
+    S.PARSE_TABLES + S.TRAILER_TABLES
+    + ", tr as (select sha, max(value) filter (ends_with(lower(key), '-agent')) as agent, max(value) filter (ends_with(lower(key), '-confidence')) as confidence, list_sort(list_distinct(list(value) filter (ends_with(lower(key), '-disputed')))) as disputed from trailers group by sha),"
+    " en as (select sha, count(*) filter (kind = 'reject') as rejected, count(*) filter (kind = 'invariant') as invariants from q where rule <> '' group by sha)"
+    " select sha, agent, confidence, coalesce(disputed, []) as disputed, coalesce(rejected, 0) as rejected, coalesce(invariants, 0) as invariants from c left join tr using (sha) left join en using (sha) where agent <> '' or confidence <> '' or rejected + invariants > 0"
+)
 def commit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _commits(spark, sf_dir)
+    c = _commits(spark, sf_dir, "body", "note")
     return record.records(c, record.parsed(c), record.trailers(c))
 
 
@@ -520,12 +545,12 @@ def commit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat(F.lit("<session-record>\nreject: "), F.col("subject"), F.lit("\n</session-record>"))
     lines = record.trailers_of([("Agent", F.array(F.lit("agent-a"))), ("Disputed", F.array(F.lit(""))), ("Files", F.array("repo"))])
-    return _commits(spark, sf_dir).select("sha", record.composed(F.coalesce("body", F.lit("")), block, lines).alias("message"))
+    return _commits(spark, sf_dir, "subject", "body", "repo").select("sha", record.composed(F.coalesce("body", F.lit("")), block, lines).alias("message"))
 
 
 @query(S.SERVED + "select path, ord, sha, text, total, count(*) over (partition by path) as kept from fit")
 def served_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record.served(_commit_files(spark, sf_dir), _rules(spark, sf_dir), _commits(spark, sf_dir))
+    return record.served(_commit_files(spark, sf_dir), _rules(spark, sf_dir, "rule", "files"), _commits(spark, sf_dir, "short", "ts"))
 
 
 @query(S.SERVED + ", k as (select *, count(*) over (partition by path) as kept from fit) select path, any_value(kept) as commits, any_value(total) - any_value(kept) as dropped, 'Rules from ' || any_value(kept) || case when any_value(kept) = 1 then ' commit' else ' commits' end || ' that bind ' || path || ':' || chr(10) || string_agg(text, '' order by ord) || case when any_value(total) > any_value(kept) then '… and ' || (any_value(total) - any_value(kept)) || ' more for ' || path || chr(10) else '' end as text from k group by path")
@@ -533,7 +558,7 @@ def served_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.served_text(served_context(spark, sf_dir))
 
 
-@query()
+@query(S.SERVED + "select path, to_json({'file': path, 'commits': list({'commit': sha, 'text': text} order by ord)})::varchar as json from fit group by path")
 def served_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.served_json(served_context(spark, sf_dir))
 

@@ -57,7 +57,7 @@ SERVED = (
     )
 )
 #: Entries of the first block of a message, by running entry and field numbers.
-PARSE = (
+PARSE_TABLES = (
     CO
     + Cte(
         r"x as (select sha, concat_ws(chr(10) || chr(10), body, note) as t from c)",
@@ -71,7 +71,13 @@ PARSE = (
         r"p as (select sha, entry, piece, max(head) as head, max(field) as field, string_agg(text, ' ' order by n) filter (text <> '') as text from (select *, regexp_replace(case when head <> '' then regexp_replace(line, '(?i)^(reject|invariant):', '') when field <> '' then regexp_replace(line, '(?i)^\s*(why|file):', '') else line end, '^\s+|\s+$', '', 'g') as text from d where entry > 0 and not dead) group by all)",
         r"q as (select sha, entry, max(head) as kind, max(text) filter (field = 'rule') as rule, max_by(coalesce(text, ''), piece) filter (field = 'why') as why, coalesce(flatten(list(list_filter(list_transform(string_split(text, ','), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') order by piece) filter (field = 'file' and text is not null)), []) as files from p group by sha, entry)",
     )
-    + "select sha, kind, row_number() over (partition by sha order by entry) - 1 as pos, rule, why, files from q where rule <> ''"
+)
+PARSE = PARSE_TABLES + "select sha, kind, row_number() over (partition by sha order by entry) - 1 as pos, rule, why, files from q where rule <> ''"
+#: Trailer lines behind the last blank line of a body.
+TRAILER_TABLES = Cte(
+    r"t1 as (select sha, regexp_extract(regexp_replace(body, '\s+\z', ''), '(?s)(?:\A|\n[ \t]*\n)((?:[A-Za-z][\w-]*:[^\n]*(?:\n|\z)(?:[ \t]+\S[^\n]*(?:\n|\z))*)+)\z', 1) as last from c)",
+    r"t2 as (select sha, i - 1 as pos, string_split(regexp_replace(last, '\n[ \t]+', ' ', 'g'), chr(10))[i] as line from t1, unnest(range(1, len(string_split(last, chr(10))) + 1)) as u(i))",
+    r"trailers as (select sha, pos, regexp_extract(line, '^([^:]+):', 1) as key, regexp_replace(regexp_replace(line, '^[^:]+:', ''), '^\s+|\s+$', '', 'g') as value from t2 where line <> '' and regexp_matches(line, '^[A-Z][A-Za-z]*(?:-[A-Z]\w*)*:'))",
 )
 
 
