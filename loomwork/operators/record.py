@@ -74,6 +74,20 @@ def composed(existing: Column, block: Column, trailers: Column) -> Column:
     return F.concat_ws("\n\n", nonempty(F.regexp_replace(existing, r"\n+\z", "")), nonempty(block), nonempty(trailers))
 
 
+def needs_record(source: Column, message: Column, staged: Column, enabled: Column | None = None, name: str = ANY_NAME) -> Column:
+    """Whether a commit that is being made gets a record: not a merge or squash, none there yet, something staged, and not switched off."""
+    fresh = ~F.coalesce(source, F.lit("")).isin("merge", "squash") & block_in(F.coalesce(message, F.lit("")), name).isNull() & (F.coalesce(staged, F.lit(0)) > 0)
+    return fresh if enabled is None else fresh & F.coalesce(enabled, F.lit(True))
+
+
+def headline(rejected: Column, invariants: Column, confidence: Column) -> Column:
+    """One line on what a record holds."""
+    from loomwork.functions.text import plural
+
+    parts = F.concat_ws(", ", F.when(rejected > 0, F.concat(rejected.cast("string"), F.lit(" rejected"))), F.when(invariants > 0, plural(invariants, "invariant", "invariants")))
+    return F.concat(F.when(parts == "", "no rules").otherwise(parts), F.lit(" ("), confidence, F.lit(")"))
+
+
 # --- parsing ---------------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -217,3 +217,18 @@ def sessions_of(lines: DataFrame, repo: str, agent: str) -> DataFrame:
     known = F.coalesce("cwd", F.when(F.col("project").isin(slug, slug.removeprefix("-")), F.lit(repo)))
     root = repo.rstrip("/")
     return per.withColumn("cwd", known).where((F.col("cwd") == root) | F.col("cwd").startswith(root + "/")).select(F.col("path").alias("session_key"), F.lit(agent).alias("agent"), "session_id", "cwd", "title", F.timestamp_seconds("updated").alias("updated_ts"), "cursor_bytes")
+
+
+def all_sessions(spark: SparkSession, repo: str, readers: list[tuple[str, str, str]]) -> tuple[DataFrame, list[str]]:
+    """(sessions of a repository over all readers, what went wrong). readers: (agent, layout, root); a reader that fails is left out and named."""
+    found, failed = None, []
+    for agent, layout, root in readers:
+        try:
+            discovered(root, layout)
+            part = sessions_of(spark.read.format("session_log").option("root", root).option("layout", layout).load(), repo, agent)
+            found = part if found is None else found.unionByName(part)
+        except (KeyError, OSError) as e:
+            failed.append(f"{agent}: {type(e).__name__} {e}")
+    if found is None:
+        found = spark.createDataFrame([], "session_key string, agent string, session_id string, cwd string, title string, updated_ts timestamp, cursor_bytes long")
+    return found, failed
