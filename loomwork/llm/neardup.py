@@ -6,7 +6,7 @@ intersected exactly. To keep the tiles small, records meet under the rarest word
 shares one of them, early enough to leave room for the rest), and a word that many records hold is cut into blocks, so no tile exceeds about 2 x BLOCK records.
 Exact copies are one class from the start and are joined through their representative.
 
-Defined results: null texts count as empty; records without words are in no pair; copies are pairs with similarity 1;
+Defined results: null texts count as empty; records without words or id are in no pair; copies are pairs with similarity 1;
 ties and repeated rows keep their own ids. Words are compared by 64-bit hashes within a pair.
 """
 
@@ -35,7 +35,7 @@ def classes(df: DataFrame, id_column: str, words: Column) -> tuple[DataFrame, Da
     """(members, reps). members: record, digest of its word set. reps: one row per word set with digest, class_id (the smallest
     record that has it), words and copies. Records without words are left out. Counts combine before the shuffle, so a set that
     a third of all records share costs one row a task, and members are never gathered."""
-    sets = staged(df.select(F.col(id_column).alias("record"), words.alias("words")).where("size(words) > 0").withColumn("digest", F.md5(F.concat_ws(",", F.col("words").cast("array<string>")))))
+    sets = staged(df.select(F.col(id_column).alias("record"), words.alias("words")).where("record is not null and size(words) > 0").withColumn("digest", F.md5(F.concat_ws(",", F.col("words").cast("array<string>")))))
     reps = sets.groupBy("digest").agg(F.min("record").alias("class_id"), F.any_value("words").alias("words"), F.count("*").alias("copies"))
     return sets.select("record", "digest"), staged(reps)
 
