@@ -3,7 +3,8 @@
     served = once_stream(touches)          # session, seq, path, reset [, forced]
 
 Within a micro-batch a session's touches are handled in order of seq. Negative results are kept too: a file without rules is
-looked up once. A session's state goes when it is reset, or when it was silent for ttl."""
+looked up once. A session's state goes when it is reset, or when it was silent for ttl. Keyed state needs Spark's RocksDB provider
+(spark.sql.streaming.stateStore.providerClass)."""
 
 from __future__ import annotations
 
