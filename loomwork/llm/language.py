@@ -26,7 +26,8 @@ SAMPLE_DOCUMENTS, DICTIONARY_CHARS, MIN_LETTERS = 2000, 40_000, 8
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.02
 #: lang_codes is a fixed list; a larger table than this is an error, as every task holds it.
 CODES_LIMIT = 5000
-LEVEL = 1
+#: Settings of the encoder, the same for every language: one quick search per position in a window that holds dictionary and text; fixed values.
+ENCODER = {"window_log": 17, "hash_log": 14, "chain_log": 6, "search_log": 1, "min_match": 5, "target_length": 1, "strategy": zstandard.STRATEGY_FAST}
 
 _BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 _FENCE = re.compile(r"^\s{0,3}(?:```|~~~)")
@@ -81,8 +82,9 @@ class Languages:
         self._size = []
         for code in self.codes:
             raw = zstandard.ZstdCompressionDict(self.content[code].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self._size.append(zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            settings = zstandard.ZstdCompressionParameters(**ENCODER, write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw.precompute_compress(compression_params=settings)
+            self._size.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=raw).compress)
 
     def __reduce__(self):
         return Languages, (self.content,)
