@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCUMENTS, DICTIONARY_CHARS, MIN_LETTERS = 2000, 40_000, 8
 #: Narrow margins: the runner-up must take so many more bytes, and so large a share of the best more.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.02
+#: Characters that are encoded at once.
+PIECE = 2000
 #: lang_codes is a fixed list; a larger table than this is an error, as every task holds it.
 CODES_LIMIT = 5000
 #: Settings of the encoder, the same for every language: one quick search per position in a window that holds dictionary and text; fixed values.
@@ -93,8 +95,9 @@ class Languages:
         """(language or None, confidence)."""
         if not prose or len(self.codes) < 2:
             return None, 0.0
-        data = prose.encode()
-        sizes = [len(f(data)) for f in self._size]
+        # long texts are encoded in pieces, each against the dictionaries; else what a text repeats of itself would outweigh them
+        pieces = [prose[i : i + PIECE].encode() for i in range(0, len(prose), PIECE)]
+        sizes = [sum(len(f(piece)) for piece in pieces) for f in self._size] if len(pieces) > 1 else [len(f(pieces[0])) for f in self._size]
         best = min(sizes)
         at = sizes.index(best)
         second = min(x for i, x in enumerate(sizes) if i != at)

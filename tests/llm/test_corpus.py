@@ -176,6 +176,15 @@ def test_held_out_accuracy(spark, sf):
     assert sum(a == b for a, b in got) / len(got) > 0.75
 
 
+def test_long_texts_are_classified_whole():
+    import random
+
+    rng = random.Random(5)
+    mixed = lambda t: " ".join(rng.choice(t.format("x").split()) for _ in range(60_000))
+    model = L.Languages({"en": EN.format("a") * 3, "de": DE.format("a") * 3, "fr": FR.format("a") * 3})
+    assert [model.classify(mixed(t))[0] for t in (EN, DE, FR)] == ["en", "de", "fr"]
+
+
 def test_narrow_margins_are_rejected():
     model = L.Languages({"aa": "lorem ipsum dolor sit amet " * 20, "bb": "lorem ipsum dolor sit amet " * 20})
     assert model.classify("lorem ipsum dolor sit amet") == (None, 0.0)
