@@ -55,7 +55,7 @@ def test_wrappers_and_ids(spark):
     assert len(set(same)) == 1
 
 
-@pytest.mark.parametrize("path,staged,hit", [("/r/internal/limiter.go", "internal/limiter.go", True), ("internal/limiter.go", "internal/limiter.go", True), ("./internal/limiter.go", "internal/limiter.go", True), ("/r/internal/limiter.go.bak", "internal/limiter.go", False), ("/r/other/limiter.go", "internal/limiter.go", False), ("limiter.go", "internal/limiter.go", False)])
+@pytest.mark.parametrize("path,staged,hit", [("/r/pkg/gauge.go", "pkg/gauge.go", True), ("pkg/gauge.go", "pkg/gauge.go", True), ("./pkg/gauge.go", "pkg/gauge.go", True), ("/r/pkg/gauge.go.bak", "pkg/gauge.go", False), ("/r/other/gauge.go", "pkg/gauge.go", False), ("gauge.go", "pkg/gauge.go", False)])
 def test_staged_path_is_a_suffix(spark, path, staged, hit):
     w = spark.createDataFrame([("s", path)], "session_key string, file string")
     assert (sessions.wrote_any(w, spark.createDataFrame([("c", staged)], "sha string, path string")).count() == 1) == hit
@@ -68,9 +68,9 @@ def test_staged_path_is_a_suffix(spark, path, staged, hit):
     "a,b,rule,plain",
     [
         ("keep the snapshot copy of the store file", "keep the snapshot copy of our store file", True, True),
-        ("set the timeout to 30s", "set the timeout to 60s", True, False),  # a shared heavy word folds rules, not claims
+        ("move the deadline to 30s", "move the deadline to 60s", True, False),  # a shared heavy word folds rules, not claims
         ("use approach 1 for the parser cache", "use approach 2 for the parser cache", False, False),
-        ("first rule that must hold", "second rule that must hold", False, False),
+        ("north case we keep open", "south case we keep open", False, False),
         ("ok", "OK", True, True), ("", "x", False, False),
     ],
 )
