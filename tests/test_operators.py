@@ -70,7 +70,7 @@ def test_staged_path_is_a_suffix(spark, path, staged, hit):
         ("keep the snapshot copy of the store file", "keep the snapshot copy of our store file", True, True),
         ("move the deadline to 30s", "move the deadline to 60s", True, False),  # a shared heavy word folds rules, not claims
         ("use approach 1 for the parser cache", "use approach 2 for the parser cache", False, False),
-        ("north case we keep open", "south case we keep open", False, False),
+        ("north must stay open", "south must stay open", False, False),
         ("ok", "OK", True, True), ("", "x", False, False),
     ],
 )
