@@ -4,7 +4,7 @@ Method, bootstrapped contextual extraction: each task finds candidate spans and
 and right) they stand in. Seed entities - spans whose own form is beyond doubt, and names whose given name is in the
 lexicon and is no ordinary word - give patterns a first score. Spark then scores the graph of patterns and instances in
 turns: a pattern is as good as the share of sure instances it holds, an instance as sure as its patterns together, and
-after the last turn the patterns that score high bring in identifiers that no seed named. Of overlapping spans the surest stays.
+after the last turn the patterns that score high bring in identifiers that no seed named. Of overlapping spans those stay that are surest together.
 
 Defined results: null, blank or unreadable text has nothing; repeated rows count each under their own id; the same item
 found twice in one part is one row; without seeds or candidates the result is empty. Texts are read whole.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.spans import Spans
+from loomwork.llm.spans import Spans, heaviest
 from loomwork.sources.rawjson import message_parts
 from loomwork.sources.stage import staged
 
@@ -239,8 +239,28 @@ def personal_information(log_entries: DataFrame, messages: DataFrame, lexicon: D
         .withColumn("rank", F.col("seed") * 0.5 + F.col("belief"))
         .where((F.col("seed") == 1) | (F.col("belief") >= SURE))
     )
-    best = scored.groupBy("row_table", "row_id", "part_no", "slot").agg(F.max(F.struct("rank", F.length("found_text").alias("n"), "start", "kind", "found_text")).alias("x"))
-    return best.select("row_table", "row_id", "part_no", F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.found_text").alias("found_text"))
+    slots = scored.groupBy("row_table", "row_id", "part_no", "slot").agg(F.collect_list(F.struct("start", "kind", "found_text", "seed", "rank")).alias("spans"))
+    return slots.select("row_table", "row_id", "part_no", "spans").mapInArrow(_disjoint, _ITEMS_DDL)
+
+
+_ITEMS = pa.schema([_SPANS.field(c) for c in ("row_table", "row_id", "part_no", "start", "kind", "found_text")])
+_ITEMS_DDL = "row_table string, row_id long, part_no long, start long, kind string, found_text string"
+
+
+def surest(spans: list[dict]) -> list[dict]:
+    """The spans (start, found_text, seed, rank) of a slot that are kept: disjoint, with most seeds, then the highest ranks, then most text, then the last start."""
+    if len(spans) < 2:
+        return spans
+    spans = sorted(spans, key=lambda x: (x["kind"], x["start"], x["found_text"]), reverse=True)
+    places = [(x["start"], x["start"] + len(x["found_text"])) for x in spans]
+    return [spans[i] for i in heaviest(places, [(x["seed"], x["rank"], b - a, a) for x, (a, b) in zip(spans, places)])]
+
+
+def _disjoint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(table, row, part, x["start"], x["kind"], x["found_text"]) for table, row, part, spans in zip(*(c.to_pylist() for c in batch.columns)) for x in surest(spans)]
+        cols = list(zip(*rows)) if rows else [[]] * len(_ITEMS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ITEMS.types)], schema=_ITEMS)
 
 
 def masked(df: DataFrame, id_column: str, text_column: str, items: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Credentials and personal information."""
 
+import itertools
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 
 from loomwork.llm import credentials as K
 from loomwork.llm import personal as P
+from loomwork.llm.spans import heaviest
 
 RANDOM = "q7Lk2Vx9Rt4Zp1Nw8Bs6Dy3H"
 SECRETS = [
@@ -107,3 +109,28 @@ def test_masking_keeps_the_rest(spark):
 )
 def test_literals_that_look_like_code(text, secret):
     assert [text[a:b] for a, b, _ in K.find_secrets(text)] == [secret]
+
+
+def test_every_name_of_a_list_is_found(spark):
+    names = ["Zofia Aaab", "Bruno Cccd", "Karla Eeef"]
+    texts = [", ".join(names), "\n".join(names), "Reviewed by " + ". ".join(names) + ".", "\n".join(", ".join(reversed(n.split())) for n in names)]
+    log = spark.createDataFrame([(i, json.dumps({"role": "user", "content": t}), "x") for i, t in enumerate(texts)], "entry_id long, message string, kind string")
+    says = spark.createDataFrame([(1, texts[0], "x")], "message_id long, text string, seed string")
+    lexicon = spark.createDataFrame([(n.split()[0], False) for n in names], "given_name string, also_a_word boolean")
+    items = P.personal_information(log, says, lexicon)
+    got = sorted((r.row_table, r.row_id, r.found_text) for r in items.collect())
+    turned = [", ".join(reversed(n.split())) for n in names]
+    assert got == sorted([("log_entries", i, n) for i in range(3) for n in names] + [("log_entries", 3, n) for n in turned] + [("messages", 1, n) for n in names])
+    shown = P.masked(says.select("message_id", "text"), "message_id", "text", items.where("row_table = 'messages'")).first().text
+    assert shown == "[PERSON_NAME], [PERSON_NAME], [PERSON_NAME]"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 5), st.integers(0, 1), st.integers(1, 9)), max_size=8))
+def test_heaviest_spans_as_brute_force(given_spans):
+    places, weights = [(a, a + n) for a, n, _, _ in given_spans], [(s, w) for _, _, s, w in given_spans]
+    apart = lambda ix: all(places[i][1] <= places[j][0] or places[j][1] <= places[i][0] for i, j in itertools.combinations(ix, 2))
+    total = lambda ix: tuple(map(sum, zip((0, 0), *(weights[i] for i in ix))))
+    best = max(total(ix) for k in range(len(places) + 1) for ix in itertools.combinations(range(len(places)), k) if apart(ix))
+    got = heaviest(places, weights)
+    assert apart(got) and total(got) == best
