@@ -289,11 +289,17 @@ def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     " best as (select session_key, coalesce(max(case when low <= 1500 then cap end), 240) as cap from per group by 1) select session_key, cap::bigint as cap, low as bytes, cut from best join per using (session_key, cap)"
 )
 def cap_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the ASCII texts, whose cut length is the cap itself; a budget of 2000 bytes."""
+    """Over the ASCII texts, whose cut length is the cap itself; a budget of 2000 bytes. A part only, for its SQL; cap_ladder_whole is the whole."""
     m = _messages(spark, sf_dir, "text").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
     return sequence.best_cap(m, "session_key", "text", 2000)
 
 
+@query()
+def cap_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all texts, cut between characters; a budget of 2000 bytes."""
+    return sequence.best_cap(_messages(spark, sf_dir, "text").where("text is not null"), "session_key", "text", 2000)
+
+
 @query(
     "with l as (select doc_id, i, string_split(text, chr(10))[i] as line from (select doc_id, text from documents where text is not null), unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i)), e as (select doc_id, i, line, sum(case when starts_with(line, ' ') or line = '' then 0 else 1 end) over (partition by doc_id order by i)::bigint as entry from l),"
     " g as (select doc_id, entry, string_agg(line, chr(10) order by i) as text, count(*) as lines from e group by all) select * from g qualify row_number() over (partition by doc_id order by entry desc) <= 3"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomwork import model
 from loomwork.functions import payload, text
 from loomwork.operators import compact, delivery, nested, record, rules, sequence, sessions
+from loomwork.plans import catalog
 from loomwork.settings import Settings, seconds
 from loomwork.sources.rawjson import _deep, parse
 
@@ -356,3 +357,26 @@ def test_settings(spark):
     spark.conf.set("spark.loomwork.parallel", "7")
     assert Settings.load(spark, env={}).parallel == 7 and Settings.load(spark, env={"LOOMWORK_PARALLEL": "2"}).parallel == 2
     spark.conf.unset("spark.loomwork.parallel")
+
+
+# --- queries over all rows, against plain Python -------------------------------------------------
+
+
+def first_messages(spark, sf, *columns):
+    """Messages without repeated rows, by session and number."""
+    rows = spark.read.parquet(f"{sf}/messages.parquet").where("session_key is not null and seq is not null").select("session_key", "seq", "message_id", *columns).collect()
+    return {(r.session_key, r.seq): r for r in sorted(rows, key=lambda r: r.message_id, reverse=True)}
+
+
+def test_cap_ladder_over_all_texts(spark, sf):
+    texts = {}
+    for (key, _), r in first_messages(spark, sf, "text").items():
+        if r.text is not None:
+            texts.setdefault(key, []).append(r.text)
+    assert any(not t.isascii() for ts in texts.values() for t in ts)
+    want = set()
+    for key, ts in texts.items():
+        sizes = {c: sum(len(cut(t, c).encode()) + 3 for t in ts) for c in sequence.ladder()}
+        cap = max((c for c in sizes if sizes[c] <= 1500), default=240)
+        want.add((key, cap, sizes[cap], sum(len(t.encode()) > cap for t in ts)))
+    assert {tuple(r) for r in catalog.queries()["cap_ladder_whole"](spark, sf).collect()} == want
