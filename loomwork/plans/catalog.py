@@ -319,8 +319,21 @@ _TOOL_SQL = "'  · ' || coalesce(x.name, '') || case when coalesce(x.error, '')
     " from m where tools is not null and len(list_filter(tools, lambda x: octet_length(encode(coalesce(x.summary, ''))) > 200)) = 0"
 )
 def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routine calls of each message as text; messages with a summary that would be cut are left to the tests."""
-    m = _messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools").where("tools is not null and not exists(tools, x -> octet_length(coalesce(x.summary, '')) > 200)")
+    """Routine calls of each message as text; messages with a summary that would be cut are left out, for the SQL; tool_lines_whole is the whole."""
+    m = _messages(spark, sf_dir, *_LINE_COLUMNS).where("tools is not null and not exists(tools, x -> octet_length(coalesce(x.summary, '')) > 200)")
+    return _tool_lines(m)
+
+
+@query()
+def tool_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routine calls of each message as text, long summaries cut."""
+    return _tool_lines(_messages(spark, sf_dir, *_LINE_COLUMNS).where("tools is not null"))
+
+
+_LINE_COLUMNS = ("role", "meta", "text", "thinking", "tools")
+
+
+def _tool_lines(m: DataFrame) -> DataFrame:
     failures = F.size(F.filter(F.slice("tools", 1, 12), lambda t: text.nonempty(t["error"]).isNotNull())).cast("long")
     return compact.rendered(m).join(m.select("session_key", "seq", failures.alias("failures")), ["session_key", "seq"]).select("session_key", "seq", "failures", "did")
 

@@ -380,3 +380,29 @@ def test_cap_ladder_over_all_texts(spark, sf):
         cap = max((c for c in sizes if sizes[c] <= 1500), default=240)
         want.add((key, cap, sizes[cap], sum(len(t.encode()) > cap for t in ts)))
     assert {tuple(r) for r in catalog.queries()["cap_ladder_whole"](spark, sf).collect()} == want
+
+
+def tool_lines_in_python(tools):
+    flat = lambda x: " ".join((x or "").split())
+    lines = []
+    for t in tools[:12]:
+        if not t["error"]:
+            files, summary = t["files"] or [], t["summary"]
+            lines.append("  · " + (t["name"] or "") + (" " + ", ".join(f for f in files if f is not None) if files else ": " + cut(flat(summary), 200) if summary else ""))
+    if len(tools) > 12:
+        lines.append(f"  · … {len(tools) - 12} more tool calls")
+    return sum(bool(t["error"]) for t in tools[:12]), "\n".join(lines)
+
+
+def test_tool_lines_of_all_messages(spark, sf, tmp_path):
+    def same(folder):
+        want = {(k, n, *tool_lines_in_python(r.tools)) for (k, n), r in first_messages(spark, folder, "tools").items() if r.tools is not None}
+        assert {tuple(r) for r in catalog.queries()["tool_lines_whole"](spark, folder).collect()} == want
+        return want
+
+    same(sf)
+    calls = [("Bash", None, "é" * 150, None), ("Read", ["a.py"], None, None), ("Bash", [], "x " * 150, "boom")]
+    rows = [("k", 0, 1, "assistant", False, None, None, calls), ("k", 1, 2, "assistant", False, None, None, [("Bash", None, "s" * 200, None)] * 14), ("k", 2, 3, "user", False, None, None, None)]
+    ddl = "session_key string, seq long, message_id long, role string, meta boolean, text string, thinking string, tools array<struct<name string, files array<string>, summary string, error string>>"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "messages.parquet"))
+    assert ("k", 0, 1, "  · Bash: " + "é" * 100 + "…\n  · Read a.py") in same(str(tmp_path))
