@@ -47,7 +47,7 @@ SCHEME = re.compile(r"(?i)^(?:bearer|token|basic|apikey|digest|key|bot)\s+(?=\S)
 
 #: Only strings with one of these can hold a credential.
 TRIGGER = re.compile(
-    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|credential|kennwort|contrase|hasło|парол|wachtwoord|senha|://[^\s/]*:|-----BEGIN|eyJ|_live_|AKIA|gh[pousr]_|glpat|xox|sk-|login|\bcurl\b|\s-u\b|mysql|sshpass|\b(?:Client|connect|Session|hmac|sign|authenticate)\("
+    r"(?i)pass|pwd|\bpw\b|secret|token|key|auth|credential|kennwort|contrase|hasło|парол|wachtwoord|senha|://[^\s/]*:|-----BEGIN|eyJ|_live_|_prod_|AKIA|gh[pousr]_|glpat|xox|sk-|login|\bcurl\b|\s-u\b|mysql|mariadb|mongo|sshpass|\b(?:Client|connect|Session|hmac|sign|authenticate)\("
 )
 #: The lexical classes: quoted literals keep their escapes, words keep inner dots and dashes.
 TOKENS = re.compile(

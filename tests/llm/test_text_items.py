@@ -134,3 +134,12 @@ def test_heaviest_spans_as_brute_force(given_spans):
     best = max(total(ix) for k in range(len(places) + 1) for ix in itertools.combinations(range(len(places)), k) if apart(ix))
     got = heaviest(places, weights)
     assert apart(got) and total(got) == best
+
+
+@pytest.mark.parametrize(
+    "text,secret",
+    [(t, t) for t in (f"rk_prod_{RANDOM}", f"rk_live_{RANDOM}", f"rk_secret_{RANDOM}", f"ghp_{RANDOM}{RANDOM}", "AKIA" + "Q7LK2VX9RT4ZP1NW", f"xoxb-{RANDOM}", f"glpat-{RANDOM}", f"sk-{RANDOM}", f"eyJ{RANDOM}.{RANDOM}.{RANDOM}")]
+    + [(f"{c} -pXy12345 db", "Xy12345") for c in ("mysql", "mysqldump", "mariadb")] + [(f"{c} -p 'tulip42!' db", "tulip42!") for c in ("mysql", "mysqldump", "mariadb", "sshpass", "docker login", "mongo")],
+)
+def test_the_prefilter_passes_every_form_and_flag(text, secret):
+    assert [text[a:b] for a, b, _ in K.find_secrets(text)] == [secret]
