@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,6 +60,10 @@ _SPLIT = re.compile(r"[\W_]+|(?<=[a-zа-яé0-9])(?=[A-ZА-Я])|(?<=[A-Z])(?=[A-
 BARE = re.compile(r"""[^\s"'`;,<>()\[\]{}&|\\]+""")
 _COMMENT_NAME = re.compile(r"(?i)(?:#|//|--|/\*|<!--).*\b(?:pass(?:word|phrase)?|secret|token|credential|login word|api key|passwort|kennwort)\b")
 _COMMENT = re.compile(r"(?:^|\W)(?:#|//|--|/\*|<!--)\s")
+#: The mark of a folded or literal block, and the indent of its first line; a line of it.
+_FOLDED = re.compile(r"[|>][-+0-9]{0,2}[ \t]*\n(?:[ \t]*\n)*( +)(?=\S)")
+_COLON = re.compile(r":[ \t]+$")
+_BLOCK_LINE = re.compile(r"[ \t]*(\S(?:[^\n]*\S)?)[ \t]*(?:\n|\Z)")
 _names: dict[str, bool] = {}
 
 
@@ -156,11 +161,49 @@ def _assigned(text: str, add) -> None:
             i += 1
         return i
 
+    def over(i: int) -> int:
+        while i < n and toks[i][0] in ("gap", "esc", "line"):
+            i += 1
+        return i
+
+    nesting: list[int] = []
+
+    def depth() -> list[int]:
+        """Open brackets before each token; computed once."""
+        if not nesting:
+            open_now = 0
+            for kind, a, _ in toks:
+                nesting.append(open_now)
+                if kind == "op":
+                    open_now = open_now + 1 if text[a] in "([{" else max(0, open_now - 1) if text[a] in ")]}" else open_now
+        return nesting
+
+    def folded(m: re.Match, name: str) -> None:
+        """The lines of a folded or literal block (YAML), if each is one word: together a value, flagged line by line."""
+        key = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if len(m[1]) <= len(key) - len(key.lstrip(" ")):
+            return
+        words, pos = [], m.start(1)
+        while text.startswith(m[1], pos) and (line := _BLOCK_LINE.match(text, pos)):
+            words.append(line)
+            pos = line.end()
+        if words and all(BARE.fullmatch(w[1]) for w in words) and is_literal_secret("".join(w[1] for w in words), False, False, True):
+            for w in words:
+                add(*w.span(1), "password" if re.search(r"(?i)pass|pwd|wort", name) else "token")
+
     def value(i: int, name: str, bare: bool, strict: bool, certain: bool = False) -> None:
-        """The literal that starts at token i."""
+        """The literal that starts at token i, or on a later line inside open brackets or behind a mark of folded text."""
         i = skip(i)
         if i >= n:
             return
+        if (m := _FOLDED.match(text, toks[i][1])) and _COLON.search(text, max(0, toks[i][1] - 20), toks[i][1]):
+            folded(m, name)
+            return
+        opened = word(i) == "(" and (k := skip(i + 1)) < n and toks[k][0] == "line"
+        if opened or toks[i][0] == "line" and depth()[i]:
+            i = over(k if opened else i)
+            if i >= n or toks[i][0] != "str" or opened and ((k := over(i + 1)) >= n or word(k) != ")"):
+                return
         kind, a, b = toks[i]
         if kind == "str":
             lo, hi = a + 1, b - 1
@@ -190,13 +233,15 @@ def _assigned(text: str, add) -> None:
         if is_literal_secret(got, kind == "str" or bool(user), strict, certain or (text[hi : hi + 1] == ";" and ";" in text[max(0, toks[i][1] - 60) : toks[i][1]])):
             add(lo, hi, "password" if re.search(r"(?i)pass|pwd|^pw$|wort|-u|-p", name) else "token")
 
+    calls: dict = {}
     for i in range(n):
         kind, a, b = toks[i]
         if kind == "word":
             name = word(i).rstrip(".-")
             if not is_credential_name(name) and not (name == "key" and _COMMENT.search(text, max(0, text.rfind("\n", 0, a)), a)):
                 if name in ("Client", "connect", "login", "authenticate", "Session", "sign", "hmac"):
-                    _passed(text, toks, i, add)
+                    calls = calls or _calls(text, toks)
+                    _passed(text, toks, i, calls, add)
                 continue
             j = skip(i + 1)
             if j >= n:
@@ -268,25 +313,39 @@ def _assigned(text: str, add) -> None:
 _INNER = re.compile(r"""([A-Za-z_][\w.-]*)(\s*[=:]\s*)((?:(?:[Bb]earer|[Tt]oken|[Bb]asic|[Aa]pi[Kk]ey)\s+)?[^\s"'`;&,\\]+)""")
 
 
-def _passed(text: str, toks: list, i: int, add) -> None:
+def _calls(text: str, toks: list) -> dict[int, tuple[int, list[int]]]:
+    """By the token of each opening bracket of a call: the token that closes it and the literals directly inside; one pass. An unclosed one ends with its line."""
+    found: dict[int, tuple[int, list[int]]] = {}
+    open_now: list[tuple[int, list[int]]] = []
+    for j, (kind, a, _) in enumerate(toks):
+        if kind == "str" and open_now:
+            open_now[-1][1].append(j)
+        elif kind == "op" and text[a] == "(":
+            open_now.append((j, []))
+        elif kind == "op" and text[a] == ")" and open_now:
+            start, args = open_now.pop()
+            found[start] = j, args
+    lines = [j for j, t in enumerate(toks) if t[0] == "line"] if open_now else []
+    for start, args in open_now:
+        k = bisect_right(lines, start)
+        stop = lines[k] if k < len(lines) else len(toks)
+        found[start] = stop, [j for j in args if j < stop]
+    return found
+
+
+def _passed(text: str, toks: list, i: int, calls: dict, add) -> None:
     """Literals passed to a call that signs in: random ones, or the last one where a comment names it."""
     n = len(toks)
     if i + 1 >= n or text[toks[i + 1][1]] != "(":
         return
-    depth, args, j = 0, [], i + 1
-    while j < n and toks[j][0] != "line":
-        op = text[toks[j][1] : toks[j][2]]
-        if op == "(":
-            depth += 1
-        elif op == ")":
-            depth -= 1
-            if not depth:
-                break
-        elif toks[j][0] == "str" and depth == 1:
-            args.append(j)
-        j += 1
-    stop = text.find("\n", toks[min(j, n - 1)][2])
-    comment = _COMMENT_NAME.search(text[toks[min(j, n - 1)][2] : stop if stop >= 0 else len(text)])
+    j, args = calls[i + 1]
+
+    def named(end: int) -> bool:
+        stop = text.find("\n", end)
+        return bool(_COMMENT_NAME.search(text[end : stop if stop >= 0 else len(text)]))
+
+    closing = toks[min(j, n - 1)]
+    comment = named(closing[2]) or bool(args) and "\n" in text[toks[args[-1]][2] : closing[1]] and named(toks[args[-1]][2])
     for k, arg in enumerate(args[1:], 1):
         a, b = toks[arg][1] + 1, toks[arg][2] - 1
         got = text[a:b]

@@ -143,3 +143,17 @@ def test_heaviest_spans_as_brute_force(given_spans):
 )
 def test_the_prefilter_passes_every_form_and_flag(text, secret):
     assert [text[a:b] for a, b, _ in K.find_secrets(text)] == [secret]
+
+
+@pytest.mark.parametrize(
+    "text,secrets",
+    [
+        (f'client = Client(\n    "https://h.test",\n    "{RANDOM}",\n)', [RANDOM]), ("conn = connect(\n    'h',\n    'bob',\n    'tulip',  # login word\n)", ["tulip"]), ("conn = connect(\n    'h',\n    'tulip',\n)  # user, then login word", ["tulip"]),
+        (f'x = connect(connect(\n"h", "{RANDOM}"), "h",\n "{RANDOM[::-1]}")', [RANDOM, RANDOM[::-1]]), (f'Client("h", "{RANDOM}"\n', [RANDOM]),
+        ('{"password":\n    "tulip42!"}', ["tulip42!"]), ('login(\n  password=\n    "tulip42!",\n)', ["tulip42!"]), ('password = (\n    "tulip42!"\n)', ["tulip42!"]),
+        ("password: >-\n  tulip42!\nuser: bob", ["tulip42!"]), (f"a:\n  api_key: |\n    {RANDOM}\n    {RANDOM[::-1]}\n  user: bob", [RANDOM, RANDOM[::-1]]),
+        ('password =\n"tulip42!"', []), ("password: >-\n  two words\n", []), ("password: >\nuser: tulip42!", []), ('token = (\n  "ab1", "cd2"\n)', []), ("{password:\n  next_one}", []),
+    ],
+)
+def test_credentials_over_lines(text, secrets):
+    assert [text[a:b] for a, b, _ in K.find_secrets(text)] == secrets
