@@ -340,13 +340,13 @@ def _tool_lines(m: DataFrame) -> DataFrame:
 
 @query()
 def session_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), 6000)
+    return compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), compact.BUDGET)
 
 
 @query()
 def model_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads through a scripted model that answers with fenced JSON, decoded again."""
-    prompts = compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), 6000)
+    prompts = compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), compact.BUDGET)
     numbered = prompts.select(F.xxhash64("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), F.array().cast("array<string>")).alias("prompt"))
     answer = 'Here it is:\n```json\n{"rejected": [], "invariants": [{"rule": "keep {braces}", "why": "they balance", "files": ["a.py"]}], "claims": ["it \\"works\\""]}\n```'
     answers = model.mapped(numbered, model.Scripted(_Fixed(answer)))

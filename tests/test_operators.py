@@ -406,3 +406,20 @@ def test_tool_lines_of_all_messages(spark, sf, tmp_path):
     ddl = "session_key string, seq long, message_id long, role string, meta boolean, text string, thinking string, tools array<struct<name string, files array<string>, summary string, error string>>"
     spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "messages.parquet"))
     assert ("k", 0, 1, "  · Bash: " + "é" * 100 + "…\n  · Read a.py") in same(str(tmp_path))
+
+
+def test_registered_payloads_have_the_whole_budget(spark, tmp_path):
+    calls = "array<struct<name string, files array<string>, summary string, error string>>"
+    rows = [("k", i, i, "assistant", False, f"step {i} " + "x" * 500, None, None) for i in range(100)]
+    spark.createDataFrame(rows, f"session_key string, seq long, message_id long, role string, meta boolean, text string, thinking string, tools {calls}").write.parquet(str(tmp_path / "messages.parquet"))
+    session = "session_key string, session_id string, agent string, model string, updated_ts timestamp, cursor_bytes long, complete boolean, title string, branch string, cwd string"
+    spark.createDataFrame([("k", "id", "a", *[None] * 7)], session).write.parquet(str(tmp_path / "sessions.parquet"))
+    body = catalog.queries()["session_payloads"](spark, str(tmp_path)).first().body
+    assert compact.BUDGET - 600 < len(body.encode()) <= compact.BUDGET + 200 and "step 99 " in body and "step 0 " not in body
+    prompts = []
+    real, model.mapped = model.mapped, lambda numbered, engine: prompts.append(numbered) or real(numbered, engine)
+    try:
+        catalog.queries()["model_map"](spark, str(tmp_path))
+    finally:
+        model.mapped = real
+    assert body in prompts[0].first().prompt
