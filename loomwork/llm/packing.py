@@ -73,8 +73,10 @@ def pieces(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     return cut.select("limit_id", "capacity_tokens", "doc_id", "piece_no", start.alias("token_start"), F.least(F.col("whole") - start, F.col("capacity_tokens").cast("long")).alias("tokens"))
 
 
-def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS, rule: str = "norm") -> DataFrame:
-    """limit_id, capacity_tokens, container, doc_id, piece_no, token_start, tokens; sizes: doc_id, tokens."""
+def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS, rule: str = "norm", attention_share: float = ATTENTION_SHARE) -> DataFrame:
+    """limit_id, capacity_tokens, container, doc_id, piece_no, token_start, tokens; sizes: doc_id, tokens.
+
+    attention_share: the attention capacity as a share of the squared token capacity, but never under the cost of the largest item; from 1 on it never binds."""
     items = pieces(sizes, limits)
     counts = sizes.agg(F.count("*")).first()[0]
     shards = max(1, round(counts / SHARD_ITEMS))
@@ -82,7 +84,8 @@ def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMEN
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tokens", "doc_id", "piece_no"], ascending=[False, True, True])
-        bins = best_fit(rows.tokens.to_numpy(np.int64), int(rows.capacity_tokens.iloc[0]), max_documents, rule=rule)
+        tokens, capacity = rows.tokens.to_numpy(np.int64), int(rows.capacity_tokens.iloc[0])
+        bins = best_fit(tokens, capacity, max_documents, max(attention_share * capacity * capacity, float(tokens[0]) ** 2), rule=rule)
         rows["container"] = rows.limit_id.astype(str) + "-" + rows["shard"].astype(str) + "-" + pd.Series(bins, index=rows.index).astype(str)
         return rows[["limit_id", "capacity_tokens", "container", "doc_id", "piece_no", "token_start", "tokens"]]
 

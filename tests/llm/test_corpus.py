@@ -189,3 +189,24 @@ def test_narrow_margins_are_rejected():
     model = L.Languages({"aa": "lorem ipsum dolor sit amet " * 20, "bb": "lorem ipsum dolor sit amet " * 20})
     assert model.classify("lorem ipsum dolor sit amet") == (None, 0.0)
     assert L.Languages({}).classify("some text") == (None, 0.0)
+
+
+def test_attention_is_a_parameter_and_binds(spark):
+    sizes = spark.createDataFrame([(i, t) for i, t in enumerate([60, 40] * 20 + [90])], "doc_id long, tokens long")
+    limits = spark.createDataFrame([(1, 100)], "limit_id int, capacity_tokens int")
+
+    def costs(**how):
+        per = {}
+        for r in packing.packed(sizes, limits, **how).collect():
+            per.setdefault(r.container, []).append(r.tokens)
+        return sorted(sum(t * t for t in ts) for ts in per.values()), sum(map(len, per.values()))
+
+    free, n = costs()
+    assert n == 41 and len(free) == 21  # 60 and 40 together
+    bound, n = costs(attention_share=0.4)  # 4000, raised to the 8100 of the item of 90
+    assert n == 41 and bound[-1] == 8100
+    small = sizes.where("tokens < 90")
+    per = {}
+    for r in packing.packed(small, limits, attention_share=0.4).collect():
+        per.setdefault(r.container, []).append(r.tokens)
+    assert sum(map(len, per.values())) == 40 and all(sum(t * t for t in ts) <= 4000 for ts in per.values())
