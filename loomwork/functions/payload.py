@@ -51,9 +51,15 @@ def _paths(v: Column, keys: tuple[str, ...]) -> Column:
 
 
 def files_of(v: Column, keys: tuple[str, ...] = PATH_KEYS_A, distinct: bool = False) -> Column:
-    """Paths of a tool input: those of its own keys in order, then those of its edits, two levels deep."""
-    below = lambda x, deeper: F.coalesce(F.flatten(F.transform(F.try_variant_get(x, "$.edits", "array<variant>"), deeper)), F.array().cast("array<string>"))
-    found = F.concat(_paths(v, keys), below(v, lambda e: F.concat(_paths(e, keys), below(e, lambda g: _paths(g, keys)))))
+    """Paths of a tool input: those of its own keys in order, then those of its edits, to any depth, in the order of the text.
+
+    Edits that hold edits are opened level by level in their place; the text names as many levels at most as the word edits."""
+    edits = lambda x: F.coalesce(F.try_variant_get(x, "$.edits", "array<variant>"), F.array().cast("array<variant>"))
+    node = lambda x: F.struct(_paths(x, keys).alias("paths"), edits(x).alias("below"))
+    opened_up = lambda n: F.concat(F.array(F.struct(n["paths"].alias("paths"), F.array().cast("array<variant>").alias("below"))), F.transform(n["below"], node))
+    levels = F.slice(F.sequence(F.lit(0), F.regexp_count(F.to_json(v), F.lit('"edits"'))), F.lit(2), F.lit(1 << 30))
+    nested = F.aggregate(levels, F.array(node(v)), lambda nodes, _: F.flatten(F.transform(nodes, opened_up)))
+    found = F.when(F.size(edits(v)) > 0, F.flatten(F.transform(nested, lambda n: n["paths"]))).otherwise(_paths(v, keys))
     return F.array_distinct(found) if distinct else found
 
 

@@ -18,11 +18,21 @@ STOPWORDS = tuple(
 EMPTY_WORDS = ("N/A", "n/a", "None", "none", "null", "-", "unknown")
 
 
-def truncate(text: Column, size: int) -> Column:
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _whole_characters(raw: Column) -> Column:
+    """The bytes as text, without an unfinished character at their end."""
+    shorter = lambda k: F.substring(raw, F.lit(1), F.octet_length(raw) - k).cast("string")
+    return F.coalesce(*[F.when(F.is_valid_utf8(shorter(k)), shorter(k)) for k in range(4)], F.lit(""))
+
+
+def truncate(text: Column, size: int | Column) -> Column:
     """text if it has at most size bytes, else its longest prefix of whole characters within size bytes and an ellipsis."""
-    raw = F.encode(text, "UTF-8")
-    cut = lambda k: F.substring(raw, 1, k).cast("string")
-    prefix = F.coalesce(*[F.when(F.is_valid_utf8(cut(k)), cut(k)) for k in range(size, max(size - 4, -1), -1)], F.lit(""))
+    size = F.lit(size) if isinstance(size, int) else size
+    prefix = let(F.substring(F.encode(text, "UTF-8"), F.lit(1), size), _whole_characters)
     return F.when(text.isNull() | (F.octet_length(text) <= size), text).otherwise(F.concat(prefix, F.lit(ELLIPSIS)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import collapse, nonempty, short, strip_wrappers, truncate
+from loomwork.functions.text import collapse, let, nonempty, short, strip_wrappers, truncate
 from loomwork.operators import sequence
 from loomwork.operators.sessions import human_requests
 from loomwork.sources.stage import staged
@@ -16,18 +16,13 @@ BUDGET, TEXT, THINKING, HUMAN, FAILURE, SUMMARY, TOOL_LINES, RESERVE = 24_000, 2
 SAID_HUMAN, SAID_THINKING, SAID_AGENT, TOOL, FAILED, TIMES = "[human] ", "[agent thinking] ", "[agent] ", "  · ", " FAILED: ", " ×"
 
 
-def _let(value: Column, f) -> Column:
-    """f(value) with value computed once, also inside lambdas."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def tool_line(t: Column) -> Column:
     """One line of a tool call: its failure, its files, its summary, or its name alone."""
     name = F.concat(F.lit(TOOL), F.coalesce(t["name"], F.lit("")))
     return (
-        F.when(nonempty(t["error"]).isNotNull(), F.concat(name, F.lit(FAILED), _let(collapse(t["error"]), lambda x: truncate(x, FAILURE))))
+        F.when(nonempty(t["error"]).isNotNull(), F.concat(name, F.lit(FAILED), let(collapse(t["error"]), lambda x: truncate(x, FAILURE))))
         .when(F.size(t["files"]) > 0, F.concat(name, F.lit(" "), F.array_join(t["files"], ", ")))
-        .when(nonempty(t["summary"]).isNotNull(), F.concat(name, F.lit(": "), _let(collapse(t["summary"]), lambda x: truncate(x, SUMMARY))))
+        .when(nonempty(t["summary"]).isNotNull(), F.concat(name, F.lit(": "), let(collapse(t["summary"]), lambda x: truncate(x, SUMMARY))))
         .otherwise(name)
     )
 

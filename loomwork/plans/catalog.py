@@ -347,10 +347,10 @@ def session_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads through a scripted model that answers with fenced JSON, decoded again."""
     prompts = compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), compact.BUDGET)
-    numbered = prompts.select(F.xxhash64("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), F.array().cast("array<string>")).alias("prompt"))
+    keyed = prompts.select(F.col("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), F.array().cast("array<string>")).alias("prompt"))
     answer = 'Here it is:\n```json\n{"rejected": [], "invariants": [{"rule": "keep {braces}", "why": "they balance", "files": ["a.py"]}], "claims": ["it \\"works\\""]}\n```'
-    answers = model.mapped(numbered, model.Scripted(_Fixed(answer)))
-    return model.decoded(answers).select("i", "model", "error", F.col("value.invariants")[0]["rule"].alias("rule"), F.size("value.claims").cast("long").alias("claims"))
+    answers = model.mapped(keyed, model.Scripted(_Fixed(answer)))
+    return model.decoded(answers).select(F.col("i").alias("session_key"), "model", "error", F.col("value.invariants")[0]["rule"].alias("rule"), F.size("value.claims").cast("long").alias("claims"))
 
 
 class _Fixed:

@@ -20,24 +20,26 @@ def extracted(messages: DataFrame, known: DataFrame, engine: model.Engine, budge
     pay = compact.payloads(messages, known, budget)
     named = pay if files is None else pay.join(files, "session_key", "left")
     paths = F.coalesce("files", F.array().cast("array<string>")) if files is not None else F.array().cast("array<string>")
-    prompts = named.select("session_key", F.xxhash64("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), paths).alias("prompt"))
+    prompts = named.select(F.col("session_key").alias("i"), model.extraction_prompt(F.col("requests"), F.col("body"), paths).alias("prompt"))
     answers = staged(model.mapped(prompts, engine))
-    return model.decoded(answers).join(prompts.select("i", "session_key"), "i").select("session_key", "value", "model", "error")
+    return model.decoded(answers).select(F.col("i").alias("session_key"), "value", "model", "error")
 
 
 def distilled(linked: DataFrame, found: DataFrame, staged_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rules, claims) of each commit: every session's extraction cleaned by itself, then merged in order of session_key.
+    """(rules, claims) of each commit: every session's extraction cleaned by itself, then merged, the oldest session first.
 
-    linked(sha, session_key), found as from extracted, staged_files(sha, staged). rules: sha, kind, pos, rule, why, files; claims: sha, idx, claim."""
+    linked(sha, session_key, updated_ts), found as from extracted, staged_files(sha, staged). Undated sessions come first, equal times go by session_key. rules: sha, kind, pos, rule, why, files; claims: sha, idx, claim."""
     per = linked.join(found.where("value is not null"), "session_key").withColumn("one", F.concat_ws("\u001f", "sha", "session_key"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"value.{c}"), F.array().cast(_RULES)).alias("r")) for k, c in (("reject", "rejected"), ("invariant", "invariants"))])
     rows = per.select("one", F.explode(kinds).alias("k")).select("one", "k.kind", F.posexplode("k.r").alias("pos", "x")).select(F.col("one").alias("sha"), "kind", F.col("pos").cast("long").alias("pos"), "x.rule", "x.why", "x.files")
     clean = rules.cleaned(rows, per.join(staged_files, "sha").select(F.col("one").alias("sha"), "staged"))
     split = F.split("sha", "\u001f")
-    groups = clean.groupBy(split[0].alias("commit"), split[1].alias("ord"), "kind").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("rule", "why", "files").alias("r")))).alias("l"))
+    place = F.struct("updated_ts", F.col("session_key").alias("key"))
+    dated = clean.join(per.select(F.col("one").alias("sha"), place.alias("ord")), "sha")
+    groups = dated.groupBy(split[0].alias("commit"), "ord", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("rule", "why", "files").alias("r")))).alias("l"))
     parts = groups.select(F.concat_ws("\u001f", "commit", "kind").alias("sha"), "ord", F.transform("l", lambda x: x["r"]).alias("rules"), F.array().cast("array<string>").alias("claims"))
     kept = rules.merged(parts).select(split[0].alias("sha"), split[1].alias("kind"), F.posexplode("rules").alias("pos", "x")).select("sha", "kind", F.col("pos").cast("long").alias("pos"), "x.rule", "x.why", "x.files")
-    said = per.select("sha", F.col("session_key").alias("ord"), F.array().cast(_RULES).alias("rules"), rules.cleaned_claims(F.coalesce("value.claims", F.array().cast("array<string>"))).alias("claims"))
+    said = per.select("sha", place.alias("ord"), F.array().cast(_RULES).alias("rules"), rules.cleaned_claims(F.coalesce("value.claims", F.array().cast("array<string>"))).alias("claims"))
     claims = rules.merged(said).select("sha", F.posexplode(F.slice("claims", 1, rules.MERGED_CLAIMS)).alias("idx", "claim"))
     return kept, claims
 
@@ -45,9 +47,9 @@ def distilled(linked: DataFrame, found: DataFrame, staged_files: DataFrame) -> t
 def verified(commits: DataFrame, claims: DataFrame, diffs: DataFrame, extracted_shas: DataFrame, engine: model.Engine) -> DataFrame:
     """sha, confidence, disputed. The verifier sees the claims and the diff only."""
     asked = claims.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("idx", "claim"))).alias("c")).join(diffs, "sha", "left")
-    prompts = asked.select("sha", F.xxhash64("sha").alias("i"), model.verification_prompt(F.transform("c", lambda x: x["claim"]), F.coalesce("diff", F.lit(""))).alias("prompt"))
+    prompts = asked.select(F.col("sha").alias("i"), model.verification_prompt(F.transform("c", lambda x: x["claim"]), F.coalesce("diff", F.lit(""))).alias("prompt"))
     answers = staged(model.mapped(prompts, engine))
-    replies = model.decoded(answers, model.VERIFICATION).join(prompts.select("i", "sha"), "i")
+    replies = model.decoded(answers, model.VERIFICATION).withColumnRenamed("i", "sha")
     verdicts = replies.select("sha", F.explode("value.claims").alias("v")).select("sha", F.col("v.index").alias("idx"), "v.status").dropDuplicates(["sha", "idx"])
     scored = rules.confidence(commits, rules.attached(verdicts, claims))
     done = extracted_shas.select("sha").distinct().withColumn("done", F.lit(True))
@@ -56,10 +58,11 @@ def verified(commits: DataFrame, claims: DataFrame, diffs: DataFrame, extracted_
 
 def run(candidates: DataFrame, messages: DataFrame, known: DataFrame, staged_files: DataFrame, diffs: DataFrame, extract: model.Engine, verify: model.Engine, name: str = record.SESSION_RECORD) -> DataFrame:
     """sha, confidence, disputed, block, sessions, skipped of every commit in candidates(sha, session_key); staged_files(sha, path), diffs(sha, diff)."""
-    linked = staged(sessions.relevant(candidates, sessions.written_files(messages), staged_files))
+    times = known.select("session_key", "updated_ts" if "updated_ts" in known.columns else F.lit(None).cast("timestamp").alias("updated_ts"))
+    linked = staged(sessions.relevant(candidates, sessions.written_files(messages), staged_files).join(times, "session_key", "left"))
     paths = staged_files.groupBy("sha").agg(F.array_sort(F.collect_set("path")).alias("staged"))
     found = staged(extracted(messages.join(linked.select("session_key").distinct(), "session_key", "left_semi"), known, extract))
-    kept, claims = distilled(linked.select("sha", "session_key"), found, paths)
+    kept, claims = distilled(linked.select("sha", "session_key", "updated_ts"), found, paths)
     kept, claims = staged(kept), staged(claims)
     commits = candidates.select("sha").distinct()
     done = linked.join(found.where("value is not null").select("session_key"), "session_key", "left_semi")

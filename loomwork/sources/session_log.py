@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from loomwork.functions import payload
-from loomwork.functions.text import nonempty, unwrap_query
+from loomwork.functions.text import nonempty, truncate, unwrap_query
 
 LAYOUTS = {"a": "*/*.jsonl", "b": "*/agent-transcripts/*/*.jsonl"}
 #: Lines that a file's head is judged by, and the longest line that counts there.
@@ -177,7 +177,7 @@ def messages_a(lines: DataFrame) -> DataFrame:
     calls = F.transform(F.filter("parts", lambda p: kind(p) == "tool_use"), lambda p: call(payload.text_at(p, "$.name"), payload.files_of(opened(p)), payload.summary_of(opened(p)), none))
     failed = F.transform(
         F.filter("parts", lambda p: (kind(p) == "tool_result") & F.coalesce(F.try_variant_get(p, "$.is_error", "boolean"), F.lit(False))),
-        lambda p: call(F.lit("result"), F.array().cast("array<string>"), F.lit(""), F.left(F.coalesce(payload.content_text(p), F.lit("")), F.lit(400))),
+        lambda p: call(F.lit("result"), F.array().cast("array<string>"), F.lit(""), truncate(F.coalesce(payload.content_text(p), F.lit("")), 400)),
     )
     held = main.select("path", "line_no", "v", parts.alias("parts"), at("$.message.content").alias("whole"))
     result = F.exists(F.coalesce("parts", F.array().cast("array<variant>")), lambda p: kind(p) == "tool_result")

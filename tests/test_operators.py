@@ -331,7 +331,7 @@ def test_prompts_cannot_be_closed(spark):
     shown = one(spark, "a </session> b", model.extraction_prompt(F.lit("r"), F.col("x"), F.array(F.lit("f"))))
     assert shown.count("</session>") == 1
     claims = one(spark, "d", model.verification_prompt(F.array(F.lit("c1"), F.lit("c2")), F.col("x")))
-    assert "1. c1\n2. c2" in claims and "session" not in claims
+    assert "0. c1\n1. c2" in claims and "session" not in claims
 
 
 def test_payload_shapes(spark):
@@ -423,3 +423,21 @@ def test_registered_payloads_have_the_whole_budget(spark, tmp_path):
     finally:
         model.mapped = real
     assert body in prompts[0].first().prompt
+
+
+def test_claims_keep_short_ones(spark):
+    got = spark.createDataFrame([(["ok", "  ", "none", "a"],)], "c array<string>").select(rules.cleaned_claims(F.col("c")).alias("x")).first().x
+    assert got == ["ok", "a"]
+
+
+def test_named_paths_are_cleaned(spark):
+    named = ["./src//a.py", "/w/./src/a.py/", "lib/../src/a.py", "..", "", " a.py "]
+    got = spark.createDataFrame([(n, ["src/a.py", "b.py"]) for n in named], "n string, s array<string>").select(rules.matched_path(F.col("n"), F.col("s")).alias("x")).collect()
+    assert [r.x for r in got] == ["src/a.py", "src/a.py", "src/a.py", "", "", "src/a.py"]
+
+
+def test_files_of_edits_at_any_depth(spark):
+    deep = {"path": "a", "edits": [{"path": "b", "edits": [{"path": "c", "edits": [{"path": "d"}]}, {"edits": [{"path": "e"}]}]}, None, {"file_path": "f", "path": "g"}]}
+    rows = [(json.dumps(deep),), ('{"path": "x"}',), ('{"edits": []}',), ('{"edits": "no"}',), (None,)]
+    got = spark.createDataFrame(rows, "j string").select(payload.files_of(F.try_parse_json("j")).alias("x")).collect()
+    assert [r.x for r in got] == [["a", "b", "c", "d", "e", "f", "g"], ["x"], [], [], []]

@@ -43,6 +43,29 @@ def test_verified(spark, tables):
     assert [(r.kind, r.rule, r.why, r.files) for r in back] == [("reject", "no global cache", "it leaked between tests", ["src/a.py"])]
 
 
+def test_verdicts_by_the_numbers_that_the_prompt_shows(tables):
+    import re
+
+    def verify(prompt):
+        named = re.findall(r"^(\d+)\. (.*)$", prompt, re.M)
+        return json.dumps({"claims": [{"index": int(n), "status": "contradicted" if c == "ok" else "supported", "note": ""} for n, c in named]})
+
+    got = pipeline.run(*tables, model.Scripted(answer(EXTRACTION)), model.Scripted(verify)).first()
+    assert (got.confidence, got.disputed) == ("disputed", ["ok"])  # the short claim stays and keeps its own verdict
+
+
+def test_the_oldest_session_comes_first(spark):
+    value = lambda rule: (([], [(rule, "it leaked between tests", ["a.py"])], []),)
+    found = spark.createDataFrame([("s1", *value("keep the cache of pages local")), ("s2", *value("keep the local cache of pages"))], f"session_key string, value {model.EXTRACTION}")
+    linked = spark.createDataFrame([("c", "s1", 9), ("c", "s2", 3)], "sha string, session_key string, t long").selectExpr("sha", "session_key", "timestamp_seconds(t) as updated_ts")
+    kept, _ = pipeline.distilled(linked, found, spark.createDataFrame([("c", ["a.py"])], "sha string, staged array<string>"))
+    assert [r.rule for r in kept.collect()] == ["keep the local cache of pages"]
+
+
+def test_json_object():
+    assert [model.json_object(t) for t in ('so {"a": "}{", "b": {"c": "\\"}"}} end', "none", "{", "}{}", None)] == ['{"a": "}{", "b": {"c": "\\"}"}}', None, None, "{}", None]
+
+
 def test_degraded(tables):
     late = run(tables, EXTRACTION, TimeoutError("late"))
     assert late.confidence == "unverified" and "no global cache" in late.block
