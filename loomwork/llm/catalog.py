@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwork.llm import conversations, credentials, language, mixing, neardup, packing, personal, tokens
 from loomwork.sources.tables import table
@@ -24,6 +25,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("place", "row_id", "part_no", "found_text")
 
 
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both tables, its raw columns without credentials."""
+    log = credentials.redacted_log(table(spark, sf_dir, "log_entries"))
+    says = credentials.redacted_messages(table(spark, sf_dir, "messages"))
+    return log.select(F.lit("log_entries").alias("row_table"), F.col("entry_id").alias("row_id"), "message", "tool_use_result").unionByName(
+        says.select(F.lit("messages").alias("row_table"), F.col("message_id").alias("row_id"), "tools"), allowMissingColumns=True
+    )
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "rule_entries"), "rule_id", "rule", "why", threshold=0.7)
 
@@ -57,7 +67,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_redacted, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
 
 
 _P1 = r"""

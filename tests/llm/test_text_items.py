@@ -157,3 +157,76 @@ def test_the_prefilter_passes_every_form_and_flag(text, secret):
 )
 def test_credentials_over_lines(text, secrets):
     assert [text[a:b] for a, b, _ in K.find_secrets(text)] == secrets
+
+
+def test_every_form_is_found_wherever_its_context_stands():
+    """Distances between a credential and what names it don't matter."""
+    gap = "x" * 500
+    cases = [
+        f"mysql --host {gap} -p'tulip42!' db", f"mysql --host {gap} \\\n  -pXy12345 db", f"machine {gap} login bob password tulip", f"Server={gap};Uid=u;Port={gap};Pwd=Tu-lip-7;Encrypt=no",
+        f'"{gap}_password": "tulip42!"', f"# {gap} old key {RANDOM}", f'setdefault({" " * 200}"client_secret", "{RANDOM}")', f"docker login -u bob {gap} -p 'tulip42!'",
+    ]
+    assert [[t[a:b] for a, b, _ in K.find_secrets(t)] for t in cases] == [["tulip42!"], ["Xy12345"], ["tulip"], ["Tu-lip-7"], ["tulip42!"], [RANDOM], [RANDOM], ["tulip42!"]]
+    assert [t for t in ("mysql db; tar -p'xyz123' a", "ls | docker run -p 'abc1234'", "-- note\nif token is None:") if K.find_secrets(t)] == []
+
+
+@pytest.mark.parametrize(
+    "text,secrets",
+    [
+        (f'def open_store(url, api_key, retries):\n    pass\n\nopen_store("h", "tulip42", 3)\n', ["tulip42"]), (f'pool = makeClient("https://h.test", "{RANDOM}")', [RANDOM]), (f'db.create_session("h", "{RANDOM}")', [RANDOM]),
+        (f'log("https://h.test", "{RANDOM}")', []), ('def open_store(url, api_key):\n    x = "abc"\nopen_store("h", KEY)', []), (f'set_password("{RANDOM}")', [RANDOM]), ('get_secret("db-main")', []),
+        ('password = "q"', ["q"]), ('{"pin_password": "123456"}', ["123456"]), ("password = 3600", []), ('token: "1.5h"', []),
+    ],
+)
+def test_passed_to_parameters_and_callees(text, secrets):
+    assert [text[a:b] for a, b, _ in K.find_secrets(text)] == secrets
+
+
+@pytest.mark.parametrize("piece", ["key=v1 ", "token=", 'Client("h","x") ', "# key a ", 'password "', "a.b.", "-----BEGIN RSA PRIVATE KEY----- ", "machine h login b password x ", "eyJ-", "a://b:c ", "abcdefghij"])
+def test_time_in_proportion_to_one_long_line(piece):
+    import time
+
+    def seconds(n):
+        text = '"token' + piece * (n // len(piece)) + '"'
+        began = time.process_time()
+        K.find_secrets(text)
+        return time.process_time() - began
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.5
+
+
+def raw_rows():
+    nested = {"a": [f'api_key = "{RANDOM}"', "é\n\"q\" \U0001f600 password: 'correct-horse-9'"], "b": {"n": 1.50, "t": None}}
+    use = lambda i: {"role": "assistant", "content": [None, {"type": "text", "text": f"api_key = {RANDOM}"}, {"input": i, "type": "tool_use", "name": "x"}]}
+    deep = "[" * 3000 + json.dumps(f"token={RANDOM}") + "]" * 3000
+    return [
+        (1, json.dumps(use(nested), ensure_ascii=False), None), (2, json.dumps(use(json.dumps(nested)), indent=1), json.dumps(json.dumps(nested))), (3, json.dumps(json.dumps(use(json.dumps(nested)))), f"token={RANDOM}"),
+        (4, "{tool_use", json.dumps("token=" + RANDOM)), (5, None, None), (6, json.dumps(use("plain")), deep), (7, json.dumps({"tool_use": 1}), '{"k": "clean"}'),
+    ]
+
+
+def test_raw_json_is_redacted_as_decoded(spark):
+    from loomwork.sources.rawjson import message_parts, opened, parse, result_value, strings
+
+    for _, message, result in raw_rows():
+        new_message, new_result = K.redact_message(message), K.redact_result(result)
+        if message and parse(message) is not None:
+            pairs = list(zip(message_parts(message), message_parts(new_message), strict=True))
+            for (_, old), (_, new) in pairs:
+                if old.get("type") == "tool_use":
+                    assert [K.redact(x) for x in strings(opened(old["input"]))] == strings(opened(new["input"]))
+                else:
+                    assert old == new
+            kept = new_message.replace("REDACTED_TOKEN", RANDOM, 1).replace("REDACTED_PASSWORD", "correct-horse-9")
+            assert kept == message  # every other character is as it was
+        else:
+            assert new_message == message
+        if result:
+            assert [K.redact(x) for x in strings(result_value(result))] == strings(result_value(new_result))
+    log = spark.createDataFrame(raw_rows(), "entry_id long, message string, tool_use_result string")
+    tools = "array<struct<name string, files array<string>, summary string, error string>>"
+    says = spark.createDataFrame([(7, [("a", [], f"token={RANDOM}", None), None, ("b", None, None, None)]), (8, None), (9, [])], f"message_id long, tools {tools}")
+    assert K.redacted_log(log).count() == 7 and K.credentials(K.redacted_log(log), K.redacted_messages(says)).count() == 0
+    got = {r.message_id: r.tools and [t and t.summary for t in r.tools] for r in K.redacted_messages(says).collect()}
+    assert got == {7: ["token=REDACTED_TOKEN", None, None], 8: None, 9: []}
+    assert K.redacted_log(log.limit(0)).count() == 0
