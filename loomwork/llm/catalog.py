@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import conversations, credentials, language, mixing, neardup, packing, personal, tokens
+from loomwork.sources.stage import staged
 from loomwork.sources.tables import table
 
 
@@ -20,6 +21,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_table", "row_id", "part_no", "kind", "found_text").distinct()
 
 
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both tables, its text with placeholders for what p3_found finds."""
+    log, says, lexicon = (table(spark, sf_dir, t) for t in ("log_entries", "messages", "name_lexicon"))
+    items = staged(personal.personal_information(log, says, lexicon))
+    of = lambda name: items.where(F.col("row_table") == name)
+    raw = personal.masked(log.select("entry_id", "message"), "entry_id", "message", of("log_entries"), personal.mask_message)
+    plain = personal.masked(says.select("message_id", "text"), "message_id", "text", of("messages"))
+    return raw.select(F.lit("log_entries").alias("row_table"), F.col("entry_id").alias("row_id"), F.col("message").alias("text")).unionByName(
+        plain.select(F.lit("messages").alias("row_table"), F.col("message_id").alias("row_id"), "text")
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.credentials(table(spark, sf_dir, "log_entries"), table(spark, sf_dir, "messages"))
     return found.select("place", "row_id", "part_no", "found_text")
@@ -67,7 +80,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_redacted, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_masked, p4_found, p4_redacted, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
 
 
 _P1 = r"""

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -65,23 +66,80 @@ def test_tables(spark):
 SURE = frozenset({"zofia"})
 
 
+def spans_of(text, sure=SURE):
+    return [(r[5], r[6], r[7]) for r in P._spans_of("t", 1, 0, text, sure, frozenset())]
+
+
 @pytest.mark.parametrize(
-    "text,kind,item",
+    "text,kind,item,seed",
     [
-        ("write to a.b+c@x.test now", "email", "a.b+c@x.test"), ("from a_b (at) x (dot) test;", "email", "a_b (at) x (dot) test"), ("from a1 AT x DOT test", "email", "a1 AT x DOT test"), ("user=a@x.test;role=1", "email", "a@x.test"),
-        ("call +44 (0)20 7946 0489 now", "phone", "+44 (0)20 7946 0489"), ("call (212) 555-0112.", "phone", "(212) 555-0112"), ("Tel. 0049-30-23125-301 (x)", "phone", "0049-30-23125-301"), ("am 030/23125902,", "phone", "030/23125902"),
-        ("has 980-34-6499 in", "id_number", "980-34-6499"), ("NIF 12633042P aparece", "id_number", "12633042P"), ("Reisepass-Nr. K4084691 x", "id_number", "K4084691"),
-        ("at 20 bis avenue du Vieux-Moulin; x", "street_address", "20 bis avenue du Vieux-Moulin"), ("to Flat 8, 21 West Ferry Blvd, Port", "street_address", "Flat 8, 21 West Ferry Blvd"), ("an Kupferstraße 9b in", "street_address", "Kupferstraße 9b"), ("en Calle del Pozo Hondo, 128;", "street_address", "Calle del Pozo Hondo, 128"), ("at 104 Copper Drive, Apt 28 and", "street_address", "104 Copper Drive, Apt 28"),
-        ("cc Zofia van der Hoeck;", "person_name", "Zofia van der Hoeck"), ("cc O'Tannery, Zofia;", "person_name", "O'Tannery, Zofia"), ("cc Zofia A. D'Orvane;", "person_name", "Zofia A. D'Orvane"),
+        ("write to a.b+c@x.test now", "email", "a.b+c@x.test", 1), ("from a_b (at) x (dot) test;", "email", "a_b (at) x (dot) test", 0), ("from a1 AT x DOT test", "email", "a1 AT x DOT test", 0), ("user=a@x.test;role=1", "email", "a@x.test", 1),
+        ("call +44 (0)20 7946 0489 now", "phone", "+44 (0)20 7946 0489", 1), ("call (212) 555-0112.", "phone", "(212) 555-0112", 1), ("Tel. 0049-30-23125-301 (x)", "phone", "0049-30-23125-301", 0), ("am 030/23125902,", "phone", "030/23125902", 0),
+        ("has 980-34-6499 in", "id_number", "980-34-6499", 1), ("NIF 12633042P aparece", "id_number", "12633042P", 1), ("Reisepass-Nr. K4084691 x", "id_number", "K4084691", 0), ("my passport no. K4084691 x", "id_number", "K4084691", 1),
+        ("at 20 bis avenue du Vieux-Moulin; x", "street_address", "20 bis avenue du Vieux-Moulin", 1), ("to Flat 8, 21 West Ferry Blvd, Port", "street_address", "Flat 8, 21 West Ferry Blvd", 0), ("an Kupferstraße 9b in", "street_address", "Kupferstraße 9b", 1),
+        ("en Calle del Pozo Hondo, 128;", "street_address", "Calle del Pozo Hondo, 128", 1), ("at 104 Copper Drive, Apt 28 and", "street_address", "104 Copper Drive, Apt 28", 0), ("at 104 Copper Wynd and", "street_address", "104 Copper Wynd", 0),
+        ("cc Zofia van der Hoeck;", "person_name", "Zofia van der Hoeck", 1), ("cc O'Tannery, Zofia;", "person_name", "O'Tannery, Zofia", 1), ("cc Zofia A. D'Orvane;", "person_name", "Zofia A. D'Orvane", 1),
+        ("cc Zofia " + "Q" + "q" * 300 + ";", "person_name", "Zofia " + "Q" + "q" * 300, 1),
     ],
 )
-def test_sure_spans(text, kind, item):
-    assert (kind, item) in {(c[0], text[c[1] : c[2]]) for c in P.candidates(text, SURE) if c[3] == 1}
+def test_candidates_and_seeds(text, kind, item, seed):
+    assert (kind, item, seed) in spans_of(text)
 
 
 @pytest.mark.parametrize("text", ["git@code.x.test:a/b.git", "relay@2x.png", "@scope/pkg@3.7.1", "The stamp 20250310-688663 is a build", "Order 4970-186122-43 x", "Address 0x63891378, port 27495", "Offset 584232 of 45255032 bytes", ""])
 def test_nothing_sure(text):
-    assert [c for c in P.candidates(text, SURE) if c[3] == 1] == []
+    assert [c for c in spans_of(text) if c[2] == 1] == []
+
+
+def test_contexts_reach_as_far_as_their_words():
+    text = "See it. The " + "very" * 100 + " long number K4084691 " + "x" * 200 + " y\nnext"
+    a = text.index("K4084691")
+    around = P.Context(text)
+    assert around.left(a, 3) == ["very" * 100, "long", "number"] and around.right(a + 8, 2) == ["x" * 200, "y"]
+    assert around.left(text.index("The"), 2) == ["^"] and around.right(text.index(" y\n") + 2, 2) == ["$"]
+    assert P.Context("Ask Dr. Zofia").left(8, 2) == ["dr", "."]
+
+
+def information(spark, texts, names=(("Zofia", False),), **how):
+    log = spark.createDataFrame([(i, json.dumps({"role": "user", "content": t})) for i, t in enumerate(texts)], "entry_id long, message string")
+    says = spark.createDataFrame([], "message_id long, text string")
+    items = P.personal_information(log, says, spark.createDataFrame(list(names), "given_name string, also_a_word boolean"), **how)
+    return {(r.row_id, r.kind, r.found_text) for r in items.collect()}
+
+
+def test_a_seed_has_no_way_past_the_patterns(spark):
+    """A seed form in company that holds no believed items is not reported; captions, types and formats are learned."""
+    learned = [f"Die Rechnung ging an {n} Lantern {kind} in Bad Ems." for n, kind in [(1, "Road"), (2, "Road"), (3, "Road"), (4, "Wynd")]]
+    captions = [f"Reisepass-Nr. K408469{i} im Test" for i in range(3)] + [f"The passport no. K508469{i} is here" for i in range(6)]
+    builds = [f"The build {i}970-186122-43 is red" for i in range(6)]
+    got = information(spark, learned + captions + builds)
+    assert {x for x in got if x[1] == "street_address"} == {(i, "street_address", f"{i + 1} Lantern {'Wynd' if i == 3 else 'Road'}") for i in range(4)}
+    assert {x[2] for x in got if x[1] == "id_number"} == {f"K408469{i}" for i in range(3)} | {f"K508469{i}" for i in range(6)}
+    assert not [x for x in got if x[0] >= len(learned + captions)]
+
+
+def test_half_of_the_seeds_withheld(spark, sf):
+    larger = os.path.join(os.path.dirname(sf), "sf0.01")  # the smallest tables hold about one item of a form
+    tables = [spark.read.parquet(f"{larger}/{t}.parquet") for t in ("log_entries", "messages", "name_lexicon")]
+    row = lambda r: (r.row_table, r.row_id, r.part_no, r.kind, r.found_text)
+    whole = {row(r) for r in P.personal_information(*tables).collect()}
+    less = {row(r) for r in P.personal_information(*tables, withhold=0.5).collect()}
+    assert len(whole) > 600 and len(whole & less) >= 0.95 * len(whole) and len(less - whole) <= 0.02 * len(whole), (len(whole), len(less), len(whole & less))
+
+
+def test_masked_messages_keep_every_other_character(spark):
+    content = "é \U0001f600 mail a@x.test\tand \"b@x.test\"."
+    message = {"role": "user", "x": 1.50, "content": [None, {"type": "thinking", "thinking": content, "text": "a@x.test"}, {"type": "tool_use", "text": "a@x.test"}]}
+    at = [(1, content.index("a@x"), "email", "a@x.test"), (1, content.index("b@x"), "email", "b@x.test")]
+    found = [dict(zip(("part_no", "start", "kind", "found_text"), x)) for x in at]
+    for raw in (json.dumps(message), json.dumps(message, ensure_ascii=False, indent=2), json.dumps(json.dumps(message))):
+        shown = P.mask_message(raw, found)
+        back = json.loads(shown)
+        back = json.loads(back) if isinstance(back, str) else back
+        assert back["content"][1]["thinking"] == 'é \U0001f600 mail [EMAIL]\tand "[EMAIL]".' and back["content"][1]["text"] == "a@x.test"
+        assert shown.replace("[EMAIL]", "a@x.test", 1).replace("[EMAIL]", "b@x.test", 1) == raw
+    assert P.mask_message(json.dumps({"content": "a@x.test"}), [dict(part_no=0, start=0, kind="email", found_text="a@x.test")]) == '{"content": "[EMAIL]"}'
+    assert P.mask_message("{", found) == "{" and P.mask_message(None, found) is None and P.mask_message("{}", None) == "{}"
 
 
 def test_patterns_find_unseen_names(spark):
@@ -98,7 +156,7 @@ def test_patterns_find_unseen_names(spark):
 
 def test_masking_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "é a@x.test and b@x.test.", "r"), (2, None, "r"), (3, "none", "r")], "id long, body string, start string")
-    items = spark.createDataFrame([(1, 2, "email", "a@x.test"), (1, 15, "email", "b@x.test")], "row_id long, start long, kind string, found_text string")
+    items = spark.createDataFrame([(1, 0, 2, "email", "a@x.test"), (1, 0, 15, "email", "b@x.test")], "row_id long, part_no long, start long, kind string, found_text string")
     got = {r.id: r.body for r in P.masked(df, "id", "body", items).collect()}
     assert got == {1: "é [EMAIL] and [EMAIL].", 2: None, 3: "none"}
 
