@@ -4,7 +4,8 @@ Method: records are cut into size-banded tiles - word sets whose sizes differ by
 and carry hashed bitmap signatures; bit counts bound a pair's overlap from above, and only pairs that pass the bound are
 intersected exactly. To keep the tiles small, records meet under the rarest words of their sets (any pair above the threshold
 shares one of them, early enough to leave room for the rest), and a word that many records hold is cut into blocks, so no tile exceeds about 2 x BLOCK records.
-Exact copies are one class from the start and are joined through their representative.
+Exact copies are one class from the start and are joined through their representative; where pairs of records are asked for, the
+copies of a class come in blocks too, so that a text which a third of all records share is no task's own.
 
 Defined results: null texts count as empty; records without words or id are in no pair; copies are pairs with similarity 1;
 ties and repeated rows keep their own ids. Words are compared by 64-bit hashes within a pair.
@@ -22,6 +23,8 @@ from loomwork.sources.stage import staged
 BLOCK = 2000
 #: A word is frequent from this share of the classes on. Mean set size / share bounds how many such words there are, so they may be broadcast.
 FREQUENT = 1 / 500
+#: Up to so many records under a word are a tile of all sizes; more are cut by size bands.
+SMALL_TILE = 64
 
 
 def word_set(*texts: str) -> Column:
@@ -35,8 +38,10 @@ def classes(df: DataFrame, id_column: str, words: Column) -> tuple[DataFrame, Da
     """(members, reps). members: record, digest of its word set. reps: one row per word set with digest, class_id (the smallest
     record that has it), words and copies. Records without words are left out. Counts combine before the shuffle, so a set that
     a third of all records share costs one row a task, and members are never gathered."""
-    sets = staged(df.select(F.col(id_column).alias("record"), words.alias("words")).where("record is not null and size(words) > 0").withColumn("digest", F.md5(F.concat_ws(",", F.col("words").cast("array<string>")))))
-    reps = sets.groupBy("digest").agg(F.min("record").alias("class_id"), F.any_value("words").alias("words"), F.count("*").alias("copies"))
+    found = df.select(F.col(id_column).alias("record"), words.alias("words")).where("record is not null and size(words) > 0")
+    # 128 bits: two hashes of the sorted set with different seeds
+    sets = staged(found.withColumn("digest", F.struct(F.xxhash64("words").alias("x"), F.xxhash64(F.lit(1), "words").alias("y"))))
+    reps = sets.groupBy("digest").agg(F.min("record").alias("class_id"), F.first("words").alias("words"), F.count("*").alias("copies"))
     return sets.select("record", "digest"), staged(reps)
 
 
@@ -46,10 +51,10 @@ def _signature(k: int) -> Column:
 
 
 def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """a, b, overlap, similarity of every pair of classes (class_id, words) whose similarity is at least threshold; a < b."""
+    """a, b, overlap, similarity, a_copies, b_copies of every pair of classes (class_id, words, copies) whose similarity is at least threshold; a < b."""
     t = threshold
     share = t / (1 + t)
-    sized = reps.select("class_id", "words", F.size("words").alias("n"))
+    sized = reps.select("class_id", "words", "copies", F.size("words").alias("n"))
     each = sized.select("class_id", F.explode("words").alias("word"))
     counts = staged(each.groupBy("word").agg(F.count("*").alias("df")))
     total = sized.count()
@@ -63,17 +68,18 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     prefix = F.expr(f"slice(order, 1, size(order) - cast(ceil({t} * size(order) - 1e-9) as int) + 1)")
     band = F.floor(F.log("n") / -math.log(t)).cast("int")
     signed = staged(
-        ranked.join(sized, "class_id").select("class_id", "words", "n", band.alias("band"), *[_signature(k).alias(f"s{k}") for k in range(4)], prefix.alias("prefix"))
+        ranked.join(sized, "class_id").select("class_id", "words", "copies", "n", band.alias("band"), *[_signature(k).alias(f"s{k}") for k in range(4)], prefix.alias("prefix"))
     )
     rows = signed.select("class_id", "n", "band", "s0", "s1", "s2", "s3", F.posexplode("prefix").alias("at", "p")).where("p.df > 1")
     rows = rows.withColumn("k", F.ceil(F.col("p.df") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("k")).cast("int"))
+    small = F.col("p.df") <= SMALL_TILE
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     side = ["class_id", "n", "at", "s0", "s1", "s2", "s3"]
     # the smaller set of a pair shares 2t / (1 + t) of its words, so a shorter prefix of it is enough
-    left = rows.where(F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)")).withColumn("other", all_blocks).select(F.struct(F.col("p.word").alias("w"), "band", F.col("block").alias("i"), F.col("other").alias("j")).alias("tile"), *[F.col(c).alias(f"a_{c}") for c in side])
+    left = rows.where(F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)")).withColumn("other", all_blocks).select(F.struct(F.col("p.word").alias("w"), F.when(small, -9).otherwise(F.col("band")).alias("band"), F.col("block").alias("i"), F.col("other").alias("j")).alias("tile"), *[F.col(c).alias(f"a_{c}") for c in side])
     right = (
         rows.withColumn("other", all_blocks)
-        .withColumn("tier", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+        .withColumn("tier", F.explode(F.when(small, F.array(F.lit(-9))).otherwise(F.array(F.col("band"), F.col("band") - 1))))
         .select(F.struct(F.col("p.word").alias("w"), F.col("tier").alias("band"), F.col("other").alias("i"), F.col("block").alias("j")).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in side])
     )
     need = F.expr(f"ceil({share!r} * (a_n + b_n) - 1e-9)")
@@ -84,27 +90,41 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need
     fits = smaller & (F.col("a_n") >= F.expr(f"{t} * b_n - 1e-9")) & room & (F.col("a_n") - a_only >= need) & (F.col("b_n") - b_only >= need)
     met = left.join(right, "tile").where(fits).select(F.col("a_class_id").alias("x"), F.col("b_class_id").alias("y")).distinct()
-    sets = signed.select("class_id", "words")
-    full = met.join(sets.select(F.col("class_id").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("class_id").alias("y"), F.col("words").alias("yw")), "y")
+    side = lambda k: signed.select(F.col("class_id").alias(k), F.col("words").alias(f"{k}w"), F.col("copies").alias(f"{k}c"))
+    full = met.join(side("x"), "x").join(side("y"), "y")
     overlap = F.size(F.array_intersect("xw", "yw"))
-    found = full.select("x", "y", overlap.alias("overlap"), (F.size("xw") + F.size("yw") - overlap).alias("either"))
-    return found.where(F.col("overlap") >= t * F.col("either") - 1e-9).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", (F.col("overlap") / F.col("either")).alias("similarity"))
+    found = full.select("x", "y", "xc", "yc", overlap.alias("overlap"), (F.size("xw") + F.size("yw") - overlap).alias("either")).where(F.col("overlap") >= t * F.col("either") - 1e-9)
+    first = F.col("x") < F.col("y")
+    pick = lambda one, other: F.when(first, F.col(one)).otherwise(F.col(other))
+    return found.select(
+        pick("x", "y").alias("a"), pick("y", "x").alias("b"), "overlap", (F.col("overlap") / F.col("either")).alias("similarity"), pick("xc", "yc").alias("a_copies"), pick("yc", "xc").alias("b_copies")
+    )
 
 
 def similar_pairs(df: DataFrame, id_column: str, *texts: str, threshold: float = 0.7) -> DataFrame:
-    """rule_a, rule_b of every pair of records at or above threshold, copies included."""
+    """rule_a, rule_b of every pair of records at or above threshold, copies included.
+
+    A class of one record is that record. The records of larger classes are spread over blocks of about BLOCK, and blocks meet
+    each other, so a task holds the pairs of two blocks at most, however many copies a text has."""
     members, reps = classes(df, id_column, word_set(*texts))
-    pairs = class_pairs(reps, threshold)
-    member = members.join(reps.select("digest", "class_id", "copies"), "digest").select("class_id", "record", "copies")
-    between = (
-        pairs.select("a", "b")
-        .join(member.select(F.col("class_id").alias("a"), F.col("record").alias("ra")), "a")
-        .join(member.select(F.col("class_id").alias("b"), F.col("record").alias("rb")), "b")
-        .select(F.least("ra", "rb").alias("rule_a"), F.greatest("ra", "rb").alias("rule_b"))
-    )
-    many = member.where("copies > 1")
-    within = many.select("class_id", F.col("record").alias("rule_a")).join(many.select("class_id", F.col("record").alias("rule_b")), "class_id").where("rule_a < rule_b").select("rule_a", "rule_b")
-    return between.unionByName(within)
+    pairs = staged(class_pairs(reps, threshold).select("a", "b", "a_copies", "b_copies"))
+    single = pairs.where("a_copies = 1 and b_copies = 1").select(F.col("a").alias("rule_a"), F.col("b").alias("rule_b"))
+    blocks = lambda copies: F.ceil(F.col(copies) / BLOCK).cast("int")
+    several = reps.where("copies > 1").select("digest", "class_id", "copies")
+    spread = staged(members.join(several, "digest").select("class_id", "record", blocks("copies").alias("k")).withColumn("block", F.pmod(F.xxhash64("record"), F.col("k")).cast("int")))
+    every = lambda copies: F.explode(F.sequence(F.lit(0), blocks(copies) - 1))
+    met = pairs.where("a_copies > 1 or b_copies > 1").withColumn("i", every("a_copies")).withColumn("j", every("b_copies"))
+
+    def held(of: str, at: str) -> DataFrame:
+        """met with the records of one side: its own id where it has no copies."""
+        many = met.where(F.col(f"{of}_copies") > 1).join(spread.select(F.col("class_id").alias(of), F.col("block").alias(at), F.col("record").alias(f"r{of}")), [of, at])
+        return many.select("a", "b", "i", "j", f"r{of}").unionByName(met.where(F.col(f"{of}_copies") == 1).select("a", "b", "i", "j", F.col(of).alias(f"r{of}")))
+
+    between = held("a", "i").join(held("b", "j"), ["a", "b", "i", "j"]).select(F.least("ra", "rb").alias("rule_a"), F.greatest("ra", "rb").alias("rule_b"))
+    from_here = spread.select("class_id", F.col("record").alias("ra"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("k") - 1)).alias("j"))
+    to_there = spread.select("class_id", F.col("record").alias("rb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    inside = from_here.join(to_there, ["class_id", "i", "j"]).where("i < j or ra < rb").select(F.least("ra", "rb").alias("rule_a"), F.greatest("ra", "rb").alias("rule_b"))
+    return single.unionByName(between).unionByName(inside)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -41,11 +41,22 @@ def brute(rows, t=0.7):
 def test_pairs_against_brute_force(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    monkeypatch.setattr(neardup, "SMALL_TILE", min(block, 64) // 4)
     rows = rules()
     got = [tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, SCHEMA), "rule_id", "rule", "why").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_a_third_of_the_records_are_equal(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    same = "keep the log of the reader whole and never cut a line of it short"
+    rows = rules(11, 100)
+    rows += [(100_000 + 2 * i, same, None, "x", 1) for i in range(60)] + [(100_001 + 2 * i, same + " again", "", "x", 1) for i in range(20)]
+    got = [tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, SCHEMA), "rule_id", "rule", "why").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_groups(spark):
     rows = rules(5, 120)
     edges = brute(rows)
