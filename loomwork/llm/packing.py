@@ -6,6 +6,9 @@ weighted residual norm after it is smallest (rule "norm") or whose weighted dot
 Items are spread by hash over shards of about SHARD_ITEMS, so a task is bounded and every shard has the same mixture of
 sizes; at most about one container a shard stays open.
 
+The attention capacity is a share of the squared token capacity, so it refuses what tokens alone would admit: next to a long text
+only little fits. A text whose own cost is above it has a container to itself, and fill_report counts these.
+
 Defined results: a text is whole unless larger than the capacity; then it is cut into pieces of the capacity, the last of
 which is packed like a text. Texts without tokens take no space and have a null container. Repeated texts are packed each.
 """
@@ -22,12 +25,12 @@ from loomwork.sources.stage import staged
 SHARD_ITEMS = 4096
 #: pack_limits is a fixed list; a larger table is an error, as every document meets every limit.
 LIMITS = 1000
-MAX_DOCUMENTS, ATTENTION_SHARE = 512, 1.0
+MAX_DOCUMENTS, ATTENTION_SHARE = 512, 0.85
 WEIGHTS = (1.0, 0.05, 0.25)
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS, attention: float | None = None, weights: tuple = WEIGHTS, rule: str = "norm") -> np.ndarray:
-    """Container number of each item; every size must be in 1..capacity, and its attention cost within attention."""
+    """Container number of each item; every size must be in 1..capacity. An item whose cost is above attention is alone."""
     attention = float(ATTENTION_SHARE * capacity * capacity) if attention is None else attention
     n = len(sizes)
     wt, wd, wa = weights
@@ -39,6 +42,10 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENT
     smallest = sizes.min() / capacity if n else 0
     for step, i in enumerate(order):
         t, d, a = sizes[i] / capacity, 1 / max_documents, float(sizes[i]) ** 2 / attention
+        if a > 1 + 1e-12:
+            placed[i] = opened
+            opened += 1
+            continue
         rt, rd, ra = tokens[live] - t, docs[live] - d, cost[live] - a
         ok = (rt >= -1e-12) & (rd >= -1e-12) & (ra >= -1e-12)
         if ok.any():
@@ -76,7 +83,7 @@ def pieces(sizes: DataFrame, limits: DataFrame) -> DataFrame:
 def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS, rule: str = "norm", attention_share: float = ATTENTION_SHARE) -> DataFrame:
     """limit_id, capacity_tokens, container, doc_id, piece_no, token_start, tokens; sizes: doc_id, tokens.
 
-    attention_share: the attention capacity as a share of the squared token capacity, but never under the cost of the largest item; from 1 on it never binds."""
+    attention_share: the attention capacity as a share of the squared token capacity; from 1 on it never binds."""
     items = pieces(sizes, limits)
     counts = sizes.agg(F.count("*")).first()[0]
     shards = max(1, round(counts / SHARD_ITEMS))
@@ -85,7 +92,7 @@ def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMEN
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tokens", "doc_id", "piece_no"], ascending=[False, True, True])
         tokens, capacity = rows.tokens.to_numpy(np.int64), int(rows.capacity_tokens.iloc[0])
-        bins = best_fit(tokens, capacity, max_documents, max(attention_share * capacity * capacity, float(tokens[0]) ** 2), rule=rule)
+        bins = best_fit(tokens, capacity, max_documents, attention_share * capacity * capacity, rule=rule)
         rows["container"] = rows.limit_id.astype(str) + "-" + rows["shard"].astype(str) + "-" + pd.Series(bins, index=rows.index).astype(str)
         return rows[["limit_id", "capacity_tokens", "container", "doc_id", "piece_no", "token_start", "tokens"]]
 
@@ -98,11 +105,16 @@ def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMEN
     return fitted.unionByName(alone)
 
 
-def fill_report(packing: DataFrame) -> DataFrame:
-    """Per limit: containers, documents, tokens, used share of the space, containers at least 95 % full, and the largest number of documents in one."""
-    per = packing.where("container is not null").groupBy("limit_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"))
+def fill_report(packing: DataFrame, attention_share: float = ATTENTION_SHARE) -> DataFrame:
+    """Per limit: containers, documents, tokens, used share of the space, containers at least 95 % full, the largest number of documents
+    in one, containers whose one text is above the attention capacity, and the largest attention cost of the others as a share of it."""
+    held = packing.where("container is not null").groupBy("limit_id", "capacity_tokens", "container")
+    square = F.col("tokens").cast("double") * F.col("tokens")
+    limit = attention_share * F.col("capacity_tokens") * F.col("capacity_tokens")
+    per = held.agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), F.sum(square).alias("cost")).withColumn("share", F.col("cost") / limit)
     return per.groupBy("limit_id", "capacity_tokens").agg(
-        F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 4).alias("used_share"), F.count_if(F.col("used") >= 0.95 * F.col("capacity_tokens")).alias("nearly_full"), F.max("n").alias("most_pieces"), F.max("used").alias("most_used")
+        F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 4).alias("used_share"), F.count_if(F.col("used") >= 0.95 * F.col("capacity_tokens")).alias("nearly_full"), F.max("n").alias("most_pieces"), F.max("used").alias("most_used"),
+        F.count_if((F.col("share") > 1) & (F.col("n") == 1)).alias("alone"), F.round(F.max(F.when((F.col("share") <= 1) | (F.col("n") > 1), F.col("share"))), 4).alias("most_attention"),
     )
 
 
