@@ -3,7 +3,8 @@
 Method, Efraimidis-Spirakis sampling: each document has an exponential key, scaled by its quality weight (a keyed hash gives
 the uniform number, so a run can be repeated). A source's token budget is spent in complete epochs first; what is left is
 filled with documents in order of their keys, by a prefix sum of tokens, up to the document that crosses the budget, which is
-taken if that brings the sum nearer. Prefix sums run over buckets of keys and then within them, so no source is one task.
+taken if that brings the sum nearer. Documents are range-partitioned by source and key; prefix sums run over the ranges and
+then within them, so no source is one task and no range is larger for what qualities its documents have.
 
 The size of the mix is the largest at which every source that has documents can give its share within max_repeats (or the
 given total_tokens; sources that cannot then fall short). Shares of sources without documents are spread over the others in
@@ -20,14 +21,15 @@ from pyspark.sql import functions as F
 
 from loomwork.sources.stage import staged
 
-BUCKET = 4096
+#: Documents of a range of keys.
+BUCKET = 50_000
 #: mix_targets is a fixed list; a larger table is an error, as its plan is made on the driver.
 TARGETS = 100_000
 
 
 def plan(found: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
     """Per target source: share asked and possible, tokens there, budget, complete epochs and what is left for the fraction."""
-    there = {r.source: r for r in found.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.avg("quality").alias("q")).join(F.broadcast(targets.select("source").distinct().limit(TARGETS)), "source", "left_semi").collect()}
+    there = {r.source: r for r in found.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).join(F.broadcast(targets.select("source").distinct().limit(TARGETS)), "source", "left_semi").collect()}
     rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(TARGETS + 1).collect()
     if len(rows) > TARGETS:
         raise ValueError(f"more than {TARGETS} sources")
@@ -41,18 +43,18 @@ def plan(found: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         budget = min(round(size * r.target_share / whole), here * r.max_repeats) if use else 0
         epochs = budget // here if here else 0
         out.append(
-            {"source": r.source, "target_share": r.target_share, "max_repeats": r.max_repeats, "share": r.target_share / whole if use else 0.0, "available": here, "documents": there[r.source].n if use else 0, "mean_quality": there[r.source].q if use else 1.0, "budget": budget, "epochs": epochs, "left": budget - epochs * here}
+            {"source": r.source, "target_share": r.target_share, "max_repeats": r.max_repeats, "share": r.target_share / whole if use else 0.0, "available": here, "documents": there[r.source].n if use else 0, "budget": budget, "epochs": epochs, "left": budget - epochs * here}
         )
     return out
 
 
-_PLAN = "source string, target_share double, max_repeats int, share double, available long, documents long, mean_quality double, budget long, epochs long, left long"
+_PLAN = "source string, target_share double, max_repeats int, share double, available long, documents long, budget long, epochs long, left long"
 
 
 def _fraction(rows: DataFrame) -> DataFrame:
     """rows with taken: the documents of each source, in order of key, whose tokens sum up to left; the one that crosses is taken if that is nearer.
 
-    rows: source, doc_id, tokens, key, bucket, left. Buckets are summed first, so the windows span a bucket each."""
+    rows: source, doc_id, tokens, key, bucket, left. Ranges are summed first, so the windows span a range each."""
     sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(along), F.lit(0)).alias("before"))
@@ -63,6 +65,12 @@ def _fraction(rows: DataFrame) -> DataFrame:
     return upto.withColumn("taken", taken).drop("upto", "before")
 
 
+def ranged(keyed: DataFrame, documents: int) -> DataFrame:
+    """keyed with bucket: its rows in about documents / BUCKET ranges of (source, key, doc_id), balanced by sampling."""
+    parts = max(1, -(-documents // BUCKET), min(16, -(-documents // 5000)))
+    return staged(keyed.repartitionByRange(parts, "source", "key", "doc_id").withColumn("bucket", F.spark_partition_id()))
+
+
 def mixed(found: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> DataFrame:
     """source, doc_id, tokens, copies: each document of the mix and how often it is in it. found: doc_id, source, tokens, quality.
 
@@ -73,9 +81,8 @@ def mixed(found: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     planned = spark.createDataFrame([tuple(p.values()) for p in plans], _PLAN)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
     # one row a source: at most TARGETS
-    joined = found.join(F.broadcast(planned.where("budget > 0").select("source", "documents", "mean_quality", "epochs", "left")), "source").withColumn("key", -F.log(uniform) / F.greatest("quality", F.lit(1e-9)))
-    spread = F.floor((1 - F.exp(-F.col("key") * F.col("mean_quality"))) * F.ceil(F.col("documents") / BUCKET))
-    first = staged(_fraction(joined.withColumn("bucket", spread)))
+    joined = found.join(F.broadcast(planned.where("budget > 0").select("source", "epochs", "left")), "source").withColumn("key", -F.log(uniform) / F.greatest("quality", F.lit(1e-9)))
+    first = staged(_fraction(ranged(joined, sum(p["documents"] for p in plans if p["budget"] > 0))))
     gaps = first.groupBy("source", "left").agg(F.sum(F.when(F.col("taken"), F.col("tokens")).otherwise(0)).alias("got")).select("source", (F.col("left") - F.col("got")).alias("gap"))
     rest = first.where("not taken").drop("taken", "left").join(F.broadcast(gaps.where("gap > 0")), "source").where("tokens <= gap").withColumnRenamed("gap", "left")
     more = _fraction(rest).where("taken").select("source", "doc_id", F.lit(1).alias("more"))
