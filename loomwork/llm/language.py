@@ -2,12 +2,14 @@
 
 Method, compression classification: each language has a raw-content zstandard dictionary; a text belongs to the language
 whose dictionary encodes it smallest, and is rejected (no language) when the runner-up is within a narrow margin. The
-dictionaries are fitted on a bounded sample of labelled documents (SAMPLE_DOCUMENTS in order of a hash of doc_id,
-DICTIONARY_CHARS a language), cleaned of wrong labels by classifying one half with the other half's dictionaries. Every
-paragraph of every document is then classified; no text is cut.
-
-Defined results: null or blank text has no paragraphs; paragraphs that are only code or log lines, or hold fewer than
-MIN_LETTERS letters outside code, have language null and confidence 0; documents without a classified paragraph have null.
+dictionaries are fitted on a bounded sample of labelled documents (about SAMPLE_DOCUMENTS, an equal quota a language in order of
+a hash of doc_id, at most SAMPLE_CHARS of each; DICTIONARY_CHARS a language), cleaned of wrong labels by classifying one half
+with the other half's dictionaries. Every paragraph of every document is then classified whole and at any length by one rule:
+its pieces of PIECE characters are encoded each against the dictionary, so that what a text repeats of itself never outweighs
+it, and the sizes are added.
+
+Defined results: null or blank text has no paragraphs; paragraphs that are only code or log lines, or hold no word outside code,
+have language null and confidence 0, and so have those whose margin is narrow; documents without a classified paragraph have null.
 Confidence is 1 - best / runner-up, compared with what the text takes without a dictionary.
 """
 
@@ -18,14 +20,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCUMENTS, DICTIONARY_CHARS, MIN_LETTERS = 2000, 40_000, 8
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_CHARS = 2000, 8000, 40_000
 #: Narrow margins: the runner-up must take so many more bytes, and so large a share of the best more.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.02
 #: Characters that are encoded at once.
-PIECE = 2000
+PIECE = 400
 #: lang_codes is a fixed list; a larger table than this is an error, as every task holds it.
 CODES_LIMIT = 5000
 #: Settings of the encoder, the same for every language: one quick search per position in a window that holds dictionary and text; fixed values.
@@ -71,7 +73,7 @@ def proses(text: str | None) -> list[str]:
             body = _CODE_SPAN.sub(" ", body)
         # words only: paths, identifiers, numbers and addresses say nothing about the language
         prose = " ".join([w for w in [x.strip(_MARKS) for x in body.split()] if w.replace("'", "").replace("’", "").replace("-", "").isalpha()]).lower()
-        found.append(prose if len(prose) - prose.count(" ") >= MIN_LETTERS else "")
+        found.append(prose)
     return found
 
 
@@ -95,9 +97,8 @@ class Languages:
         """(language or None, confidence)."""
         if not prose or len(self.codes) < 2:
             return None, 0.0
-        # long texts are encoded in pieces, each against the dictionaries; else what a text repeats of itself would outweigh them
         pieces = [prose[i : i + PIECE].encode() for i in range(0, len(prose), PIECE)]
-        sizes = [sum(len(f(piece)) for piece in pieces) for f in self._size] if len(pieces) > 1 else [len(f(pieces[0])) for f in self._size]
+        sizes = [sum([len(f(piece)) for piece in pieces]) for f in self._size]
         best = min(sizes)
         at = sizes.index(best)
         second = min(x for i, x in enumerate(sizes) if i != at)
@@ -129,9 +130,9 @@ def fit(rows: list[tuple[str, str]], rounds: int = 3) -> Languages:
                     by.setdefault(lang, []).append(p)
             halves.append(Languages({k: _joined(v, DICTIONARY_CHARS) for k, v in by.items()}))
         checked = [(lang, p, half) for lang, p, half in samples if halves[1 - half].classify(p)[0] == lang]
-        if not checked or {x[0] for x in checked} != {x[0] for x in keep}:
-            break
-        keep = checked
+        sound = {x[0] for x in checked}
+        # a language of which nothing is confirmed keeps all its samples; the others are cleaned
+        keep = checked + [x for x in samples if x[0] not in sound]
     by = {}
     for lang, p, _ in keep:
         by.setdefault(lang, []).append(p)
@@ -153,14 +154,20 @@ def usable_labels(documents: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def fitted(labelled: DataFrame) -> Languages:
-    """Dictionaries from the first SAMPLE_DOCUMENTS labelled documents in order of a hash of their id.
+    """Dictionaries from a sample of labelled documents: of each language the first in order of a hash of their id, as many of each.
 
-    The hash's range is narrowed by the number of labels first, so about 1.5 x SAMPLE_DOCUMENTS texts at most leave their tasks at any size."""
+    Of a text SAMPLE_CHARS at most are fitted on, so the driver gets SAMPLE_DOCUMENTS x SAMPLE_CHARS characters at any size. The
+    hash's range is narrowed by each language's number of documents first, so few rows more leave their tasks."""
     usable = labelled.where("label is not null and text is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    known = labelled.where("label is not null").count()
-    share = min(1.0, 1.5 * SAMPLE_DOCUMENTS / max(known, 1))
-    rows = usable.where(F.col("h") < int(share * (1 << 40))).select("label", "text", "h", "doc_id").orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS).collect()
-    return fit([(r.label, r.text) for r in rows])
+    counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not counts:
+        return fit([])
+    quota = max(4, SAMPLE_DOCUMENTS // len(counts))
+    ranges = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, int(min(1.0, 2 * quota / n + 8 / n) * (1 << 40)))])
+    near = usable.where(F.col("h") < F.try_element_at(ranges, "label")).select("label", "h", "doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))  # about twice the quota a language
+    rows = near.withColumn("place", place).where(F.col("place") <= quota).select("label", "text", "h", "doc_id").collect()
+    return fit([(r.label, r.text) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))])
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("para_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("letters", pa.int64())])
