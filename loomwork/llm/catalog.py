@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "log_entries"))
 
 
+def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.session_report(table(spark, sf_dir, "log_entries"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.personal_information(*(table(spark, sf_dir, t) for t in ("log_entries", "messages", "name_lexicon")))
     return found.select("row_table", "row_id", "part_no", "kind", "found_text").distinct()
@@ -80,10 +84,10 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_masked, p4_found, p4_redacted, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_sessions, p3_found, p3_masked, p4_found, p4_redacted, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
 
 
-_P1 = r"""
+_P1_TABLES = r"""
 with f as (
     select lower(session_id) as s, line_no as n, min_by({'e': entry_id, 'k': entry_type, 'ts': ts, 'p': prompt_id, 'side': coalesce(is_sidechain, false), 'm': message}, entry_id) as x
     from log_entries where session_id is not null and line_no is not null group by all
@@ -105,13 +109,26 @@ with f as (
 ), g as (
     select s from d group by s having count(*) = max(n) - min(n) + 1 and count(*) filter (main and j is null) = 0 and count(*) filter (turn) > 1
 ), t as (
-    select s, e, role, row_number() over w - 1 as turn_no, lag(role) over w as before, row_number() over (partition by s order by time desc nulls last, n desc) as back
+    select s, n, e, role, row_number() over w - 1 as turn_no, lag(role) over w as before, row_number() over (partition by s order by time desc nulls last, n desc) as back
     from d where turn and s in (select s from g) window w as (partition by s order by time nulls first, n)
-), keep as (
+)
+"""
+_P1 = _P1_TABLES + r"""
+, keep as (
     select s from t group by s having bool_or(turn_no = 0 and role = 'user') and bool_or(back = 1 and role = 'assistant') and not bool_or(role = 'user' and coalesce(before, '') = 'user')
 )
 select s as session_id, turn_no, e as entry_id from t where s in (select s from keep)
 """
+_P1_SESSIONS = _P1_TABLES + r"""
+, w as (
+    select s, count(*) as lines, count(*) filter (turn) as turns, max(n) - min(n) + 1 - count(*) as missing, count(*) filter (main and j is null) as unread from d group by s
+), a as (
+    select s, role, lead(role) over (partition by s order by turn_no) as after, count(*) filter (role = 'user') over (partition by s order by turn_no) as users from t
+), x as (
+    select s, count(*) filter (role = 'user' and after is distinct from 'assistant') as unanswered, count(*) filter (role = 'assistant' and users = 0) as unasked, 0::bigint as left_over from a group by s
+)
+select w.s as session_id, lines, turns, missing, unread, unanswered, unasked, left_over, coalesce(unanswered + unasked = 0, false) as kept from w left join x using (s)
+"""
 
 _P5 = r"""
 with w as (
@@ -126,4 +143,4 @@ select rule_a, rule_b from b where shared >= 0.7 * (na + nb - shared) - 1e-9
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p5_found": _P5}
+    return {"p1_found": _P1, "p1_sessions": _P1_SESSIONS, "p5_found": _P5}

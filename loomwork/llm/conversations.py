@@ -1,13 +1,15 @@
 """Rebuilding conversations from message rows.
 
-Method: the lines of a session form a reply graph - a line without a time of its own answers the nearest earlier line that
-has one - that Kahn's algorithm sorts with timestamp (then line number) tie-breaking; nodes that are left over lie on
-cycles. Role alternation and completeness are then checked, and broken, empty or unanswered conversations dropped.
+Method: the turns of a session form a reply graph - each turn answers the nearest turn of the other role before it, and a line
+without a time of its own follows the nearest earlier line that has one - that Kahn's algorithm sorts with timestamp (then line
+number) tie-breaking; nodes that are left over lie on or behind cycles and break their session. Alternation and completeness are
+read off the graph: in a whole conversation every user turn has a reply and every assistant turn answers one, so the first turn
+is the user's, the last the assistant's and no two prompts follow each other. Broken, empty and unanswered conversations are dropped.
 
 A session may hold a third of all rows, so no session is gathered: times are carried forward within blocks of line
 numbers and then between blocks, turns are range-partitioned by (session, time, line), each range is sorted by Kahn's
 algorithm by itself (an edge from an earlier range is already satisfied, as ranges are ordered like their nodes), and the
-ranges' summaries - a row per session and range - give turn numbers and checks across their borders.
+ranges' summaries - a row per session and range - give turn numbers and join replies to prompts across their borders.
 
 Defined results: rows without session or line number belong to no conversation; of rows with the same session (without
 letter case) and line number the lowest entry_id counts; a null sidechain flag means that the line is not on a sidechain; a null message is unreadable.
@@ -16,6 +18,7 @@ letter case) and line number the lowest entry_id counts; a null sidechain flag m
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -115,18 +118,39 @@ def timed(found: DataFrame) -> DataFrame:
     return whole.select("session_id", "line_no", *cols, F.col("near.at").alias("time"), F.when(F.col("at").isNull(), F.col("near.line_no")).alias("parent"))
 
 
-_RANKED = "session_id string, range int, entry_id long, rank long, user boolean"
-_RANKED_ARROW = pa.schema([("session_id", pa.string()), ("range", pa.int32()), ("entry_id", pa.int64()), ("rank", pa.int64()), ("user", pa.bool_())])
+_RANKED = "session_id string, range int, entry_id long, rank long, user boolean, answers long, replies long"
+_RANKED_ARROW = pa.schema(
+    [("session_id", pa.string()), ("range", pa.int32()), ("entry_id", pa.int64()), ("rank", pa.int64()), ("user", pa.bool_()), ("answers", pa.int64()), ("replies", pa.int64())]
+)
+
+
+def reply_edges(turns: list[tuple]) -> list[tuple]:
+    """(answered, answering) of turns (priority, id, user): each answers the nearest one of the other role before it."""
+    last: dict[bool, object] = {}
+    edges = []
+    for _, node, user in sorted(turns):
+        if (not user) in last:
+            edges.append((last[not user], node))
+        last[user] = node
+    return edges
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kahn's algorithm over each session's nodes within a range; a range is one task, its rows arrive by session."""
+    """The reply graph of each session's turns within a range, sorted by Kahn's algorithm. A range is one task, its rows arrive by
+    session. rank: the place within the range, null for what is left over; answers: the rank of the turn that is answered, null where
+    that is not in the range; replies: how many turns of the range answer this one."""
 
     def emit(session: str, at: int, rows: list[tuple]) -> pa.RecordBatch:
         nodes = [((t, line), line) for line, t, _, _, _ in rows]
         info = {line: (entry, user) for line, _, _, entry, user in rows}
-        order, _ = kahn(nodes, [(parent, line) for line, _, parent, _, _ in rows if parent is not None])
-        cols = [[session] * len(order), [at] * len(order), [info[n][0] for n in order], list(range(len(order))), [info[n][1] for n in order]]
+        replies = reply_edges([((t, line), line, user) for line, t, _, _, user in rows])
+        order, left = kahn(nodes, replies + [(parent, line) for line, _, parent, _, _ in rows if parent is not None])
+        place = {n: i for i, n in enumerate(order)}
+        answered = {child: parent for parent, child in replies}
+        count = Counter(parent for parent, child in replies)
+        every = order + left
+        ranks = [place.get(n) for n in every]
+        cols = [[session] * len(every), [at] * len(every), [info[n][0] for n in every], ranks, [info[n][1] for n in every], [place.get(answered.get(n)) for n in every], [count[n] for n in every]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _RANKED_ARROW.types)], schema=_RANKED_ARROW)
 
     session, at, rows = None, 0, []
@@ -141,8 +165,9 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(session, at, rows)
 
 
-def conversations(log_entries: DataFrame) -> DataFrame:
-    """session_id, turn_no, entry_id of the turns of every whole conversation, in order."""
+def _graphs(log_entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, ranked, placed): per session its lines and turns; the sorted turns of sessions without gaps and unreadable lines;
+    per session and range what the graph says, with before, the turns of earlier ranges."""
     line = staged(timed(lines(log_entries)))
     whole = line.groupBy("session_id").agg(
         F.count("*").alias("n"), (F.max("line_no") - F.min("line_no") + 1).alias("span"), F.count_if(F.col("main") & ~F.col("readable")).alias("unread"), F.count("user").alias("turns")
@@ -155,17 +180,42 @@ def conversations(log_entries: DataFrame) -> DataFrame:
     ranged = staged(turns.repartitionByRange(parts, "session_id", "t", "line_no").withColumn("range", F.spark_partition_id()))
     ordered = ranged.repartition(parts, "range").sortWithinPartitions("range", "session_id").select("session_id", "range", "line_no", "t", "parent", "entry_id", "user")
     ranked = staged(ordered.mapInArrow(_ranked, _RANKED))
-    # a session's rows within a range are bounded, so windows over (session, range) are
-    near = Window.partitionBy("session_id", "range").orderBy("rank")
-    flagged = ranked.withColumn("twice", F.coalesce(F.col("user") & F.lag("user").over(near), F.lit(False)))
-    summary = flagged.groupBy("session_id", "range").agg(F.count("*").alias("n"), F.max_by("user", "rank").alias("last"), F.min_by("user", "rank").alias("first"), F.bool_or("twice").alias("twice"))
+    open_prompt = F.col("user") & (F.col("replies") == 0)
+    summary = ranked.groupBy("session_id", "range").agg(
+        F.count("*").alias("n"), F.count_if("user").alias("users"), F.count_if(F.col("rank").isNull()).alias("left_over"),
+        F.count_if(open_prompt).alias("open"), F.count_if(~F.col("user") & F.col("answers").isNull()).alias("opening_replies"), F.max_by(open_prompt, "rank").alias("ends_open"),
+    )
     along = Window.partitionBy("session_id").orderBy("range")
-    placed = summary.withColumn("before", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("joint", F.coalesce(F.col("first") & F.lag("last").over(along), F.lit(False)))
-    kept = placed.groupBy("session_id").agg(F.min_by("first", "range").alias("opens"), F.max_by("last", "range").alias("ends"), F.bool_or(F.col("twice") | F.col("joint")).alias("broken")).where("opens and not ends and not broken").select("session_id")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    # a prompt that ends a range is answered by the replies that open the next one; replies that open a range need a prompt before it
+    answered = F.col("ends_open") & (F.coalesce(F.lead("opening_replies").over(along), F.lit(0)) > 0)
+    asked = F.coalesce(F.sum("users").over(earlier), F.lit(0)) > 0
+    placed = summary.select(
+        "session_id", "range", "left_over", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        (F.col("open") - F.when(answered, 1).otherwise(0)).alias("unanswered"), F.when(asked, 0).otherwise(F.col("opening_replies")).alias("unasked"),
+    )
+    return whole, ranked, placed
+
+
+def conversations(log_entries: DataFrame) -> DataFrame:
+    """session_id, turn_no, entry_id of the turns of every whole conversation, in order."""
+    _, ranked, placed = _graphs(log_entries)
+    kept = placed.groupBy("session_id").agg(F.sum(F.col("left_over") + F.col("unanswered") + F.col("unasked")).alias("faults")).where("faults = 0").select("session_id")
     offsets = placed.select("session_id", "range", "before").join(kept, "session_id", "left_semi")
     return ranked.join(offsets, ["session_id", "range"]).select("session_id", (F.col("before") + F.col("rank")).alias("turn_no"), "entry_id")
 
 
+def session_report(log_entries: DataFrame) -> DataFrame:
+    """One row per session: lines, turns, missing (line numbers), unread (lines), unanswered (prompts), unasked (replies), left_over
+    (turns on or behind cycles) and kept. The last three are null where gaps or unreadable lines broke the session before its graph was made."""
+    whole, _, placed = _graphs(log_entries)
+    faults = placed.groupBy("session_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("unanswered", "unasked", "left_over")])
+    kept = F.coalesce(F.col("unanswered") + F.col("unasked") + F.col("left_over") == 0, F.lit(False))
+    return whole.join(faults, "session_id", "left").select(
+        "session_id", F.col("n").alias("lines"), "turns", (F.col("span") - F.col("n")).alias("missing"), "unread", "unanswered", "unasked", "left_over", kept.alias("kept")
+    )
+
+
 def reply_order(df: DataFrame, group: str, node: str, parent: str, priority: str) -> DataFrame:
     """group, node, place, cyclic of explicit reply links, by Kahn's algorithm per group (groups must fit a task; conversations() is
     the way for any size). place counts from 0 and is null, and cyclic true, for nodes on or behind a cycle. Null parents are roots."""

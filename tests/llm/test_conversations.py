@@ -99,6 +99,31 @@ def test_kahn_against_its_definition(edges, n):
         assert any(c == x and p in left for p, c in known)
 
 
+def test_replies_and_faults_are_read_off_the_graph(spark):
+    assert C.reply_edges([((2, 0), "c", True), ((0, 0), "a", True), ((1, 0), "b", False), ((1, 1), "d", False)]) == [("a", "b"), ("a", "d"), ("d", "c")]
+    rows = [line(1, 0, "user", session="ok"), line(2, 1, "assistant", session="ok"), line(3, 0, "user", session="open"), line(4, 1, "user", session="open"), line(5, 2, "assistant", session="open"), line(6, 3, "user", session="open")]
+    rows += [line(7, 0, "assistant", session="first"), line(8, 1, "user", session="first"), line(9, 2, "assistant", session="first"), line(10, 0, "user", session="gap"), line(11, 2, "assistant", session="gap")]
+    got = {r.session_id: (r.lines, r.turns, r.missing, r.unread, r.unanswered, r.unasked, r.left_over, r.kept) for r in C.session_report(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {"ok": (2, 2, 0, 0, 0, 0, 0, True), "open": (4, 4, 0, 0, 2, 0, 0, False), "first": (3, 3, 0, 0, 0, 1, 0, False), "gap": (2, 2, 1, 0, None, None, None, False)}
+
+
+def test_faults_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE_TURNS", 2)
+    rng = random.Random(3)
+    rows, want, n = [], {}, 0
+    for s in range(40):
+        roles = [rng.choice(["user", "assistant"]) for _ in range(rng.randrange(2, 12))]
+        if s % 2:
+            roles = ["user", "assistant"] * rng.randrange(1, 6)
+        for no, role in enumerate(roles):
+            n += 1
+            rows.append(line(n, no, role, ts="2025-01-01T00:00:%02dZ" % no, session=f"s{s}"))
+        want[f"s{s}"] = roles[0] == "user" and roles[-1] == "assistant" and not any(a == b == "user" for a, b in zip(roles, roles[1:]))
+    got = {r.session_id: r.kept for r in C.session_report(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == want
+    assert {r[0] for r in found(spark, rows)} == {s for s, k in want.items() if k}
+
+
 def test_reply_order_shows_cycles(spark):
     df = spark.createDataFrame([("g", 1, None, 5), ("g", 2, 1, 9), ("g", 3, 1, 1), ("g", 4, 5, 0), ("g", 5, 4, 0), ("h", 6, 99, None)], "grp string, id long, parent long, at long")
     got = {r.id: (r.place, r.cyclic) for r in C.reply_order(df, "grp", "id", "parent", "at").collect()}
