@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.functions import payload, text
+from loomwork.functions import payload, text, times
 from loomwork import model
 from loomwork.operators import compact, delivery, nested, record, rules, sequence, sessions
 from loomwork.plans import sql as S
@@ -95,7 +95,30 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.array_objects(table(spark, sf_dir, "log_entries")).select("entry_id", "root", "node_path", "parent_path")
 
 
-@query()
+_NODE_TYPES = "case t.type when 'VARCHAR' then 'str' when 'DOUBLE' then 'float' when 'BOOLEAN' then 'bool' when 'NULL' then 'NoneType' when 'OBJECT' then null when 'ARRAY' then null else 'int' end"
+_NODE = (
+    "case t.type when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'scalar' end as kind, case when t.parent is null or ends_with(t.fullkey, ']') then null else t.key end as key,"
+    f" case when ends_with(t.fullkey, ']') then t.key::bigint end as position, {_NODE_TYPES} as value_type,"
+    " case when t.type not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string(t.value, '$') end as value"
+)
+
+
+@query(
+    "with v as (select entry_id, "
+    + _opened("message")
+    + " as m, "
+    + _opened("tool_use_result")
+    + f" as r from log_entries), a as (select entry_id, 'message' as root, t.id as i, {_PATH} as path, {_NODE} from v, json_tree(m) t where json_type(m) in ('OBJECT', 'ARRAY')"
+    f" union all select entry_id, 'tool_use_result', t.id, {_PATH}, {_NODE} from v, json_tree(r) t where json_type(r) in ('OBJECT', 'ARRAY')),"
+    " held as (select x.entry_id, x.i, x.path as stem, " + _opened("x.value") + " as j from a x join a y on y.entry_id = x.entry_id and y.root = x.root and y.path = regexp_replace(x.path, 'input$', 'type') and y.value = 'tool_use'"
+    " where x.root = 'message' and regexp_full_match(x.path, 'content\\[[0-9]+\\]\\.input') and x.value_type = 'str'),"
+    f" inner_ as (select entry_id, 'message' as root, i, t.id as k, stem || case when {_PATH} = '' or starts_with({_PATH}, '[') then '' else '.' end || {_PATH} as path, {_NODE.replace("t.parent is null or", '')} from held, json_tree(j) t where json_type(j) in ('OBJECT', 'ARRAY')),"
+    " every as (select entry_id, root, i, 0::ubigint as k, path, kind, key, position, value_type, value from a anti join (select distinct entry_id, root, i from inner_) z using (entry_id, root, i)"
+    " union all select entry_id, root, i, k, path, kind, case when k = 0 then 'input' else key end, position, value_type, value from inner_),"
+    " n as (select *, row_number() over (partition by entry_id, root order by i, k) - 1 as pre from every),"
+    " post as (select x.entry_id, x.root, x.pre, max(y.pre) as post from n x join n y on y.entry_id = x.entry_id and y.root = x.root and y.pre >= x.pre and (y.pre = x.pre or x.path = '' or starts_with(y.path, x.path || '.') or starts_with(y.path, x.path || '[')) group by all)"
+    " select entry_id, root, pre, post, kind, path as node_path, key, position, value_type, value from n join post using (entry_id, root, pre)"
+)
 def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.nodes(table(spark, sf_dir, "log_entries"))
 
@@ -278,25 +301,31 @@ def elision_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.elisions(marked, "session_key", "seq", F.coalesce("fits", F.lit(False)) | (F.col("seq") % 7 == 0))
 
 
-@query(S.M + S.LS + "select cwd, session_key, seq, session_key is distinct from lag(session_key) over (partition by cwd order by updated_ts, session_key, seq) as header from (select ls.cwd, ls.updated_ts, m.session_key, m.seq from m join ls using (session_key) where ls.cwd <> '' and ls.updated_ts is not null and m.role = 'user')")
+@query(
+    S.M
+    + S.LS
+    + "select cwd, session_key, seq, session_key is distinct from lag(session_key) over (partition by cwd order by updated_ts, session_key, seq) as header"
+    " from (select ls.cwd, ls.updated_ts, m.session_key, m.seq from m join ls using (session_key) where ls.cwd <> '' and ls.updated_ts is not null)"
+)
 def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _messages(spark, sf_dir, "role").where("role = 'user'").select("session_key", "seq").join(_sessions(spark, sf_dir).where("cwd <> '' and updated_ts is not null").select("session_key", "cwd", "updated_ts"), "session_key")
+    dated = _sessions(spark, sf_dir).where("cwd <> '' and updated_ts is not null").select("session_key", "cwd", "updated_ts")
+    m = _messages(spark, sf_dir, "role").select("session_key", "seq").join(dated, "session_key")
     return sequence.section_starts(m, "cwd", ["updated_ts", "session_key", "seq"], "session_key", F.unix_date(F.to_date("updated_ts"))).select("cwd", "session_key", "seq", "header")
 
 
+def _rung(cap: int) -> str:
+    size = "octet_length(encode(text))"
+    cut = f"case when {size} <= {cap} then {size} else {S.whole_bytes('text', cap)} + 3 end"
+    return f"select session_key, {cap}::bigint as cap, sum({cut} + 3)::bigint as low, count(*) filter ({size} > {cap}) as cut from m where text is not null group by session_key"
+
+
 @query(
-    S.M + f", rungs as (select unnest([{', '.join(map(str, sequence.ladder()))}]) as cap), per as (select session_key, cap, sum(case when octet_length(encode(text)) <= cap then octet_length(encode(text)) else cap + 3 end + 3)::bigint as low, count(*) filter (octet_length(encode(text)) > cap) as cut from m, rungs where text is not null and text = regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') group by all),"
-    " best as (select session_key, coalesce(max(case when low <= 1500 then cap end), 240) as cap from per group by 1) select session_key, cap::bigint as cap, low as bytes, cut from best join per using (session_key, cap)"
+    S.M
+    + f", per as ({' union all '.join(_rung(c) for c in sequence.ladder())}), best as (select session_key, coalesce(max(case when low <= 1500 then cap end), 240) as cap from per group by 1)"
+    " select session_key, cap, low as bytes, cut from best join per using (session_key, cap)"
 )
 def cap_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the ASCII texts, whose cut length is the cap itself; a budget of 2000 bytes. A part only, for its SQL; cap_ladder_whole is the whole."""
-    m = _messages(spark, sf_dir, "text").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return sequence.best_cap(m, "session_key", "text", 2000)
-
-
-@query()
-def cap_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all texts, cut between characters; a budget of 2000 bytes."""
+    """A budget of 2000 bytes; texts are cut between characters."""
     return sequence.best_cap(_messages(spark, sf_dir, "text").where("text is not null"), "session_key", "text", 2000)
 
 
@@ -311,29 +340,35 @@ def log_group_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.last_entries(entries, "doc_id", 3)
 
 
-_TOOL_SQL = "'  · ' || coalesce(x.name, '') || case when coalesce(x.error, '') <> '' then ' FAILED: ' || regexp_replace(regexp_replace(x.error, '\\s+', ' ', 'g'), '^ | $', '', 'g') when coalesce(len(x.files), 0) > 0 then ' ' || array_to_string(x.files, ', ') when coalesce(x.summary, '') <> '' then ': ' || regexp_replace(regexp_replace(x.summary, '\\s+', ' ', 'g'), '^ | $', '', 'g') else '' end"
-
-
-@query(
-    S.M + f"select session_key, seq, len(list_filter(tools[1:12], lambda x: coalesce(x.error, '') <> '')) as failures, concat_ws(chr(10), nullif(array_to_string(list_transform(list_filter(tools[1:12], lambda x: coalesce(x.error, '') = ''), lambda x: {_TOOL_SQL}), chr(10)), ''), case when len(tools) > 12 then '  · … ' || (len(tools) - 12) || ' more tool calls' end) as did"
-    " from m where tools is not null and len(list_filter(tools, lambda x: octet_length(encode(coalesce(x.summary, ''))) > 200)) = 0"
+_TOOL_SQL = (
+    f"'  · ' || coalesce(x.name, '') || case when coalesce(x.error, '') <> '' then ' FAILED: ' || ({S.truncated(S.flat('x.error'), compact.FAILURE)})"
+    " when coalesce(len(x.files), 0) > 0 then ' ' || array_to_string(x.files, ', ')"
+    f" when coalesce(x.summary, '') <> '' then ': ' || ({S.truncated(S.flat('x.summary'), compact.SUMMARY)}) else '' end"
+)
+_DID_SQL = (
+    f"concat_ws(chr(10), nullif(array_to_string(list_transform(list_filter(tools[1:12], lambda x: coalesce(x.error, '') = ''), lambda x: {_TOOL_SQL}), chr(10)), ''),"
+    " case when len(tools) > 12 then '  · … ' || (len(tools) - 12) || ' more tool calls' end)"
+)
+_SAID_SQL = (
+    f"concat_ws(chr(10), case when role = 'user' and not coalesce(meta, false) and {S.strip_wrappers('text')} <> '' then '[human] ' || ({S.truncated(S.strip_wrappers('text'), compact.HUMAN)}) end,"
+    f" case when role = 'assistant' and thinking <> '' then '[agent thinking] ' || ({S.truncated(S.strip_wrappers('thinking'), compact.THINKING)}) end,"
+    f" case when role = 'assistant' and text <> '' then '[agent] ' || ({S.truncated(S.strip_wrappers('text'), compact.TEXT)}) end,"
+    f" nullif(array_to_string(list_transform(list_filter(tools[1:12], lambda x: coalesce(x.error, '') <> ''), lambda x: {_TOOL_SQL}), chr(10)), ''))"
 )
-def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routine calls of each message as text; messages with a summary that would be cut are left out, for the SQL; tool_lines_whole is the whole."""
-    m = _messages(spark, sf_dir, *_LINE_COLUMNS).where("tools is not null and not exists(tools, x -> octet_length(coalesce(x.summary, '')) > 200)")
-    return _tool_lines(m)
-
-
-@query()
-def tool_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routine calls of each message as text, long summaries cut."""
-    return _tool_lines(_messages(spark, sf_dir, *_LINE_COLUMNS).where("tools is not null"))
 
 
-_LINE_COLUMNS = ("role", "meta", "text", "thinking", "tools")
+@query(S.M + f"select session_key, seq, {_SAID_SQL} as said, {_DID_SQL} as did from m")
+def rendered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was said in each message and which routine calls it made, as lines; long texts, failures and summaries are cut."""
+    return compact.rendered(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"))
 
 
-def _tool_lines(m: DataFrame) -> DataFrame:
+@query(
+    S.M + f"select session_key, seq, len(list_filter(tools[1:12], lambda x: coalesce(x.error, '') <> '')) as failures, {_DID_SQL} as did from m where tools is not null"
+)
+def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routine calls of each message as text, and how many of the first calls failed."""
+    m = _messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools").where("tools is not null")
     failures = F.size(F.filter(F.slice("tools", 1, 12), lambda t: text.nonempty(t["error"]).isNotNull())).cast("long")
     return compact.rendered(m).join(m.select("session_key", "seq", failures.alias("failures")), ["session_key", "seq"]).select("session_key", "seq", "failures", "did")
 
@@ -343,7 +378,11 @@ def session_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), compact.BUDGET)
 
 
-@query()
+@query(
+    S.M
+    + f", x as (select distinct session_key from m where ({S.HUMAN}) and {S.strip_wrappers('text')} <> '' or {_SAID_SQL} <> '' or {_DID_SQL} <> '')"
+    " select session_key, 'script' as model, null::varchar as error, 'keep {braces}' as rule, 1::bigint as claims from x join (select distinct session_key from sessions) using (session_key)"
+)
 def model_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads through a scripted model that answers with fenced JSON, decoded again."""
     prompts = compact.payloads(_messages(spark, sf_dir, "role", "meta", "text", "thinking", "tools"), _sessions(spark, sf_dir), compact.BUDGET)
@@ -408,11 +447,10 @@ def rule_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "rule_entries").select("rule_id", text.tokens(F.coalesce("rule", F.lit(""))).alias("tokens"))
 
 
-@query(f"select entry_id, epoch_us(try_cast(ts as timestamptz)) as at from log_entries where regexp_full_match(ts, '{S.RFC3339}') and try_cast(ts as timestamptz) is not null")
+@query(f"select entry_id, case when regexp_full_match(ts, '{S.RFC3339}') then epoch_us(try_cast(ts as timestamptz)) end as at from log_entries")
 def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-    log = table(spark, sf_dir, "log_entries").where(F.col("ts").rlike(shape))
-    return log.select("entry_id", F.unix_micros(F.try_to_timestamp("ts")).alias("at")).where("at is not null")
+    """The instant of each line in microseconds; null where its stamp is missing, unreadable or without a zone."""
+    return table(spark, sf_dir, "log_entries").select("entry_id", F.unix_micros(times.instant(F.col("ts"))).alias("at"))
 
 
 # --- JSON --------------------------------------------------------------------------------------
@@ -430,15 +468,16 @@ _FILES_SQL = "list_filter([" + ", ".join(f"json_extract_string({{v}}, '$.{k}')"
 
 @query(
     S.LOG + ", p as (select entry_id, i::bigint as part, json_extract(v, '$.content[' || i || ']') as p from v, unnest(range(0, coalesce(json_array_length(v, '$.content'), 0)::bigint)) as u(i) where json_type(v) = 'OBJECT' and json_type(v, '$.content') = 'ARRAY'), q as (select entry_id, part, json_extract_string(p, '$.name') as tool, case when json_type(p, '$.input') = 'VARCHAR' then case when json_valid(json_extract_string(p, '$.input')) then json_extract_string(p, '$.input')::json end else json_extract(p, '$.input') end as input from p where json_extract_string(p, '$.type') = 'tool_use')"
-    f" select entry_id, part, tool, list_concat({_FILES_SQL.format(v='input')}, coalesce(flatten(list_transform(json_extract(input, '$.edits[*]'), lambda e: {_FILES_SQL.format(v='e')})), [])) as files, regexp_replace(regexp_replace(coalesce({', '.join(f'''nullif(json_extract_string(input, '$.{k}'), '')''' for k in payload.SUMMARY_KEYS_A)}, ''), '{S.UNICODE_SPACE}+', ' ', 'g'), '^ | $', '', 'g') as summary from q"
+    f" select entry_id, part, tool, list_concat({_FILES_SQL.format(v='input')}, coalesce(flatten(list_transform(json_extract(input, '$.edits[*]'), lambda e: {_FILES_SQL.format(v='e')})), [])) as files, {S.truncated('s', 200)} as summary"
+    f" from (select *, {S.flat(f"coalesce({', '.join(f'nullif(json_extract_string(input, {chr(39)}$.{k}{chr(39)}), {chr(39)}{chr(39)})' for k in payload.SUMMARY_KEYS_A)}, '')")} as s from q)"
 )
 def tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls of the raw log with the paths and the (uncut) summary of their inputs."""
+    """Tool calls of the raw log with the paths and the summary of their inputs."""
     log = table(spark, sf_dir, "log_entries").where("message like '%tool_use%'").select("entry_id", payload.opened(F.col("message")).alias("v"))
     parts = log.select("entry_id", F.posexplode(F.try_variant_get("v", "$.content", "array<variant>")).alias("part", "p")).where(payload.text_at(F.col("p"), "$.type") == "tool_use")
     held = payload.text_at(F.col("p"), "$.input")
     calls = parts.withColumn("input", F.when(held.isNotNull(), F.try_parse_json(held)).otherwise(F.try_variant_get("p", "$.input", "variant")))
-    return calls.select("entry_id", F.col("part").cast("long").alias("part"), payload.text_at(F.col("p"), "$.name").alias("tool"), payload.files_of(F.col("input")).alias("files"), payload.summary_of(F.col("input"), size=1 << 20).alias("summary"))
+    return calls.select("entry_id", F.col("part").cast("long").alias("part"), payload.text_at(F.col("p"), "$.name").alias("tool"), payload.files_of(F.col("input")).alias("files"), payload.summary_of(F.col("input")).alias("summary"))
 
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, json_object('user', user_id, 'kind', event_type)::varchar as emitted from events")
@@ -480,21 +519,57 @@ def files_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(after, ["sha", "kind", "pos"]).select("sha", "kind", "pos", sessions.union_capped(F.col("files"), F.col("more")).alias("files"))
 
 
-@query()
+@query(
+    S.R
+    + S.CF
+    + ", st as (select sha, list(path order by path) as staged from cf group by sha)"
+    f", p as (select sha, kind, pos, {S.cleaned_value('rule', rules.RULE_BYTES)} as rule, {S.cleaned_value('why', rules.WHY_BYTES)} as why, files from r)"
+    f", q as (select *, {S.prepared('rule', "''", '[]::varchar[]')} as a, {S.prepared('why', "''", '[]::varchar[]')} as b from p where rule <> '' and why <> ''"
+    f" and lower(regexp_replace({S.trimmed('why')}, '[. ]+$', '')) not in {rules.NON_REASONS!r} and not ({' or '.join(f"contains(lower(rule), '{m}')" for m in rules.SELF_MARKERS)}))"
+    f", o as (select q.*, st.staged from q join st using (sha) where not {S.same('q.a', 'q.b', rules.SAME)})"
+    f", n as (select *, list_filter(list_transform(coalesce(files, []), lambda f: {S.matched('f', 'staged')}), lambda f: f <> '') as named from o)"
+    ", u as (select *, case when coalesce(len(files), 0) = 0 then case when len(staged) = 1 then staged else [] end else list_filter(named, lambda x, i: list_position(named, x) = i) end[1:3] as bound from n)"
+    f", g as (select sha, kind, list({S.prepared('rule', 'why', 'bound')} order by pos) as l from u where len(bound) > 0 group by sha, kind)"
+    f", k as (select sha, kind, {S.folded('l')}[1:case when kind = 'reject' then {rules.REJECTED} else {rules.INVARIANTS} end] as k from g)"
+    " select sha, kind, i - 1 as pos, k[i].rule as rule, k[i].why as why, k[i].files as files from k, unnest(range(1, len(k) + 1)) as x(i)"
+)
 def clean_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of each commit that survive cleaning, bound to the commit's files in order."""
     files = _commit_files(spark, sf_dir).groupBy("sha").agg(F.array_sort(F.collect_list("path")).alias("staged"))
     return rules.cleaned(_rules(spark, sf_dir), files)
 
 
-@query()
+@query(
+    S.R
+    + S.CF
+    + f", st as (select sha, list(path order by path) as staged from cf group by sha) select sha, kind, pos, list_transform(coalesce(files, []), lambda f: {S.matched('f', 'staged')}) as matched from r join st using (sha)"
+)
+def matched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit's path that each file of an entry means."""
+    files = _commit_files(spark, sf_dir).groupBy("sha").agg(F.array_sort(F.collect_list("path")).alias("staged"))
+    named = F.coalesce("files", F.array().cast("array<string>"))
+    return _rules(spark, sf_dir, "files").join(files, "sha").select("sha", "kind", "pos", F.transform(named, lambda f: rules.matched_path(f, F.col("staged"))).alias("matched"))
+
+
+@query(
+    S.R
+    + f", e as (select sha, kind, list({S.prepared("coalesce(rule, '')", "coalesce(why, '')", 'coalesce(files, [])')} order by pos) as l,"
+    f" list({S.prepared("coalesce(why, '')", "''", '[]::varchar[]')} order by pos) as c from r group by sha, kind)"
+    ", g as (select sha, count(*) as n, flatten(list(l order by kind)) as l, flatten(list(c order by kind)) as c from e group by sha)"
+    f", t as (select sha, n, l, c, {S.folded('l')} as f, {S.folded_texts(f"list_filter(list_transform(c, lambda x: {S.prepared(S.trimmed('x.rule'), "''", '[]::varchar[]')}), lambda x: x.rule <> '')")} as d from g)"
+    ", o as (select sha, case when n = 1 then l else f end as rules, case when n = 1 then c else d[1:8] end as claims, case when n = 1 then 0 else len(l) - len(f) end as folded_away from t)"
+    " select sha, list_transform(rules, lambda x: x.rule) as rules, list_transform(rules, lambda x: x.why) as whys, list_transform(rules, lambda x: array_to_string(x.files, ',')) as files,"
+    " list_transform(claims, lambda x: x.rule) as claims, folded_away::bigint as folded_away from o"
+)
 def merge_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each kind of a commit's entries stands for one session's extraction."""
     r = _rules(spark, sf_dir)
     one = F.struct(F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("why", F.lit("")).alias("why"), F.coalesce("files", F.array().cast("array<string>")).alias("files"))
     per = r.groupBy("sha", F.col("kind").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("r")))).alias("l"))
     parts = per.select("sha", "ord", F.transform("l", lambda x: x["r"]).alias("rules"), F.transform("l", lambda x: x["r"]["why"]).alias("claims"))
-    return rules.merged(parts)
+    merged = rules.merged(parts)
+    of = lambda f: F.transform("rules", f)
+    return merged.select("sha", of(lambda x: x["rule"]).alias("rules"), of(lambda x: x["why"]).alias("whys"), of(lambda x: F.array_join(x["files"], ",")).alias("files"), "claims", "folded_away")
 
 
 _TOKENS_SQL = f"list_sort(list_distinct(list_transform(list_filter(string_split_regex(lower(rule), '[^a-z0-9а-яё]+'), lambda w: w <> '' and not list_contains({list(text.STOPWORDS)!r}, w)), lambda w: {S.SINGULAR})))"
@@ -513,11 +588,15 @@ def similar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    S.R + f"select sha, kind, pos, flat as rule from (select sha, kind, pos, regexp_replace(regexp_replace(coalesce(rule, ''), '{S.UNICODE_SPACE}+', ' ', 'g'), '^ | $', '', 'g') as flat, lower(regexp_replace(regexp_replace(coalesce(why, ''), '^\\s+|\\s+$', '', 'g'), '[. ]+$', '')) as reason from r)"
-    f" where flat not in {text.EMPTY_WORDS!r} and flat <> '' and reason not in {rules.NON_REASONS!r} and not ({' or '.join(f'''contains(lower(flat), '{m}')''' for m in rules.SELF_MARKERS)})"
+    S.R
+    + ", v as (select sha, kind, pos, flat, reason, "
+    + f"{S.truncated('flat', rules.RULE_BYTES)} as rule from (select sha, kind, pos, {S.flat("coalesce(rule, '')")} as flat,"
+    " lower(regexp_replace(regexp_replace(coalesce(why, ''), '^\\s+|\\s+$', '', 'g'), '[. ]+$', '')) as reason from r))"
+    f" select sha, kind, pos, rule from v where flat not in {text.EMPTY_WORDS!r} and flat <> '' and reason not in {rules.NON_REASONS!r}"
+    f" and not ({' or '.join(f"contains(lower(rule), '{m}')" for m in rules.SELF_MARKERS)})"
 )
 def valid_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rules(spark, sf_dir).select("sha", "kind", "pos", text.clean_value(F.col("rule"), 1 << 20).alias("rule"), F.coalesce("why", F.lit("")).alias("why"))
+    r = _rules(spark, sf_dir).select("sha", "kind", "pos", text.clean_value(F.col("rule"), rules.RULE_BYTES).alias("rule"), F.coalesce("why", F.lit("")).alias("why"))
     return r.where((F.col("rule") != "") & ~rules.no_reason(F.col("why")) & ~rules.describes_itself(F.col("rule"))).select("sha", "kind", "pos", "rule")
 
 

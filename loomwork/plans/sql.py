@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.functions.text import ARTIFACT_PREFIXES, WRAPPER_TAGS
+from loomwork.functions.text import ARTIFACT_PREFIXES, EMPTY_WORDS, STOPWORDS, WRAPPER_TAGS
 
 
 class Cte:
@@ -22,7 +22,7 @@ ARTIFACT = "(" + " or ".join(f"starts_with(text, '{p}')" for p in ARTIFACT_PREFI
 _READING = "coalesce(regexp_matches(lower(t.name), 'read|view|grep|search|glob|find|list|ls|fetch|lookup|todo|think|plan|diagnostic'), false)"
 #: Every white space of Unicode, as RE2 has ASCII's only.
 UNICODE_SPACE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-RFC3339 = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})"
+RFC3339 = r"\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})"
 SINGULAR = "case when ends_with(w, 'ies') and len(w) > 4 then left(w, len(w) - 3) || 'y' when ends_with(w, 'es') and not ends_with(w, 'ses') and len(w) > 3 then left(w, len(w) - 2) when ends_with(w, 's') and not ends_with(w, 'ss') and len(w) > 3 then left(w, len(w) - 1) else w end"
 
 #: Messages without repeated rows.
@@ -93,3 +93,83 @@ def strip_wrappers(x: str) -> str:
 
 def first_group(x: str) -> str:
     return rf"regexp_extract({x}, '(?s)<user_query>(.*?)(</user_query>|\z)', 1)"
+
+
+def whole_bytes(x: str, size: int) -> str:
+    """How many bytes the longest prefix of whole characters within size bytes has, of a text that is longer: a byte that begins with 8 to B continues a character."""
+    code = f"hex(encode({x}))"
+    inside = lambda k: f"substr({code}, {2 * k + 1}, 1) in ('8', '9', 'A', 'B')"
+    return f"case when not {inside(size)} then {size} when not {inside(size - 1)} then {size - 1} when not {inside(size - 2)} then {size - 2} else {size - 3} end"
+
+
+def truncated(x: str, size: int) -> str:
+    cut = f"decode(unhex(left(hex(encode({x})), 2 * ({whole_bytes(x, size)}))))"
+    return f"case when octet_length(encode({x})) <= {size} then {x} else {cut} || '…' end"
+
+
+def flat(x: str) -> str:
+    """Single-spaced, without blanks at the ends."""
+    return f"trim(regexp_replace({x}, '{UNICODE_SPACE}+', ' ', 'g'), ' ')"
+
+
+def cleaned_value(x: str, size: int) -> str:
+    """Single-spaced and cut; '' for words that stand for no value."""
+    value = flat(f"coalesce({x}, '')")
+    return f"case when {value} in {EMPTY_WORDS!r} then '' else {truncated(value, size)} end"
+
+
+def words(x: str) -> str:
+    """The distinct words of a rule in singular, sorted, without stopwords."""
+    plain = f"list_filter(string_split_regex(lower({x}), '[^a-z0-9а-яё]+'), lambda w: w <> '' and not list_contains({list(STOPWORDS)!r}, w))"
+    return f"list_sort(list_distinct(list_transform({plain}, lambda w: {SINGULAR})))"
+
+
+def prepared(rule: str, why: str, files: str) -> str:
+    """A rule as a struct with its words, numbers and plain text, to be folded."""
+    numbers = f"list_filter({words(rule)}, lambda w: regexp_full_match(w, '[0-9]+'))"
+    return f"{{'rule': {rule}, 'why': {why}, 'files': {files}, 't': {words(rule)}, 'nums': {numbers}, 'plain': lower({trimmed(rule)})}}"
+
+
+def _alike(a: str, b: str, over: str) -> str:
+    return f"({a}.plain <> '' and {b}.plain <> '' and {a}.nums = {b}.nums and case when len({a}.t) < 3 or len({b}.t) < 3 then {a}.plain = {b}.plain else {over} end)"
+
+
+def _shared(a: str, b: str) -> str:
+    return f"(len(list_intersect({a}.t, {b}.t)) / greatest(1, len(list_distinct(list_concat({a}.t, {b}.t)))))"
+
+
+def same(a: str, b: str, threshold: float) -> str:
+    return _alike(a, b, f"{_shared(a, b)} >= {threshold}")
+
+
+def folded(items: str) -> str:
+    """An ordered list of prepared rules, near-duplicates folded into the first that is alike."""
+    heavy = "len(list_filter(list_intersect(k.t, r.t), lambda w: octet_length(encode(w)) >= 6 or regexp_matches(w, '[0-9]'))) > 0"
+    alike = _alike("k", "r", f"({_shared('k', 'r')} >= 0.55 or ({_shared('k', 'r')} >= 0.32 and {heavy}))")
+    place = f"coalesce(list_position(list_transform(acc, lambda k: {alike}), true), 0)"
+    longer = "octet_length(encode(r.why)) > octet_length(encode(k.why))"
+    pick = ", ".join(f"'{c}': case when {longer} then r.{c} else k.{c} end" for c in ("rule", "why"))
+    rest = ", ".join(f"'{c}': case when {longer} then r.{c} else k.{c} end" for c in ("t", "nums", "plain"))
+    both = "list_concat(k.files, r.files)"
+    union = f"list_filter({both}, lambda x, j: x <> '' and list_position({both}, x) = j)[1:3]"
+    merged = f"{{{pick}, 'files': {union}, {rest}}}"
+    step = f"case when {place} = 0 then list_append(acc, r) else list_transform(acc, lambda k, i: case when i = {place} then {merged} else k end) end"
+    return f"list_reduce({items}, lambda acc, r: {step}, list_filter({items}, lambda x: false))"
+
+
+def folded_texts(items: str, threshold: float = 0.55) -> str:
+    """An ordered list of prepared texts without near-duplicates; the first of alike ones stays."""
+    step = f"case when len(list_filter(acc, lambda k: {same('k', 'r', threshold)})) > 0 then acc else list_append(acc, r) end"
+    return f"list_reduce({items}, lambda acc, r: {step}, list_filter({items}, lambda x: false))"
+
+
+def matched(named: str, staged: str) -> str:
+    """The staged path that a named one means; '' if none or several."""
+    n = f"regexp_replace({trimmed(named)}, '^(\\./)+', '')"
+    strong = f"(p = {n} or ends_with(p, '/' || {n}) or ends_with({n}, '/' || p))"
+    first = f"coalesce(list_position(list_transform({staged}, lambda p: {strong}), true), 0)"
+    weak = f"list_filter(range(1, len({staged}) + 1), lambda i: list_contains([i], i) and not list_transform({staged}, lambda p: {strong})[i] and split_part({staged}[i], '/', -1) = split_part({n}, '/', -1))"
+    return (
+        f"case when {n} = '' then '' when {first} > 0 and coalesce({first} < {weak}[2], true) then {staged}[{first}]"
+        f" when len({weak}) > 1 then '' when len({weak}) = 1 then {staged}[{weak}[1]] else '' end"
+    )

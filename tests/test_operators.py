@@ -379,7 +379,7 @@ def test_cap_ladder_over_all_texts(spark, sf):
         sizes = {c: sum(len(cut(t, c).encode()) + 3 for t in ts) for c in sequence.ladder()}
         cap = max((c for c in sizes if sizes[c] <= 1500), default=240)
         want.add((key, cap, sizes[cap], sum(len(t.encode()) > cap for t in ts)))
-    assert {tuple(r) for r in catalog.queries()["cap_ladder_whole"](spark, sf).collect()} == want
+    assert {tuple(r) for r in catalog.queries()["cap_ladder"](spark, sf).collect()} == want
 
 
 def tool_lines_in_python(tools):
@@ -397,7 +397,7 @@ def tool_lines_in_python(tools):
 def test_tool_lines_of_all_messages(spark, sf, tmp_path):
     def same(folder):
         want = {(k, n, *tool_lines_in_python(r.tools)) for (k, n), r in first_messages(spark, folder, "tools").items() if r.tools is not None}
-        assert {tuple(r) for r in catalog.queries()["tool_lines_whole"](spark, folder).collect()} == want
+        assert {tuple(r) for r in catalog.queries()["tool_lines"](spark, folder).collect()} == want
         return want
 
     same(sf)
