@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.times import instant
 from loomwork.sources.stage import staged
 
 #: Lines of a block within which times are carried forward.
@@ -58,16 +59,6 @@ def kahn(nodes: Iterable[tuple], edges: Iterable[tuple]) -> tuple[list, list]:
     return order, [n for n in rank if n not in done]
 
 
-def instant(ts: Column) -> Column:
-    """The instant of a valid RFC 3339 stamp (T and zone required), else null."""
-    shape = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)$"
-    plain = F.upper(F.regexp_replace(ts, r"(\.\d{6})\d+", "$1"))
-    # a leap second is the second before it, and then one more
-    leap = plain.rlike(r"^[^T]+T\d{2}:\d{2}:60")
-    at = F.try_to_timestamp(F.when(leap, F.regexp_replace(plain, r"^([^T]+T\d{2}:\d{2}):60", "$1:59")).otherwise(plain))
-    return F.when(ts.rlike(shape), F.when(leap, at + F.expr("interval 1 second")).otherwise(at))
-
-
 def _opened(text: Column) -> Column:
     """The JSON text of an object, or of the object that a JSON string holds."""
     return F.when(F.ltrim(text).startswith('"'), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
