@@ -1,4 +1,5 @@
-"""The queries of this subpackage. SQL gives the results of two of them; tests hold the others against brute force instead."""
+"""The queries of this subpackage. SQL gives the results of problems 1 and 5 and the laws that the results of the others obey;
+tests hold those against brute force, round trips or held-out data."""
 
 from __future__ import annotations
 
@@ -83,8 +84,66 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
 
 
+def p3_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table: rows, rows whose text came or went, and rows whose null or blank text changed."""
+    before = table(spark, sf_dir, "log_entries").select(F.lit("log_entries").alias("row_table"), F.col("entry_id").alias("row_id"), F.col("message").alias("old"))
+    says = table(spark, sf_dir, "messages").select(F.lit("messages").alias("row_table"), F.col("message_id").alias("row_id"), F.col("text").alias("old"))
+    both = before.unionByName(says).join(p3_masked(spark, sf_dir), ["row_table", "row_id"], "full")
+    empty_changed = (F.coalesce(F.trim("old"), F.lit("")) == "") & ~F.col("old").eqNullSafe(F.col("text"))
+    return both.groupBy("row_table").agg(F.count("*").alias("rows"), F.count_if(F.col("old").isNull() != F.col("text").isNull()).alias("lost"), F.count_if(empty_changed).alias("empty_changed"))
+
+
+def p4_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table: rows that redaction keeps, and credentials that are still found behind it."""
+    log, says = credentials.redacted_log(table(spark, sf_dir, "log_entries")), credentials.redacted_messages(table(spark, sf_dir, "messages"))
+    rows = log.agg(F.count("entry_id").alias("rows")).withColumn("row_table", F.lit("log_entries")).unionByName(says.agg(F.count("message_id").alias("rows")).withColumn("row_table", F.lit("messages")))
+    left = credentials.credentials(log, says).groupBy(F.when(F.col("place") == "summary", "messages").otherwise("log_entries").alias("row_table")).agg(F.count("*").alias("n"))
+    return rows.join(left, "row_table", "left").select("row_table", "rows", F.coalesce("n", F.lit(0)).alias("still_there"))
+
+
+def p6_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per limit: documents, documents whose pieces don't add up to them, cut documents that fit, and containers over a capacity."""
+    sizes = packing.sizes_of(table(spark, sf_dir, "documents"))
+    filled = staged(packing.packed(sizes, table(spark, sf_dir, "pack_limits")))
+    per = filled.groupBy("limit_id", "capacity_tokens", "doc_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces")).join(sizes, "doc_id", "full")
+    cost = F.sum(F.col("tokens").cast("double") * F.col("tokens"))
+    box = filled.where("container is not null").groupBy("limit_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), cost.alias("cost"))
+    square = F.col("capacity_tokens").cast("double") * F.col("capacity_tokens")
+    over = (F.col("used") > F.col("capacity_tokens")) | (F.col("n") > packing.MAX_DOCUMENTS) | (F.col("n") > 1) & (F.col("cost") > packing.ATTENTION_SHARE * square * (1 + 1e-9))
+    boxes = box.groupBy("limit_id").agg(F.count_if(over).alias("over"))
+    documents = per.groupBy("limit_id").agg(
+        F.count("*").alias("documents"), F.count_if(~F.col("held").eqNullSafe(F.col("tokens"))).alias("torn"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("cut_needlessly")
+    )
+    return documents.join(boxes, "limit_id")
+
+
+def p7_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: its cap of repeats, documents repeated beyond it, documents of another source, and epochs that began before
+    the one before was complete."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    sized = staged(tokens.sized(documents, "source"))
+    mix = staged(mixing.mixed(sized, targets))
+    every = sized.where("tokens > 0").select("doc_id", "source").join(mix.select("doc_id", F.col("source").alias("mixed"), "copies"), "doc_id", "left")
+    per = every.groupBy("source").agg(
+        F.max("copies").alias("most"), F.min(F.coalesce("copies", F.lit(0))).alias("least"), F.count_if(F.col("mixed").isNotNull() & (F.col("mixed") != F.col("source"))).alias("strange")
+    )
+    named = targets.where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("max_repeats")).join(per, "source", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return named.select(
+        "source", F.col("max_repeats"), none(F.greatest(F.col("most") - F.col("max_repeats"), F.lit(0))).alias("beyond"), none(F.col("strange")).alias("strange"), none((F.col("most") - F.col("least") > 1).cast("long")).alias("incomplete")
+    )
+
+
+def p8_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with text: its paragraphs, and those that have a language though they hold no letter."""
+    per = language.paragraph_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
+    return per.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.max("para_no").alias("last"), F.count_if((F.col("letters") == 0) & F.col("lang").isNotNull()).alias("groundless"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sessions, p3_found, p3_masked, p4_found, p4_redacted, p5_found, p5_groups, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_documents)}
+    found = (p1_found, p1_sessions, p3_found, p3_masked, p3_laws, p4_found, p4_redacted, p4_laws, p5_found, p5_groups)
+    made = (p6_containers, p6_fill, p6_laws, p7_mix, p7_shares, p7_laws, p8_found, p8_documents, p8_laws)
+    return {f.__name__: f for f in found + made}
 
 
 _P1_TABLES = r"""
@@ -142,5 +201,45 @@ select rule_a, rule_b from b where shared >= 0.7 * (na + nb - shared) - 1e-9
 """
 
 
+_P5_GROUPS = (
+    "with recursive pairs as ("
+    + _P5
+    + r"""), w as (
+    select rule_id, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(rule, '') || ' ' || coalesce(why, '')), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) as s from rule_entries
+), c as (
+    select rule_id as record, min(rule_id) over (partition by s) as class_id, count(*) over (partition by s) as copies from w where len(s) > 0
+), e as (
+    select distinct x.class_id as a, y.class_id as b from pairs join c x on x.record = rule_a join c y on y.record = rule_b where x.class_id <> y.class_id
+), ab as (
+    select a, b from e union select b, a from e
+), near(node, other) as (
+    select class_id, class_id from c union select near.node, ab.b from near join ab on ab.a = near.other
+), root as (
+    select node, min(other) as root from near group by node
+), degree as (
+    select a, count(*) as links from ab group by a
+)
+select record, root as group_id, class_id, copies, coalesce(links, 0) as links from c join root on node = class_id left join degree on a = class_id
+"""
+)
+
+_LAWS = {
+    "p3_laws": "select 'log_entries' as row_table, count(*) as rows, 0::bigint as lost, 0::bigint as empty_changed from log_entries union all select 'messages', count(*), 0, 0 from messages",
+    "p4_laws": "select 'log_entries' as row_table, count(*) as rows, 0::bigint as still_there from log_entries union all select 'messages', count(*), 0 from messages",
+    "p6_laws": "select limit_id, (select count(*) from documents) as documents, 0::bigint as torn, 0::bigint as cut_needlessly, 0::bigint as over from (select distinct limit_id from pack_limits where capacity_tokens > 0)",
+    "p7_laws": "select source, max(max_repeats) as max_repeats, 0::bigint as beyond, 0::bigint as strange, 0::bigint as incomplete from mix_targets where source is not null group by source",
+    "p8_laws": r"""
+with t as (
+    select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as x from documents
+), s as (
+    select doc_id, regexp_replace(regexp_replace(x, '^([^\S\n]*\n)+', ''), '(\n[^\S\n]*)+\z', '') as x from t where regexp_matches(x, '\S')
+), n as (
+    select doc_id, len(string_split_regex(x, '\n(?:[^\S\n]*\n)+')) as paragraphs from s
+)
+select doc_id, paragraphs, paragraphs - 1 as last, 0::bigint as groundless from n
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_sessions": _P1_SESSIONS, "p5_found": _P5}
+    return {"p1_found": _P1, "p1_sessions": _P1_SESSIONS, "p5_found": _P5, "p5_groups": _P5_GROUPS} | _LAWS
