@@ -105,15 +105,15 @@ def _prefix_bytes(text: Column, size: int) -> Column:
     return out
 
 
-def best_cap(df: DataFrame, group: str, text: str, budget: int, rungs: list[int] | None = None, overhead: int = 3) -> DataFrame:
-    """group, cap, bytes, cut: the largest cap of the ladder at which the group's texts fit SHARE of the budget, else the floor."""
+def best_cap(df: DataFrame, group: str, text: str, budget: int, rungs: list[int] | None = None, overhead: int = 3, allow: int | None = None) -> DataFrame:
+    """group, cap, bytes, cut: the largest cap of the ladder at which the group's texts fit allow bytes (SHARE of the budget if not given), else the floor."""
     rungs = rungs or ladder()
     # how long a text is when cut: the longest prefix of whole characters and the ellipsis of 3 bytes
     size = lambda c: F.when(F.octet_length(text) <= c, F.octet_length(text)).otherwise(_prefix_bytes(F.col(text), c) + 3)
     sums = [F.sum(size(c) + overhead).alias(f"_b{c}") for c in rungs]
     cuts = [F.count_if(F.octet_length(text) > c).alias(f"_c{c}") for c in rungs]
     per = df.groupBy(group).agg(*sums, *cuts)
-    allow = int(budget * SHARE)
+    allow = int(budget * SHARE) if allow is None else allow
     pick = F.lit(rungs[-1])
     for c in reversed(rungs[:-1]):
         pick = F.when(F.col(f"_b{c}") <= allow, c).otherwise(pick)

@@ -173,6 +173,56 @@ def test_repeats_collapse_in_bodies(spark):
     assert compact.bodies(spark.createDataFrame(rows, MESSAGES), s).first().body == "=== session id (agent-b) ===\n  · Read a.py ×4"
 
 
+def compacted(spark, rows, members, budget):
+    s = spark.createDataFrame([(k, f"{k}-id", "agent-a", None) for k in sorted({r[0] for r in rows})], "session_key string, session_id string, agent string, model string")
+    m = spark.createDataFrame([(*r, None) for r in rows], MESSAGES)
+    return compact.payload_sets(m, s, spark.createDataFrame([("c", k, i) for i, k in enumerate(members)], "set_id string, session_key string, place int"), budget).first()
+
+
+def said(key, seq, text):
+    return (key, seq, "assistant", text, None, False, None)
+
+
+def test_a_set_of_sessions_shares_a_budget(spark):
+    """Reasoning: every session keeps its share, oldest first, and what it leaves rolls on; requests are said once."""
+    rows = [("s1", 0, "user", "do it", None, False, None), ("s2", 0, "user", "do it", None, False, None), ("s2", 1, "user", "and that", None, False, None)]
+    rows += [said("s1", 10, "short")] + [said("s2", 10 + i, f"s2 step {i} " + "y" * 80) for i in range(30)] + [said("s3", 10 + i, f"s3 step {i} " + "z" * 80) for i in range(30)]
+    got = compacted(spark, rows, ["s1", "s2", "s3"], 1500)
+    assert got.requests == "--- session s1-id (agent-a) ---\ndo it\n--- session s2-id (agent-a) ---\nand that"
+    kept = {k: got.body.count(f"{k} step") for k in ("s2", "s3")}
+    room = 1500 - len(got.requests) - 1 - compact.RESERVE
+    line = len("[agent] s2 step 29 " + "y" * 80) + 1
+    first = len("[agent] short") + 1
+    second = (room - first) // 2 // line
+    assert kept == {"s2": second, "s3": (room - first - second * line) // line} and "[agent] short" in got.body
+    assert [x.split()[2] for x in got.body.split("\n") if x.startswith("===")] == ["s1-id", "s2-id", "s3-id"]
+
+
+def test_routine_calls_fill_from_the_newest_session(spark):
+    call = lambda i: [("Run", [], f"make {i:03d}", None)]
+    rows = [(k, i, "assistant", "", None, False, call(i)) for k in ("s1", "s2") for i in range(20)]
+    body = compacted(spark, rows, ["s1", "s2"], 48 + 25 * 18).body
+    lines = [x for x in body.split("\n") if x.startswith("  · ")]
+    assert len(lines) == (25 * 18) // (len(lines[0].encode()) + 1) and body.split("\n")[-1] == f"[… {40 - len(lines)} routine tool calls not shown; see the staged diff …]"
+    assert body.index("s1-id") < body.index("s2-id") and sum("make 0" in x for x in lines) == len(lines) and body.count("  · Run: make 019") == 2
+
+
+def test_requests_alone_can_exceed_the_budget(spark):
+    rows = [("s1", i, "user", f"{i} " + "w" * 900, None, False, None) for i in range(12)] + [said("s1", 50, "x")]
+    got = compacted(spark, rows, ["s1"], 1000)
+    assert got.body == "" and len(got.requests.split("\n")) == 13 and all(len(x.encode()) <= 243 for x in got.requests.split("\n"))
+    assert [n.split(" ")[0] for n in got.notes] == ["all", "the", "the"] and "12 requests were sent; 12 of them were cut to 240 bytes" in got.notes[0]
+
+
+def test_headers_count_when_requests_are_cut(spark):
+    head = len("--- session s1-id (agent-a) ---") + 1
+    rows = [("s1", i, "user", f"{i}" * 400, None, False, None) for i in range(3)]
+    at = lambda allow: compacted(spark, rows, ["s1"], allow).requests.split("\n")[1]
+    need = head + 3 * 401 - 1
+    budget = next(b for b in range(need, 3 * need) if (b - 1) - int((b - 1) * 0.25) >= need)
+    assert at(budget) == "0" * 400 and at(budget - 2).endswith("…")
+
+
 def test_relevant_falls_back(spark):
     cand = spark.createDataFrame([("c1", "s1"), ("c1", "s2"), ("c2", "s1"), ("c2", "s2"), ("c3", "s1")], "sha string, session_key string")
     written = spark.createDataFrame([("s1", "/r/a.py")], "session_key string, file string")
