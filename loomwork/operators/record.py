@@ -60,6 +60,42 @@ def rendered(rules: DataFrame, name: str = SESSION_RECORD) -> DataFrame:
     return per.mapInArrow(batches, "sha string, block string")
 
 
+def _shown(head: str, entries: list[dict], disputed: list[str], foot: str | None) -> str:
+    lines = [head]
+    for e in entries:
+        lines.append(wrap(f"{e['kind']}: {e['rule']}", "  ", "  "))
+        if e["why"]:
+            lines.append(wrap(f"why: {e['why']}", "      ", "      "))
+        if e["files"]:
+            lines.append("      file: " + ", ".join(e["files"]))
+    lines += [wrap(f"⚠ the diff contradicts: {d}", "  ", "  ") for d in disputed]
+    return "\n".join([*lines, f"  [{foot}]"] if foot else lines)
+
+
+def printed(commits: DataFrame, records_: DataFrame, entries: DataFrame) -> DataFrame:
+    """sha, text of each commit as a person reads it: its short id and subject, its entries with reasons and files, rejections first,
+    what the diff contradicts, and who made it with which confidence. A commit without a record says so.
+
+    commits(sha, short, subject), records_(sha, agent, confidence, disputed), entries(sha, kind, pos, rule, why, files)."""
+    entry = F.struct(
+        F.when(F.col("kind") == "reject", 0).otherwise(1).alias("k"), F.col("pos").alias("pos"), "kind", F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("why", F.lit("")).alias("why"),
+        F.coalesce("files", F.array().cast("array<string>")).alias("files"),
+    )
+    per = entries.groupBy("sha").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    foot = F.concat_ws(", ", nonempty(F.col("agent")), nonempty(F.col("confidence"))).alias("foot")
+    head = F.concat_ws("  ", "short", "subject").alias("head")
+    one = commits.select("sha", "short", "subject").groupBy("sha").agg(F.min(F.struct("short", "subject")).alias("c")).select("sha", "c.*")
+    whole = one.join(per, "sha", "left").join(records_.select("sha", foot, "disputed", F.lit(True).alias("has")), "sha", "left").select("sha", head, "e", "disputed", "foot", "has")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
+            texts = [_shown(h, e or [], d or [], f) if has else f"{h}\n\nNo record on this commit." for h, e, d, f, has in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["sha", "text"])
+
+    return whole.mapInArrow(batches, "sha string, text string")
+
+
 def trailers_of(pairs: list[tuple[str, Column]], prefix: str = PREFIX) -> Column:
     """Trailer lines in order, one for each non-empty item of each (key, array of values)."""
 

@@ -442,6 +442,19 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("sha", text.message_text(F.col("subject"), F.col("body")).alias("message"), text.first_line(F.col("body")).alias("first"), F.size(text.split_list(F.coalesce("body", F.lit("")))).cast("long").alias("items"), text.has_key(F.coalesce("subject", F.lit("")), "why").alias("keyed"))
 
 
+@query(
+    "with p as (select distinct sha, subject, body from commits), m as (select sha, case when coalesce(body, '') = '' then subject else concat_ws(chr(10) || chr(10), subject, body) end as m from p),"
+    " l as (select sha, m, string_split(m, chr(10)) as l from m where m is not null), k as (select *, coalesce(nullif(list_position(list_transform(list_reverse(l), lambda x: x <> '' and not starts_with(x, '#')), true), 0), len(l) + 1) - 1 as k from l),"
+    " t as (select *, array_to_string(l[len(l) - k + 1:], chr(10)) as tail, len(list_filter(l[len(l) - k + 1:], lambda x: starts_with(x, '#'))) > 0 as has from k),"
+    " d as (select *, regexp_replace(regexp_replace(m, '(?m)^#.*(\\n|\\z)', '', 'g'), '(?m)[ \\t\\r]+$', '', 'g') as plain from t)"
+    " select sha, sha256(regexp_replace(regexp_replace(plain, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) as digest, case when has then left(m, len(m) - len(tail)) else m end as body, case when has then tail else '' end as tail from d"
+)
+def commit_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each message that comments and blank space don't change, and the message without its trailing comments."""
+    c = _commits(spark, sf_dir, "subject", "body").select("sha", text.message_text(F.col("subject"), F.col("body")).alias("m")).where("m is not null").distinct()
+    return c.select("sha", text.message_digest(F.col("m")).alias("digest"), text.split_comment(F.col("m"))["body"].alias("body"), text.split_comment(F.col("m"))["tail"].alias("tail"))
+
+
 @query(f"select rule_id, list_sort(list_distinct(list_transform(list_filter(string_split_regex(lower(coalesce(rule, '')), '[^a-z0-9а-яё]+'), lambda w: w <> '' and not list_contains({list(text.STOPWORDS)!r}, w)), lambda w: {S.SINGULAR}))) as tokens from rule_entries")
 def rule_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "rule_entries").select("rule_id", text.tokens(F.coalesce("rule", F.lit(""))).alias("tokens"))
@@ -480,6 +493,31 @@ def tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("entry_id", F.col("part").cast("long").alias("part"), payload.text_at(F.col("p"), "$.name").alias("tool"), payload.files_of(F.col("input")).alias("files"), payload.summary_of(F.col("input")).alias("summary"))
 
 
+_CALLS_SQL = (
+    ", p as (select entry_id, i::bigint as part, json_extract(v, '$.content[' || i || ']') as p from v, unnest(range(0, coalesce(json_array_length(v, '$.content'), 0)::bigint)) as u(i)"
+    " where json_type(v) = 'OBJECT' and json_type(v, '$.content') = 'ARRAY'), q as (select entry_id, part, case when json_type(p, '$.input') = 'VARCHAR'"
+    " then case when json_valid(json_extract_string(p, '$.input')) then json_extract_string(p, '$.input')::json end else json_extract(p, '$.input') end as input from p where json_extract_string(p, '$.type') = 'tool_use')"
+)
+
+
+@query(
+    S.LOG
+    + _CALLS_SQL
+    + f", e as (select q.entry_id, q.part, nullif(l.session_id, '') as session, nullif(l.cwd, '') as cwd, coalesce({', '.join(f"nullif(json_extract_string(input, '$.{k}'), '')" for k in payload.EVENT_PATH_KEYS)}) as path from q join log_entries l using (entry_id))"
+    " select entry_id, part, session, path, coalesce(cwd, case when starts_with(path, '/') then nullif(regexp_replace(path, '/[^/]*$', ''), '') end, '/srv') as dir from e"
+)
+def touch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tool call of the log as the event that a harness sends: which session touched which file, and where."""
+    log = table(spark, sf_dir, "log_entries").where("message like '%tool_use%'").select("entry_id", "session_id", "cwd", payload.opened(F.col("message")).alias("v"))
+    parts = log.select("entry_id", "session_id", "cwd", F.posexplode(F.try_variant_get("v", "$.content", "array<variant>")).alias("part", "p")).where(payload.text_at(F.col("p"), "$.type") == "tool_use")
+    held = payload.text_at(F.col("p"), "$.input")
+    given = F.when(held.isNotNull(), F.try_parse_json(held)).otherwise(F.try_variant_get("p", "$.input", "variant"))
+    around = F.to_json(F.struct("session_id", "cwd"))
+    event = F.try_parse_json(F.concat(F.lit('{"tool_input":'), F.coalesce(F.to_json(given), F.lit("null")), F.when(around == "{}", "").otherwise(F.lit(",")), F.substring(around, 2, 1 << 30)))
+    calls = parts.select("entry_id", F.col("part").cast("long").alias("part"), event.alias("e"))
+    return calls.select("entry_id", "part", payload.event_session(F.col("e")).alias("session"), payload.event_path(F.col("e")).alias("path"), payload.event_dir(F.col("e"), F.lit("/srv")).alias("dir"))
+
+
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, json_object('user', user_id, 'kind', event_type)::varchar as emitted from events")
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -661,6 +699,14 @@ def served_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.served_json(served_context(spark, sf_dir))
 
 
+@query()
+def printed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each commit with its record as a person reads it."""
+    c = _commits(spark, sf_dir, "body", "note")
+    entries = record.parsed(c)
+    return record.printed(_commits(spark, sf_dir, "short", "subject"), record.records(c, entries, record.trailers(c)), entries)
+
+
 # --- delivery ----------------------------------------------------------------------------------
 
 

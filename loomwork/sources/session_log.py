@@ -5,11 +5,13 @@
     spark.readStream.format("session_log").option("root", folder).load()
 
 Layouts: a is <root>/<slug of cwd>/<session>.jsonl, b is <root>/<project>/agent-transcripts/<id>/<id>.jsonl. Options: since
-(seconds; files that changed earlier are passed over), offsets (JSON of path to byte, batch only).
+(seconds; files that changed earlier are passed over), offsets (JSON of path to byte, batch only), head (lines of each file that are
+read at most, from its start; batch only).
 
 Rules: a line counts once its line end is there, so the unfinished tail waits for the next batch; a file shorter than its
 offset was replaced and is read from its start; unreadable lines come with readable = false and the offset moves on. Lines
-have start and size in bytes, so a reader's offset is the largest start + size."""
+have start and size in bytes, so a reader's offset is the largest start + size; upto is the offset behind the file's last whole
+line. A file that can't be read is one row with line_no -1 and the error as its line; the others are read all the same."""
 
 from __future__ import annotations
 
@@ -24,18 +26,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from loomwork.functions import payload
 from loomwork.functions.text import nonempty, truncate, unwrap_query
+from loomwork.operators.sessions import sessions_with_signal
+from loomwork.sources.stage import staged
 
 LAYOUTS = {"a": "*/*.jsonl", "b": "*/agent-transcripts/*/*.jsonl"}
 #: Lines that a file's head is judged by, and the longest line that counts there.
 HEAD_LINES, HEAD_BYTES = 200, 8 << 20
-SCHEMA = "path string, session_id string, project string, mtime double, line_no long, start long, size long, readable boolean, line string"
+SCHEMA = "path string, session_id string, project string, mtime double, line_no long, start long, size long, readable boolean, line string, upto long"
 #: Bytes of one read; a line may be longer.
 CHUNK = 1 << 20
 
 
 class Piece(InputPartition):
-    def __init__(self, path: str, start: int, end: int, layout: str, numbered: bool):
-        self.path, self.start, self.end, self.layout, self.numbered = path, start, end, layout, numbered
+    def __init__(self, path: str, start: int, end: int, layout: str, numbered: bool, head: int | None = None):
+        self.path, self.start, self.end, self.layout, self.numbered, self.head = path, start, end, layout, numbered, head
 
 
 def discovered(root: str, layout: str = "a", since: float = 0.0) -> list[str]:
@@ -72,6 +76,13 @@ def _lines(piece: Piece | None) -> Iterator[tuple]:
     name = os.path.basename(piece.path).removesuffix(".jsonl")
     steps = piece.path.split(os.sep)
     project = steps[-2] if piece.layout == "a" else steps[-4]
+    try:
+        yield from _read(piece, name, project)
+    except OSError as e:
+        yield piece.path, name, project, None, -1, piece.start, 0, False, f"{type(e).__name__}: {e.strerror or e}", None
+
+
+def _read(piece: Piece, name: str, project: str) -> Iterator[tuple]:
     mtime = os.path.getmtime(piece.path)
     with open(piece.path, "rb") as f:
         number = 0
@@ -83,7 +94,7 @@ def _lines(piece: Piece | None) -> Iterator[tuple]:
                 left -= len(block)
         f.seek(piece.start)
         at = piece.start
-        while at < piece.end:
+        while at < piece.end and (piece.head is None or number < piece.head):
             raw = f.readline()
             if not raw.endswith(b"\n"):
                 return
@@ -93,7 +104,7 @@ def _lines(piece: Piece | None) -> Iterator[tuple]:
             except (ValueError, RecursionError):
                 line, readable = raw.decode(errors="replace"), False
             if line.strip():
-                yield piece.path, name, project, mtime, number, at, len(raw), readable, line.rstrip("\r\n")
+                yield piece.path, name, project, mtime, number, at, len(raw), readable, line.rstrip("\r\n"), piece.end
             at += len(raw)
             number += 1
 
@@ -102,15 +113,19 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.layout, self.since = options["root"], options.get("layout", "a"), float(options.get("since", 0))
         self.offsets = json.loads(options.get("offsets", "{}"))
+        self.head = int(options["head"]) if "head" in options else None
 
     def partitions(self) -> list[Piece]:
         out = []
         for path in discovered(self.root, self.layout, self.since):
             start = self.offsets.get(path, 0)
-            start = 0 if start > os.path.getsize(path) else start
-            end = finished(path, start)
+            try:
+                start = 0 if start > os.path.getsize(path) else start
+                end = finished(path, start)
+            except OSError:
+                end = start + 1  # the task says what is wrong with it
             if end > start:
-                out.append(Piece(path, start, end, self.layout, True))
+                out.append(Piece(path, start, end, self.layout, True, self.head))
         return out
 
     def read(self, partition: Piece) -> Iterator[tuple]:
@@ -210,7 +225,8 @@ def sessions_of(lines: DataFrame, repo: str, agent: str) -> DataFrame:
     """session_key, agent, session_id, cwd, title, updated, cursor_bytes of the logs that belong to a repository: by the first directory in
     the file's head, or by the project's name where the head has none."""
     v = F.try_parse_json(F.when(F.col("size") <= HEAD_BYTES, F.col("line")))
-    head = lines.select("path", "session_id", "project", "mtime", "line_no", (F.col("start") + F.col("size")).alias("end"), F.when(F.col("line_no") < HEAD_LINES, v).alias("v"))
+    found = lines.where("line_no >= 0")
+    head = found.select("path", "session_id", "project", "mtime", "line_no", F.col("upto").alias("end"), F.when(F.col("line_no") < HEAD_LINES, v).alias("v"))
     cwd, title = nonempty(payload.text_at(F.col("v"), "$.cwd")), nonempty(payload.text_at(F.col("v"), "$.aiTitle"))
     per = head.groupBy("path", "session_id", "project").agg(F.max("mtime").alias("updated"), F.max("end").alias("cursor_bytes"), F.min_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("cwd"), F.min_by(title, F.when(title.isNotNull(), F.col("line_no"))).alias("title"))
     slug = "".join(c if c.isascii() and c.isalnum() else "-" for c in repo)
@@ -225,10 +241,38 @@ def all_sessions(spark: SparkSession, repo: str, readers: list[tuple[str, str, s
     for agent, layout, root in readers:
         try:
             discovered(root, layout)
-            part = sessions_of(spark.read.format("session_log").option("root", root).option("layout", layout).load(), repo, agent)
+            heads = spark.read.format("session_log").option("root", root).option("layout", layout).option("head", HEAD_LINES).load()
+            part = sessions_of(heads, repo, agent)
             found = part if found is None else found.unionByName(part)
         except (KeyError, OSError) as e:
             failed.append(f"{agent}: {type(e).__name__} {e}")
     if found is None:
         found = spark.createDataFrame([], "session_key string, agent string, session_id string, cwd string, title string, updated_ts timestamp, cursor_bytes long")
     return found, failed
+
+
+_ERRORS = "agent string, path string, error string"
+
+
+def load_new(spark: SparkSession, repo: str, readers: list[tuple[str, str, str]], offsets: dict[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, messages, errors): what is new in a repository's logs behind the stored offsets. readers: (agent, layout, root).
+
+    Sessions whose new lines hold nothing that a distiller could use are left out; a session or reader that can't be read is a row
+    of errors and stops no other. Sessions have updated_ts, by which their readers go oldest first, and cursor_bytes, the next offset."""
+    known, names = all_sessions(spark, repo, readers)
+    failed = [(agent, None, error) for agent, _, error in (n.partition(": ") for n in names)]
+    agents = {f[0] for f in failed}
+    messages, errors = None, spark.createDataFrame(failed, _ERRORS)
+    shape = {"a": messages_a, "b": messages_b}
+    for agent, layout, root in readers:
+        if agent in agents:
+            continue
+        lines = spark.read.format("session_log").option("root", root).option("layout", layout).option("offsets", json.dumps(offsets)).load()
+        new = shape[layout](lines).select("session_key", "seq", "ts", "role", "text", "thinking", "meta", "tools")
+        messages = new if messages is None else messages.unionByName(new)
+        errors = errors.unionByName(lines.where("line_no < 0").select(F.lit(agent).alias("agent"), "path", F.col("line").alias("error")))
+    if messages is None:
+        messages = spark.createDataFrame([], "session_key string, seq long, ts timestamp, role string, text string, thinking string, meta boolean, tools array<struct<name:string,files:array<string>,summary:string,error:string>>")
+    messages = staged(messages)
+    useful = known.join(sessions_with_signal(messages).select("session_key"), "session_key", "left_semi")
+    return useful, messages.join(useful.select("session_key"), "session_key", "left_semi"), errors

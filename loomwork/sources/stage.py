@@ -26,3 +26,15 @@ def staged(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors cost nothing twice."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(df: DataFrame) -> bool:
+    """Delete what staged kept of df, once nothing reads it any more; whether there was something. Loops call it for the turn before."""
+    jvm, plan = df.sparkSession._jvm, df._jdf.queryExecution().logical()
+    if not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+        return False
+    kept = plan.rdd().getCheckpointFile()
+    if not kept.isDefined():
+        return False
+    path = jvm.org.apache.hadoop.fs.Path(kept.get())
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -491,3 +491,23 @@ def test_files_of_edits_at_any_depth(spark):
     rows = [(json.dumps(deep),), ('{"path": "x"}',), ('{"edits": []}',), ('{"edits": "no"}',), (None,)]
     got = spark.createDataFrame(rows, "j string").select(payload.files_of(F.try_parse_json("j")).alias("x")).collect()
     assert [r.x for r in got] == [["a", "b", "c", "d", "e", "f", "g"], ["x"], [], [], []]
+
+
+def test_a_record_as_a_person_reads_it(spark):
+    commits = spark.createDataFrame([("c1", "c1s", "Keep the log"), ("c2", "c2s", "Nothing")], "sha string, short string, subject string")
+    held = spark.createDataFrame([("c1", "agent-a", "disputed", ["it is " + "long " * 20])], "sha string, agent string, confidence string, disputed array<string>")
+    entries = spark.createDataFrame([("c1", "invariant", 0, "never cut a line", None, []), ("c1", "reject", 1, "no cache " * 12, "it leaked", ["a.py", "b.py"])], "sha string, kind string, pos int, rule string, why string, files array<string>")
+    got = {r.sha: r.text.split("\n") for r in record.printed(commits, held, entries).collect()}
+    assert got["c2"] == ["c2s  Nothing", "", "No record on this commit."]
+    shown = got["c1"]
+    assert shown[0] == "c1s  Keep the log" and shown[1].startswith("  reject: no cache") and shown[2].startswith("  ") and "      why: it leaked" in shown and "      file: a.py, b.py" in shown
+    assert shown.index("  invariant: never cut a line") > 2 and shown[-1] == "  [agent-a, disputed]" and any(x.startswith("  ⚠ the diff contradicts: it is") for x in shown)
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_a_group_of_many_alike_rules(spark, monkeypatch, block):
+    monkeypatch.setattr(rules, "BLOCK", block)
+    rows = [("c", i, f"keep the cache of page {'abcdefgh'[i % 4]} local") for i in range(40)] + [("d", 100 + i, "no lock here ever again") for i in range(3)]
+    df = spark.createDataFrame(rows, "sha string, id int, rule string")
+    got = {(r.a, r.b) for r in rules.fold_candidates(df, ["sha"], "id").collect()}
+    assert got == {(a, b) for x, a, _ in rows for y, b, _ in rows if a < b and x == y}

@@ -58,8 +58,9 @@ def test_the_oldest_session_comes_first(spark):
     value = lambda rule: (([], [(rule, "it leaked between tests", ["a.py"])], []),)
     found = spark.createDataFrame([("s1", *value("keep the cache of pages local")), ("s2", *value("keep the local cache of pages"))], f"session_key string, value {model.EXTRACTION}")
     linked = spark.createDataFrame([("c", "s1", 9), ("c", "s2", 3)], "sha string, session_key string, t long").selectExpr("sha", "session_key", "timestamp_seconds(t) as updated_ts")
-    kept, _ = pipeline.distilled(linked, found, spark.createDataFrame([("c", ["a.py"])], "sha string, staged array<string>"))
+    kept, _, folded = pipeline.distilled(linked, found, spark.createDataFrame([("c", ["a.py"])], "sha string, staged array<string>"))
     assert [r.rule for r in kept.collect()] == ["keep the local cache of pages"]
+    assert [tuple(r) for r in folded.collect()] == [("c", 0, 1)]
 
 
 def test_json_object():
@@ -71,6 +72,43 @@ def test_degraded(tables):
     assert late.confidence == "unverified" and "no global cache" in late.block
     none = run(tables, RuntimeError("down"), {"claims": []})
     assert (none.confidence, none.block) == ("metadata-only", "")
+    skipped = "1 of 2 sessions wrote none of the staged files and were left out"
+    assert late.notes == [skipped, "verification failed: TimeoutError: late"] and none.notes == [skipped, "id1 (agent-a) not distilled: RuntimeError: down"]
+
+
+def test_notes_of_a_run(spark, tables):
+    """Nothing to distill, degraded sessions, a cut diff, unusable answers, no time for the second pass."""
+    cand, m, known, files, diffs = tables
+    worn = known.withColumn("degraded_reason", F.when(F.col("session_key") == "s1", "half a log").otherwise(""))
+    cut = diffs.withColumn("truncated", F.lit(True))
+    got = pipeline.run(cand, m, worn, files, cut, model.Scripted(lambda p: "no object here"), model.Scripted(answer({"claims": []}))).first()
+    assert got.confidence == "metadata-only" and got.notes[1:] == [
+        "agent-a session read degraded: half a log", "the diff was cut, so claims on the rest cannot be verified", "id1 (agent-a) not distilled: unusable JSON"
+    ]
+    silent = m.where("role = 'user'").withColumn("meta", F.lit(True))
+    none = pipeline.run(cand, silent, known, files, diffs, model.Scripted(answer(EXTRACTION)), model.Scripted(answer({"claims": []}))).first()
+    assert none.confidence == "metadata-only" and none.notes == ["nothing to distill from 2 session(s)"]
+
+    def slow(prompt):
+        import time
+
+        time.sleep(0.5)
+        return json.dumps(EXTRACTION)
+
+    late = pipeline.run(cand, m, known, files, diffs, model.Scripted(slow), model.Scripted(answer({"claims": []})), seconds=model.RESERVE_S + 0.2).first()
+    assert late.confidence == "unverified" and late.notes[-1].startswith("verification skipped: 3.") and "no global cache" in late.block
+
+
+def test_the_first_pass_leaves_the_reserve(spark, tables):
+    seen = []
+
+    class Watch(model.Scripted):
+        def complete(self, prompt, seconds, name=None):
+            return json.dumps(EXTRACTION | {"claims": [f"{seconds:.0f} s"]}), "watch"
+
+    found = pipeline.extracted(tables[1], tables[2], Watch({}), seconds=30)
+    seen = {r.session_key: r.value.claims for r in found.collect()}
+    assert seen == {"s1": ["26 s"], "s2": ["26 s"]}
 
 
 def test_guard_and_headline(spark):

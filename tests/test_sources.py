@@ -182,3 +182,27 @@ def test_no_history(spark, tmp_path):
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     register(spark)
     assert spark.read.format("gitlog").option("repo", str(tmp_path)).load().count() == 0 and gitlog.head(str(tmp_path)) == {}
+
+
+def test_new_slices_of_every_session(spark, root, tmp_path):
+    """Old lines are not read again, slices without signal are dropped, a log that can't be read stops no other."""
+    register(spark)
+    folder = tmp_path / "logs" / "-srv-r"
+    (folder / "more.jsonl").write_text(line(cwd="/srv/r", message={"role": "user", "content": "first"}) + line(message={"role": "user", "content": "second"}))
+    (folder / "quiet.jsonl").write_text(line(cwd="/srv/r", message={"role": "user", "content": [{"type": "tool_result", "content": "x"}]}))
+    (folder / "gone.jsonl").symlink_to(tmp_path / "gone")
+    (tmp_path / "gone").mkdir()
+    size = len(line(cwd="/srv/r", message={"role": "user", "content": "first"}))
+    found, messages, errors = session_log.load_new(spark, "/srv/r", [("agent-a", "a", str(root)), ("agent-x", "unknown", str(root))], {str(folder / "more.jsonl"): size})
+    more = str(folder / "more.jsonl")
+    assert [(r.seq, r.text) for r in messages.where(F.col("session_key") == more).collect()] == [(1, "second")]
+    keys = {r.session_key: r.cursor_bytes for r in found.collect()}
+    assert keys[more] == (folder / "more.jsonl").stat().st_size and str(folder / "quiet.jsonl") not in keys
+    assert {(r.agent, r.error.split(":")[0]) for r in errors.collect()} >= {("agent-a", "IsADirectoryError")} and {r.agent for r in errors.collect()} == {"agent-a", "agent-x"}
+
+
+def test_a_checkpoint_can_be_discarded(spark):
+    from loomwork.sources.stage import discard, staged
+
+    df = staged(spark.range(10))
+    assert df.count() == 10 and discard(df) and not discard(spark.range(3))
