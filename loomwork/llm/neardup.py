@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.sources.stage import staged
+from loomwork.sources.stage import discard, staged
 
 BLOCK = 2000
 #: A word is frequent from this share of the classes on. Mean set size / share bounds how many such words there are, so they may be broadcast.
@@ -139,7 +139,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("x"), "m", "a")
-        links = staged(small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        earlier, links = links, staged(small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        discard(earlier)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
