@@ -37,7 +37,10 @@ def text_at(v: Column, path: str) -> Column:
 def parts(v: Column) -> Column:
     """content as an array of variants; string content as one text part; null if neither."""
     whole = text_at(v, "$.content")
-    return F.coalesce(F.try_variant_get(v, "$.content", "array<variant>"), F.when(whole.isNotNull(), F.array(F.try_parse_json(F.to_json(F.struct(F.lit("text").alias("type"), whole.alias("text")))))))
+    return F.coalesce(
+        F.try_variant_get(v, "$.content", "array<variant>"),
+        F.when(whole.isNotNull(), F.array(F.try_parse_json(F.to_json(F.struct(F.lit("text").alias("type"), whole.alias("text"))))))
+    )
 
 
 def content_text(v: Column, path: str = "$.content") -> Column:
@@ -56,7 +59,9 @@ def files_of(v: Column, keys: tuple[str, ...] = PATH_KEYS_A, distinct: bool = Fa
     Edits that hold edits are opened level by level in their place; the text names as many levels at most as the word edits."""
     edits = lambda x: F.coalesce(F.try_variant_get(x, "$.edits", "array<variant>"), F.array().cast("array<variant>"))
     node = lambda x: F.struct(_paths(x, keys).alias("paths"), edits(x).alias("below"))
-    opened_up = lambda n: F.concat(F.array(F.struct(n["paths"].alias("paths"), F.array().cast("array<variant>").alias("below"))), F.transform(n["below"], node))
+    opened_up = lambda n: F.concat(
+        F.array(F.struct(n["paths"].alias("paths"), F.array().cast("array<variant>").alias("below"))), F.transform(n["below"], node)
+    )
     levels = F.slice(F.sequence(F.lit(0), F.regexp_count(F.to_json(v), F.lit('"edits"'))), F.lit(2), F.lit(1 << 30))
     nested = F.aggregate(levels, F.array(node(v)), lambda nodes, _: F.flatten(F.transform(nodes, opened_up)))
     found = F.when(F.size(edits(v)) > 0, F.flatten(F.transform(nested, lambda n: n["paths"]))).otherwise(_paths(v, keys))
@@ -81,4 +86,9 @@ def event_path(v: Column) -> Column:
 def event_dir(v: Column, fallback: Column) -> Column:
     """Where an event happened: its directory, its first workspace, its absolute file's directory, or the fallback."""
     path = event_path(v)
-    return F.coalesce(nonempty(text_at(v, "$.cwd")), nonempty(text_at(v, "$.workspace_roots[0]")), F.when(path.startswith("/"), nonempty(F.regexp_replace(path, "/[^/]*$", ""))), fallback)
+    return F.coalesce(
+        nonempty(text_at(v, "$.cwd")),
+        nonempty(text_at(v, "$.workspace_roots[0]")),
+        F.when(path.startswith("/"), nonempty(F.regexp_replace(path, "/[^/]*$", ""))),
+        fallback
+    )

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 ELLIPSIS = "…"
 #: Wrapper tags that harnesses add to a prompt; fixed values.
-WRAPPER_TAGS = ("system-reminder", "ide_selection", "ide_opened_file", "user_info", "environment_details", "local-command-stdout", "command-name", "command-message", "command-args", "timestamp")
+WRAPPER_TAGS = (
+    "system-reminder",
+    "ide_selection",
+    "ide_opened_file",
+    "user_info",
+    "environment_details",
+    "local-command-stdout",
+    "command-name",
+    "command-message",
+    "command-args",
+    "timestamp"
+)
 #: Prefixes of text that a harness wrote; fixed values.
 ARTIFACT_PREFIXES = ("API Error", "Caveat: The messages below", "[Request interrupted", "[Tool ")
 #: Words that say nothing in a rule; fixed values.
@@ -200,7 +211,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def same_words(a: Column, b: Column, ta: Column, tb: Column, threshold: float) -> Column:
     """Whether two texts (and their tokens) say the same: equal numbers, and equal text if either is short, else enough shared words."""
     short_ = (F.size(ta) < 3) | (F.size(tb) < 3)
-    return (trimmed(a) != "") & (trimmed(b) != "") & (numbers(ta) == numbers(tb)) & F.when(short_, F.lower(trimmed(a)) == F.lower(trimmed(b))).otherwise(jaccard(ta, tb) >= threshold)
+    return (trimmed(a) != "") & (trimmed(b) != "") & (numbers(ta) == numbers(tb)) & F.when(
+        short_, F.lower(trimmed(a)) == F.lower(trimmed(b))
+    ).otherwise(jaccard(ta, tb) >= threshold)
 
 
 def heavy_shared(ta: Column, tb: Column) -> Column:

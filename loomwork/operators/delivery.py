@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from loomwork.operators import scan
 
 
-def once(touches: DataFrame, session: str, order: list[str], path: str = "path", reset: str = "reset", forced: str | None = None, block: Column | None = None) -> DataFrame:
+def once(
+    touches: DataFrame,
+    session: str,
+    order: list[str],
+    path: str = "path",
+    reset: str = "reset",
+    forced: str | None = None,
+    block: Column | None = None
+) -> DataFrame:
     """The first touch of each file per session since the session's last reset, whether or not rules bind it; forced touches always.
 
     Resets are a running count per session, in blocks of it (block rises with the order; see scan); the first touch then is a minimum per (session, path, epoch), combined before its shuffle."""

@@ -66,7 +66,17 @@ def elements(nodes: list[list]) -> list[tuple[list, list | None]]:
     return found
 
 
-_FOUND = pa.schema([("entry_id", pa.int64()), ("root", pa.string()), ("node_path", pa.string()), ("parent_path", pa.string()), ("pre", pa.int64()), ("post", pa.int64()), ("parent_pre", pa.int64())])
+_FOUND = pa.schema(
+    [
+        ("entry_id", pa.int64()),
+        ("root", pa.string()),
+        ("node_path", pa.string()),
+        ("parent_path", pa.string()),
+        ("pre", pa.int64()),
+        ("post", pa.int64()),
+        ("parent_pre", pa.int64())
+    ]
+)
 
 
 def roots(message: str | None, result: str | None) -> Iterator[tuple[str, object, bool]]:
@@ -96,7 +106,18 @@ def array_objects(log_entries: DataFrame) -> DataFrame:
 
 
 _NODES = pa.schema(
-    [("entry_id", pa.int64()), ("root", pa.string()), ("pre", pa.int64()), ("post", pa.int64()), ("kind", pa.string()), ("node_path", pa.string()), ("key", pa.string()), ("position", pa.int64()), ("value_type", pa.string()), ("value", pa.string())]
+    [
+        ("entry_id", pa.int64()),
+        ("root", pa.string()),
+        ("pre", pa.int64()),
+        ("post", pa.int64()),
+        ("kind", pa.string()),
+        ("node_path", pa.string()),
+        ("key", pa.string()),
+        ("position", pa.int64()),
+        ("value_type", pa.string()),
+        ("value", pa.string())
+    ]
 )
 
 
@@ -125,7 +146,11 @@ def nodes(log_entries: DataFrame) -> DataFrame:
 def node_tables(found: DataFrame) -> dict[str, DataFrame]:
     """One relation per type; rows of the three are linked by containment of (pre, post) within entry_id and root."""
     place = ["entry_id", "root", "pre", "post", "node_path", "key", "position"]
-    return {OBJECT: found.where(F.col("kind") == OBJECT).select(*place), ARRAY: found.where(F.col("kind") == ARRAY).select(*place), SCALAR: found.where(F.col("kind") == SCALAR).select(*place, "value_type", "value")}
+    return {
+        OBJECT: found.where(F.col("kind") == OBJECT).select(*place),
+        ARRAY: found.where(F.col("kind") == ARRAY).select(*place),
+        SCALAR: found.where(F.col("kind") == SCALAR).select(*place, "value_type", "value")
+    }
 
 
 def below(found: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -50,7 +50,14 @@ def _block(entries: list[dict], name: str) -> str:
 
 def rendered(rules: DataFrame, name: str = SESSION_RECORD) -> DataFrame:
     """sha, block: a commit's entries as text, rejections first; wrapping needs loops, so it runs on Arrow batches."""
-    entry = F.struct(F.when(F.col("kind") == "reject", 0).otherwise(1).alias("k"), F.col("pos").alias("pos"), "kind", F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("why", F.lit("")).alias("why"), F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+    entry = F.struct(
+        F.when(F.col("kind") == "reject", 0).otherwise(1).alias("k"),
+        F.col("pos").alias("pos"),
+        "kind",
+        F.coalesce("rule", F.lit("")).alias("rule"),
+        F.coalesce("why", F.lit("")).alias("why"),
+        F.coalesce("files", F.array().cast("array<string>")).alias("files")
+    )
     per = rules.groupBy("sha").agg(F.array_sort(F.collect_list(entry)).alias("e"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +85,18 @@ def printed(commits: DataFrame, records_: DataFrame, entries: DataFrame) -> Data
 
     commits(sha, short, subject), records_(sha, agent, confidence, disputed), entries(sha, kind, pos, rule, why, files)."""
     entry = F.struct(
-        F.when(F.col("kind") == "reject", 0).otherwise(1).alias("k"), F.col("pos").alias("pos"), "kind", F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("why", F.lit("")).alias("why"),
+        F.when(
+            F.col("kind") == "reject", 0
+        ).otherwise(1).alias("k"), F.col("pos").alias("pos"), "kind", F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("why", F.lit("")).alias("why"),
         F.coalesce("files", F.array().cast("array<string>")).alias("files"),
     )
     per = entries.groupBy("sha").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     foot = F.concat_ws(", ", nonempty(F.col("agent")), nonempty(F.col("confidence"))).alias("foot")
     head = F.concat_ws("  ", "short", "subject").alias("head")
     one = commits.select("sha", "short", "subject").groupBy("sha").agg(F.min(F.struct("short", "subject")).alias("c")).select("sha", "c.*")
-    whole = one.join(per, "sha", "left").join(records_.select("sha", foot, "disputed", F.lit(True).alias("has")), "sha", "left").select("sha", head, "e", "disputed", "foot", "has")
+    whole = one.join(per, "sha", "left").join(
+        records_.select("sha", foot, "disputed", F.lit(True).alias("has")), "sha", "left"
+    ).select("sha", head, "e", "disputed", "foot", "has")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -120,7 +131,11 @@ def headline(rejected: Column, invariants: Column, confidence: Column) -> Column
     """One line on what a record holds."""
     from loomwork.functions.text import plural
 
-    parts = F.concat_ws(", ", F.when(rejected > 0, F.concat(rejected.cast("string"), F.lit(" rejected"))), F.when(invariants > 0, plural(invariants, "invariant", "invariants")))
+    parts = F.concat_ws(
+        ", ",
+        F.when(rejected > 0, F.concat(rejected.cast("string"), F.lit(" rejected"))),
+        F.when(invariants > 0, plural(invariants, "invariant", "invariants"))
+    )
     return F.concat(F.when(parts == "", "no rules").otherwise(parts), F.lit(" ("), confidence, F.lit(")"))
 
 
@@ -146,17 +161,38 @@ def parsed(commits: DataFrame, name: str = ANY_NAME) -> DataFrame:
         .withColumn("blank", F.col("line").rlike(r"^\s*$"))
     )
     along = Window.partitionBy("sha").orderBy("n")
-    numbered = lines.withColumn("piece", F.sum(F.when((F.col("field") != "") | F.col("blank"), 1).otherwise(0)).over(along)).withColumn("entry", F.sum(F.when(F.col("head") != "", 1).otherwise(0)).over(along))
+    numbered = lines.withColumn(
+        "piece", F.sum(F.when((F.col("field") != "") | F.col("blank"), 1).otherwise(0)).over(along)
+    ).withColumn("entry", F.sum(F.when(F.col("head") != "", 1).otherwise(0)).over(along))
     # an entry ends with the first blank line behind it
     ends = numbered.withColumn("dead", F.max(F.col("blank")).over(Window.partitionBy("sha", "entry").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
     live = ends.where("entry > 0 and not dead")
-    text = trimmed(F.when(F.col("head") != "", F.regexp_replace("line", r"(?i)^(reject|invariant):", "")).when(F.col("field") != "", F.regexp_replace("line", r"(?i)^\s*(why|file):", "")).otherwise(F.col("line")))
-    fields = live.withColumn("text", text).groupBy("sha", "entry", "piece").agg(F.max("head").alias("head"), F.max("field").alias("field"), F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), lambda x: x != ""), " ").alias("text"))
+    text = trimmed(
+        F.when(
+            F.col("head") != "", F.regexp_replace("line", r"(?i)^(reject|invariant):", "")
+        ).when(F.col("field") != "", F.regexp_replace("line", r"(?i)^\s*(why|file):", "")).otherwise(F.col("line"))
+    )
+    fields = live.withColumn("text", text).groupBy("sha", "entry", "piece").agg(
+        F.max("head").alias("head"),
+        F.max("field").alias("field"),
+        F.array_join(
+            F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), lambda x: x != ""), " "
+        ).alias("text")
+    )
     files = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == "file", F.struct("piece", "text")))), lambda x: split_list(x["text"])))
     entries = fields.groupBy("sha", "entry").agg(
-        F.max("head").alias("kind"), F.max(F.when(F.col("field") == "rule", F.col("text"))).alias("rule"), F.max_by(F.when(F.col("field") == "why", F.col("text")), F.when(F.col("field") == "why", F.col("piece"))).alias("why"), files.alias("files")
+        F.max("head").alias("kind"), F.max(F.when(F.col("field") == "rule", F.col("text"))).alias("rule"), F.max_by(
+            F.when(F.col("field") == "why", F.col("text")), F.when(F.col("field") == "why", F.col("piece"))
+        ).alias("why"), files.alias("files")
+    )
+    return entries.where("rule <> ''").select(
+        "sha",
+        "kind",
+        (F.row_number().over(Window.partitionBy("sha").orderBy("entry")) - 1).cast("long").alias("pos"),
+        "rule",
+        "why",
+        F.coalesce("files", F.array().cast("array<string>")).alias("files")
     )
-    return entries.where("rule <> ''").select("sha", "kind", (F.row_number().over(Window.partitionBy("sha").orderBy("entry")) - 1).cast("long").alias("pos"), "rule", "why", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
 
 
 def trailers(commits: DataFrame, prefix: str = "[A-Z][A-Za-z]*") -> DataFrame:
@@ -164,7 +200,12 @@ def trailers(commits: DataFrame, prefix: str = "[A-Z][A-Za-z]*") -> DataFrame:
     Reading through git itself (sources.gitlog) is exact for folded values; this is for bodies held in tables."""
     last = F.regexp_extract(F.regexp_replace("body", r"\s+\z", ""), r"(?s)(?:\A|\n[ \t]*\n)((?:[A-Za-z][\w-]*:[^\n]*(?:\n|\z)(?:[ \t]+\S[^\n]*(?:\n|\z))*)+)\z", 1)
     lines = commits.select("sha", F.posexplode(F.split(F.regexp_replace(last, r"\n[ \t]+", " "), "\n")).alias("pos", "line")).where("line <> ''")
-    return lines.where(F.col("line").rlike(rf"^{prefix}(?:-[A-Z]\w*)*:")).select("sha", F.col("pos").cast("long").alias("pos"), F.regexp_extract("line", "^([^:]+):", 1).alias("key"), trimmed(F.regexp_replace("line", "^[^:]+:", "")).alias("value"))
+    return lines.where(F.col("line").rlike(rf"^{prefix}(?:-[A-Z]\w*)*:")).select(
+        "sha",
+        F.col("pos").cast("long").alias("pos"),
+        F.regexp_extract("line", "^([^:]+):", 1).alias("key"),
+        trimmed(F.regexp_replace("line", "^[^:]+:", "")).alias("value")
+    )
 
 
 def trailer(pairs: Column, key: str) -> Column:
@@ -175,12 +216,16 @@ def trailer(pairs: Column, key: str) -> Column:
 def records(commits: DataFrame, rules: DataFrame, pairs: DataFrame) -> DataFrame:
     """Commits that carry a record (entries or a trailer ending in -Agent or -Confidence): sha, agent, confidence, disputed, rejected, invariants."""
     t = pairs.groupBy("sha").agg(
-        F.max(F.when(F.lower("key").endswith("-agent"), F.col("value"))).alias("agent"), F.max(F.when(F.lower("key").endswith("-confidence"), F.col("value"))).alias("confidence"), F.array_sort(F.collect_set(F.when(F.lower("key").endswith("-disputed"), F.col("value")))).alias("disputed")
+        F.max(F.when(F.lower("key").endswith("-agent"), F.col("value"))).alias("agent"), F.max(F.when(F.lower("key").endswith("-confidence"), F.col("value"))).alias("confidence"), F.array_sort(
+            F.collect_set(F.when(F.lower("key").endswith("-disputed"), F.col("value")))
+        ).alias("disputed")
     )
     n = rules.groupBy("sha").agg(F.count_if(F.col("kind") == "reject").alias("rejected"), F.count_if(F.col("kind") == "invariant").alias("invariants"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     joined = commits.select("sha").join(t, "sha", "left").join(n, "sha", "left")
-    return joined.where("agent <> '' or confidence <> '' or rejected + invariants > 0").select("sha", "agent", "confidence", F.coalesce("disputed", F.array().cast("array<string>")).alias("disputed"), zero("rejected"), zero("invariants"))
+    return joined.where("agent <> '' or confidence <> '' or rejected + invariants > 0").select(
+        "sha", "agent", "confidence", F.coalesce("disputed", F.array().cast("array<string>")).alias("disputed"), zero("rejected"), zero("invariants")
+    )
 
 
 # --- serving ---------------------------------------------------------------------------------
@@ -205,8 +250,17 @@ def served(touches: DataFrame, rules: DataFrame, commits: DataFrame, budget: int
     history = touches.join(commits.select("sha", "short", "ts"), "sha").withColumn("ord", F.row_number().over(newest)).where(F.col("ord") <= look_back)
     bound = history.join(rules.select("sha", "kind", "pos", "rule", "files"), "sha").where(binds(F.col("files"), F.col("path")))
     line = F.struct(F.when(F.col("kind") == "reject", 0).otherwise(1).alias("k"), "pos", rule_lines(F.col("kind"), F.col("rule")).alias("t"))
-    texts = bound.groupBy("path", "ord", "sha", "short").agg(F.array_sort(F.collect_list(line)).alias("l")).select("path", "ord", "sha", F.concat(F.col("short"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\n")).alias("text"))
-    packed = prefix_pack(texts, ["path"], "ord", F.octet_length("text"), budget, F.octet_length(header(F.col("path"), F.col("total"))) + F.octet_length(overflow(F.col("path"), F.col("total"))))
+    texts = bound.groupBy("path", "ord", "sha", "short").agg(F.array_sort(F.collect_list(line)).alias("l")).select(
+        "path", "ord", "sha", F.concat(F.col("short"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\n")).alias("text")
+    )
+    packed = prefix_pack(
+        texts,
+        ["path"],
+        "ord",
+        F.octet_length("text"),
+        budget,
+        F.octet_length(header(F.col("path"), F.col("total"))) + F.octet_length(overflow(F.col("path"), F.col("total")))
+    )
     return packed.select("path", F.col("ord").cast("long").alias("ord"), "sha", "text", "total", "kept")
 
 
@@ -222,13 +276,30 @@ def served_text(packed: DataFrame) -> DataFrame:
     """path, commits, dropped, text: the block that is shown for a path."""
     per = packed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"), F.max("total").alias("total"), F.max("kept").alias("kept"))
     left = F.col("total") - F.col("kept")
-    return per.select("path", F.col("kept").alias("commits"), left.alias("dropped"), F.concat(header(F.col("path"), F.col("kept")), F.array_join(F.transform("t", lambda x: x["text"]), ""), F.when(left > 0, overflow(F.col("path"), left)).otherwise("")).alias("text"))
+    return per.select(
+        "path",
+        F.col("kept").alias("commits"),
+        left.alias("dropped"),
+        F.concat(
+            header(F.col("path"), F.col("kept")),
+            F.array_join(F.transform("t", lambda x: x["text"]), ""),
+            F.when(left > 0, overflow(F.col("path"), left)).otherwise("")
+        ).alias("text")
+    )
 
 
 def served_json(packed: DataFrame) -> DataFrame:
     """path, json: the same as one object a path."""
     per = packed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "sha", "text"))).alias("commits"))
-    return per.select("path", F.to_json(F.struct(F.col("path").alias("file"), F.transform("commits", lambda c: F.struct(c["sha"].alias("commit"), c["text"].alias("text"))).alias("commits"))).alias("json"))
+    return per.select(
+        "path",
+        F.to_json(
+            F.struct(
+                F.col("path").alias("file"),
+                F.transform("commits", lambda c: F.struct(c["sha"].alias("commit"), c["text"].alias("text"))).alias("commits")
+            )
+        ).alias("json")
+    )
 
 
 def response(text: Column, event: str | None = None) -> Column:

@@ -20,7 +20,16 @@ def _sorted(order: list[str], descending: bool) -> list[Column]:
     return [F.desc(c) if descending else F.asc(c) for c in order]
 
 
-def running(df: DataFrame, group: list[str], order: list[str], value: Column, name: str, how: str = "sum", block: Column | None = None, descending: bool = False) -> DataFrame:
+def running(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    value: Column,
+    name: str,
+    how: str = "sum",
+    block: Column | None = None,
+    descending: bool = False
+) -> DataFrame:
     """df with name: the sum, or the last value that isn't null, of all rows of the group up to each row in order."""
     held = df.withColumn("_block", block if block is not None else block_of(order[0])).withColumn("_value", value)
     inside = Window.partitionBy(*group, "_block").orderBy(*_sorted(order, descending)).rowsBetween(Window.unboundedPreceding, 0)

@@ -74,7 +74,12 @@ def prefix_pack(df: DataFrame, group: list[str], order: str, size: Column, budge
 def continuation_groups(lines: DataFrame, group: str, order: str, text: str, starts: Column) -> DataFrame:
     """Entries of a log: a starting line with the continuation lines behind it. Lines before the first start form an entry of their own (number 0)."""
     numbered = scan.running(lines, [group], [order], F.when(starts, 1).otherwise(0), "entry")
-    return numbered.groupBy(group, "entry").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_l")).select(group, F.col("entry").cast("long").alias("entry"), F.array_join(F.transform("_l", lambda x: x[text]), "\n").alias("text"), F.size("_l").cast("long").alias("lines"))
+    return numbered.groupBy(group, "entry").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_l")).select(
+        group,
+        F.col("entry").cast("long").alias("entry"),
+        F.array_join(F.transform("_l", lambda x: x[text]), "\n").alias("text"),
+        F.size("_l").cast("long").alias("lines")
+    )
 
 
 def last_entries(entries: DataFrame, group: str, n: int) -> DataFrame:

@@ -26,7 +26,9 @@ def first_received(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def latest_snapshot(sessions: DataFrame) -> DataFrame:
     """One row per session_key: the newest snapshot, of equal ones the one with the most bytes read."""
     rest = [c for c in sessions.columns if c != "session_key"]
-    held = sessions.where("session_key is not null").groupBy("session_key").agg(F.max_by(F.struct(*rest), F.struct("updated_ts", "cursor_bytes", "complete", "title", "model", "branch", "cwd")).alias("_row"))
+    held = sessions.where("session_key is not null").groupBy("session_key").agg(
+        F.max_by(F.struct(*rest), F.struct("updated_ts", "cursor_bytes", "complete", "title", "model", "branch", "cwd")).alias("_row")
+    )
     return held.select("session_key", *[F.col("_row")[c].alias(c) for c in rest])
 
 
@@ -49,7 +51,9 @@ def reading_only(name: Column) -> Column:
 def human_requests(messages: DataFrame) -> DataFrame:
     """session_key, seq, text of each request as typed; of equal requests in a session the first, harness texts left out."""
     typed = messages.where(is_human()).select("session_key", "seq", strip_wrappers(F.col("text")).alias("text"))
-    return typed.where((F.col("text") != "") & ~is_artifact(F.col("text"))).groupBy("session_key", "text").agg(F.min("seq").alias("seq")).select("session_key", "seq", "text")
+    return typed.where(
+        (F.col("text") != "") & ~is_artifact(F.col("text"))
+    ).groupBy("session_key", "text").agg(F.min("seq").alias("seq")).select("session_key", "seq", "text")
 
 
 def sessions_with_signal(messages: DataFrame) -> DataFrame:
@@ -59,14 +63,25 @@ def sessions_with_signal(messages: DataFrame) -> DataFrame:
 def touched(messages: DataFrame) -> DataFrame:
     """session_key, seq, tool_pos, file_pos, tool, file, error: a row per file that a tool call names."""
     calls = messages.select("session_key", "seq", F.posexplode("tools").alias("tool_pos", "t"))
-    return calls.select("session_key", "seq", "tool_pos", F.posexplode("t.files").alias("file_pos", "file"), F.col("t.name").alias("tool"), F.col("t.error").alias("error")).where("file <> ''")
+    return calls.select(
+        "session_key",
+        "seq",
+        "tool_pos",
+        F.posexplode("t.files").alias("file_pos", "file"),
+        F.col("t.name").alias("tool"),
+        F.col("t.error").alias("error")
+    ).where("file <> ''")
 
 
 def touched_files(messages: DataFrame) -> DataFrame:
     """session_key, place, file: distinct files, most recent message first, in the message in order."""
-    last = touched(messages).groupBy("session_key", "file").agg(F.max(F.struct(F.col("seq"), (-F.col("tool_pos")).alias("tool"), (-F.col("file_pos")).alias("pos"))).alias("at"))
+    last = touched(messages).groupBy("session_key", "file").agg(
+        F.max(F.struct(F.col("seq"), (-F.col("tool_pos")).alias("tool"), (-F.col("file_pos")).alias("pos"))).alias("at")
+    )
     flat = last.select("session_key", "file", "at.seq", "at.tool", "at.pos")
-    return scan.running(flat, ["session_key"], ["seq", "tool", "pos"], F.lit(1), "n", descending=True).select("session_key", (F.col("n") - 1).cast("long").alias("place"), "file")
+    return scan.running(
+        flat, ["session_key"], ["seq", "tool", "pos"], F.lit(1), "n", descending=True
+    ).select("session_key", (F.col("n") - 1).cast("long").alias("place"), "file")
 
 
 def written_files(messages: DataFrame) -> DataFrame:
@@ -103,7 +118,9 @@ def last_human_prompt(messages: DataFrame) -> DataFrame:
 
 def session_span(messages: DataFrame) -> DataFrame:
     """First and last time of each session, and its messages with and without one."""
-    return messages.groupBy("session_key").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("ts").alias("dated"), F.count_if(F.col("ts").isNull()).alias("undated"))
+    return messages.groupBy("session_key").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("ts").alias("dated"), F.count_if(F.col("ts").isNull()).alias("undated")
+    )
 
 
 def last_nonempty(df: DataFrame, key: str, order: str, *columns: str, ignore: dict[str, str] | None = None) -> DataFrame:
@@ -124,7 +141,9 @@ def in_window(ts: Column, start: Column, end: Column) -> Column:
 
 def time_slice(messages: DataFrame, sessions: DataFrame, start: Column, end: Column) -> DataFrame:
     """messages inside (start, end]; undated ones where their session was updated inside. approximate: whether the session's slice holds an undated one."""
-    inside = messages.join(sessions.select("session_key", "updated_ts"), "session_key", "left").where(F.when(F.col("ts").isNotNull(), in_window(F.col("ts"), start, end)).otherwise(in_window(F.col("updated_ts"), start, end)))
+    inside = messages.join(sessions.select("session_key", "updated_ts"), "session_key", "left").where(
+        F.when(F.col("ts").isNotNull(), in_window(F.col("ts"), start, end)).otherwise(in_window(F.col("updated_ts"), start, end))
+    )
     flags = inside.groupBy("session_key").agg(F.bool_or(F.col("ts").isNull()).alias("approximate"))
     return inside.drop("updated_ts").join(flags, "session_key")
 
@@ -140,14 +159,23 @@ def listing(sessions: DataFrame, offsets: DataFrame) -> DataFrame:
     """Each session with how far it was read: unread, part or whole; oldest first by (updated_ts, session_key) for whoever shows it."""
     o = offsets.select("session_key", "bytes")
     read = F.coalesce("bytes", F.lit(0))
-    return sessions.join(o, "session_key", "left").select("session_key", "agent", "updated_ts", "title", read.cast("long").alias("read_bytes"), F.when(read == 0, "unread").when(read < F.col("cursor_bytes"), "part").otherwise("whole").alias("state"))
+    return sessions.join(o, "session_key", "left").select(
+        "session_key",
+        "agent",
+        "updated_ts",
+        "title",
+        read.cast("long").alias("read_bytes"),
+        F.when(read == 0, "unread").when(read < F.col("cursor_bytes"), "part").otherwise("whole").alias("state")
+    )
 
 
 def agent_label(agents: Column, models: Column, distilled_by: Column | None = None) -> Column:
     """agents/models, each distinct, sorted and joined by +; with the distilling model where one is given."""
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(c, lambda x: nonempty(x).isNotNull()))), "+")
     label = F.concat_ws("/", nonempty(joined(agents)), nonempty(joined(models)))
-    return label if distilled_by is None else F.when(nonempty(distilled_by).isNotNull(), F.concat(label, F.lit(" (distilled by "), distilled_by, F.lit(")"))).otherwise(label)
+    return label if distilled_by is None else F.when(
+        nonempty(distilled_by).isNotNull(), F.concat(label, F.lit(" (distilled by "), distilled_by, F.lit(")"))
+    ).otherwise(label)
 
 
 def sorted_distinct(items: Column) -> Column:
@@ -162,5 +190,15 @@ def union_capped(a: Column, b: Column, cap: int = 3) -> Column:
 
 def commit_metadata(linked: DataFrame) -> DataFrame:
     """Per sha: sessions, label and transcript digests of linked(sha, session_key, session_id, agent, model)."""
-    per = linked.groupBy("sha").agg(F.collect_set("session_id").alias("ids"), F.collect_set("agent").alias("agents"), F.collect_set("model").alias("models"), F.collect_set(F.sha2("session_key", 256)).alias("digests"))
-    return per.select("sha", F.array_join(sorted_distinct(F.col("ids")), ",").alias("session_ids"), agent_label(F.col("agents"), F.col("models")).alias("label"), F.array_join(F.array_sort("digests"), ",").alias("transcripts"))
+    per = linked.groupBy("sha").agg(
+        F.collect_set("session_id").alias("ids"),
+        F.collect_set("agent").alias("agents"),
+        F.collect_set("model").alias("models"),
+        F.collect_set(F.sha2("session_key", 256)).alias("digests")
+    )
+    return per.select(
+        "sha",
+        F.array_join(sorted_distinct(F.col("ids")), ",").alias("session_ids"),
+        agent_label(F.col("agents"), F.col("models")).alias("label"),
+        F.array_join(F.array_sort("digests"), ",").alias("transcripts")
+    )

@@ -39,19 +39,40 @@ def distilled(linked: DataFrame, found: DataFrame, staged_files: DataFrame) -> t
     linked(sha, session_key, updated_ts), found as from extracted, staged_files(sha, staged). Undated sessions come first, equal times go by session_key. rules: sha, kind, pos, rule, why, files; claims: sha, idx, claim; folded:
     sha, reject, invariant, how many rules of a kind said what another said."""
     per = linked.join(found.where("value is not null"), "session_key").withColumn("one", F.concat_ws("\u001f", "sha", "session_key"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"value.{c}"), F.array().cast(_RULES)).alias("r")) for k, c in (("reject", "rejected"), ("invariant", "invariants"))])
-    rows = per.select("one", F.explode(kinds).alias("k")).select("one", "k.kind", F.posexplode("k.r").alias("pos", "x")).select(F.col("one").alias("sha"), "kind", F.col("pos").cast("long").alias("pos"), "x.rule", "x.why", "x.files")
+    kinds = F.array(
+        *[
+            F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"value.{c}"), F.array().cast(_RULES)).alias("r")) for k,
+            c in (("reject", "rejected"), ("invariant", "invariants"))
+        ]
+    )
+    rows = per.select("one", F.explode(kinds).alias("k")).select("one", "k.kind", F.posexplode("k.r").alias("pos", "x")).select(
+        F.col("one").alias("sha"), "kind", F.col("pos").cast("long").alias("pos"), "x.rule", "x.why", "x.files"
+    )
     clean = rules.cleaned(rows, per.join(staged_files, "sha").select(F.col("one").alias("sha"), "staged"))
     split = F.split("sha", "\u001f")
     place = F.struct("updated_ts", F.col("session_key").alias("key"))
     dated = clean.join(per.select(F.col("one").alias("sha"), place.alias("ord")), "sha")
-    groups = dated.groupBy(split[0].alias("commit"), "ord", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("rule", "why", "files").alias("r")))).alias("l"))
-    parts = groups.select(F.concat_ws("\u001f", "commit", "kind").alias("sha"), "ord", F.transform("l", lambda x: x["r"]).alias("rules"), F.array().cast("array<string>").alias("claims"))
+    groups = dated.groupBy(split[0].alias("commit"), "ord", "kind").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.struct("rule", "why", "files").alias("r")))).alias("l")
+    )
+    parts = groups.select(
+        F.concat_ws("\u001f", "commit", "kind").alias("sha"),
+        "ord",
+        F.transform("l", lambda x: x["r"]).alias("rules"),
+        F.array().cast("array<string>").alias("claims")
+    )
     joined = staged(rules.merged(parts))
     counts = joined.select(split[0].alias("sha"), split[1].alias("kind"), "folded_away").groupBy("sha")
     folded = counts.agg(*[F.sum(F.when(F.col("kind") == k, F.col("folded_away")).otherwise(0)).alias(k) for k in ("reject", "invariant")])
-    kept = joined.select(split[0].alias("sha"), split[1].alias("kind"), F.posexplode("rules").alias("pos", "x")).select("sha", "kind", F.col("pos").cast("long").alias("pos"), "x.rule", "x.why", "x.files")
-    said = per.select("sha", place.alias("ord"), F.array().cast(_RULES).alias("rules"), rules.cleaned_claims(F.coalesce("value.claims", F.array().cast("array<string>"))).alias("claims"))
+    kept = joined.select(
+        split[0].alias("sha"), split[1].alias("kind"), F.posexplode("rules").alias("pos", "x")
+    ).select("sha", "kind", F.col("pos").cast("long").alias("pos"), "x.rule", "x.why", "x.files")
+    said = per.select(
+        "sha",
+        place.alias("ord"),
+        F.array().cast(_RULES).alias("rules"),
+        rules.cleaned_claims(F.coalesce("value.claims", F.array().cast("array<string>"))).alias("claims")
+    )
     claims = rules.merged(said).select("sha", F.posexplode(F.slice("claims", 1, rules.MERGED_CLAIMS)).alias("idx", "claim"))
     return kept, claims, folded
 
@@ -85,8 +106,12 @@ def verified(commits: DataFrame, claims: DataFrame, diffs: DataFrame, extracted_
 def _notes(linked: DataFrame, candidates: DataFrame, found: DataFrame, known: DataFrame, diffs: DataFrame, folded: DataFrame, scored: DataFrame) -> DataFrame:
     """sha, notes: in order, what was left out, cut, degraded, failed, folded and not verified."""
     text = lambda c: F.col(c).cast("string")
-    rows = lambda df, ord_, note, key="": df.select("sha", F.lit(ord_).alias("ord"), F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), note.alias("note"))
-    counts = candidates.select("sha", "session_key").distinct().groupBy("sha").agg(F.count("*").alias("all")).join(linked.groupBy("sha").agg(F.max("skipped").alias("skipped"), F.count("*").alias("n")), "sha")
+    rows = lambda df, ord_, note, key="": df.select(
+        "sha", F.lit(ord_).alias("ord"), F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), note.alias("note")
+    )
+    counts = candidates.select("sha", "session_key").distinct().groupBy("sha").agg(F.count("*").alias("all")).join(
+        linked.groupBy("sha").agg(F.max("skipped").alias("skipped"), F.count("*").alias("n")), "sha"
+    )
     each = linked.select("sha", "session_key").join(found.drop("value"), "session_key", "left").join(known, "session_key", "left")
     who = F.concat(short(F.coalesce("session_id", "session_key")), F.lit(" ("), F.coalesce("agent", F.lit("")), F.lit(")"))
     reason = F.col("degraded_reason") if "degraded_reason" in known.columns else F.lit(None).cast("string")
@@ -123,11 +148,21 @@ def run(
     kept, claims, folded = distilled(linked.select("sha", "session_key", "updated_ts"), found, paths)
     kept, claims, folded = staged(kept), staged(claims), staged(folded)
     commits = candidates.select("sha").distinct()
-    spent = linked.join(found.select("session_key", "took"), "session_key", "left").groupBy("sha").agg((F.count("*") * seconds - F.sum(F.coalesce("took", F.lit(0.0)))).alias("seconds"))
+    spent = linked.join(found.select("session_key", "took"), "session_key", "left").groupBy("sha").agg(
+        (F.count("*") * seconds - F.sum(F.coalesce("took", F.lit(0.0)))).alias("seconds")
+    )
     done = linked.join(found.where("value is not null").select("session_key"), "session_key", "left_semi")
     scored = staged(verified(commits, claims, diffs, done, verify, spent))
     counts = linked.groupBy("sha").agg(F.count("*").alias("sessions"), F.max("skipped").alias("skipped"))
     blocks = record.rendered(kept, name)
     told = _notes(linked, candidates, found, known, diffs, folded, scored)
     whole = scored.join(counts, "sha", "left").join(blocks, "sha", "left").join(told, "sha", "left")
-    return whole.select("sha", "confidence", "disputed", F.coalesce("block", F.lit("")).alias("block"), "sessions", "skipped", F.coalesce("notes", F.array().cast("array<string>")).alias("notes"))
+    return whole.select(
+        "sha",
+        "confidence",
+        "disputed",
+        F.coalesce("block", F.lit("")).alias("block"),
+        "sessions",
+        "skipped",
+        F.coalesce("notes", F.array().cast("array<string>")).alias("notes")
+    )

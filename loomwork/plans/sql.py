@@ -26,23 +26,36 @@ RFC3339 = r"\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})
 SINGULAR = "case when ends_with(w, 'ies') and len(w) > 4 then left(w, len(w) - 3) || 'y' when ends_with(w, 'es') and not ends_with(w, 'ses') and len(w) > 3 then left(w, len(w) - 2) when ends_with(w, 's') and not ends_with(w, 'ss') and len(w) > 3 then left(w, len(w) - 1) else w end"
 
 #: Messages without repeated rows.
-M = Cte("m as (select * from messages where session_key is not null and seq is not null qualify row_number() over (partition by session_key, seq order by message_id) = 1)")
+M = Cte(
+    "m as (select * from messages where session_key is not null and seq is not null qualify row_number() over (partition by session_key, seq order by message_id) = 1)"
+)
 #: The latest snapshot of each session.
 LS = Cte(
-    "ls as (select * from sessions where session_key is not null qualify row_number() over (partition by session_key order by updated_ts desc nulls last, cursor_bytes desc nulls last, complete desc nulls last, title desc nulls last, model desc nulls last, branch desc nulls last, cwd desc nulls last) = 1)"
+    "ls as (select * from sessions where session_key is not null qualify row_number() over (partition by session_key order by updated_ts desc"
+    " nulls last, cursor_bytes desc nulls last, complete desc nulls last, title desc nulls last, model desc nulls last, branch desc nulls last,"
+    " cwd desc nulls last) = 1)"
 )
 #: Commits and entries without repeated rows.
 CO = Cte("c as (select distinct * from commits)")
-R = Cte("r as (select * from rule_entries where sha is not null and kind is not null and pos is not null qualify row_number() over (partition by sha, kind, pos order by rule_id) = 1)")
+R = Cte(
+    "r as (select * from rule_entries where sha is not null and kind is not null and pos is not null qualify row_number() over (partition by sha,"
+    " kind, pos order by rule_id) = 1)"
+)
 #: The paths that commits touched, and that tool calls name.
-CF = Cte("r0 as (select * from rule_entries where sha is not null and kind is not null and pos is not null qualify row_number() over (partition by sha, kind, pos order by rule_id) = 1)", "cf as (select distinct sha, path from (select sha, unnest(files) as path from r0) where path <> '')")
+CF = Cte(
+    "r0 as (select * from rule_entries where sha is not null and kind is not null and pos is not null qualify row_number() over (partition by"
+    " sha, kind, pos order by rule_id) = 1)",
+    "cf as (select distinct sha, path from (select sha, unnest(files) as path from r0) where path <> '')"
+)
 TOUCHED = Cte(
     "calls as (select session_key, seq, i as tp, tools[i] as t from m, unnest(range(1, coalesce(len(tools), 0) + 1)) as u(i))",
-    f"touched as (select session_key, seq, tp, j as fp, t.files[j] as file, {_READING} as reading from calls, unnest(range(1, coalesce(len(t.files), 0) + 1)) as u(j) where t.files[j] <> '')",
+    f"touched as (select session_key, seq, tp, j as fp, t.files[j] as file, {_READING} as reading from calls, unnest(range(1,"
+    " coalesce(len(t.files), 0) + 1)) as u(j) where t.files[j] <> '')",
 )
 #: Raw messages as JSON, opened where a JSON string holds them.
 LOG = Cte(
-    "t as (select entry_id, case when json_valid(message) then case when json_type(message) = 'VARCHAR' then json_extract_string(message, '$') else message end end as j from log_entries)",
+    "t as (select entry_id, case when json_valid(message) then case when json_type(message) = 'VARCHAR' then json_extract_string(message, '$')"
+    " else message end end as j from log_entries)",
     "v as (select entry_id, j::json as v from t where j is not null and json_valid(j))",
 )
 SERVED = (
@@ -51,9 +64,14 @@ SERVED = (
     + CO
     + Cte(
         "h as (select cf.path, c.sha, c.short, row_number() over (partition by cf.path order by c.ts desc nulls last, c.sha) as ord from cf join c using (sha))",
-        "b as (select h.path, h.ord, h.sha, any_value(h.short) || chr(10) || string_agg('  ' || r.kind || ': ' || r.rule, chr(10) order by case when r.kind = 'reject' then 0 else 1 end, r.pos) || chr(10) as text from h join r using (sha) where h.ord <= 100 and r.rule is not null and len(list_filter(r.files, lambda f: f = h.path or split_part(f, '/', -1) = split_part(h.path, '/', -1))) > 0 group by h.path, h.ord, h.sha)",
-        "n as (select *, count(*) over (partition by path) as total, sum(octet_length(encode(text))) over (partition by path order by ord rows unbounded preceding) as used from b)",
-        "fit as (select * from n where used <= 10000 - octet_length(encode('Rules from ' || total || case when total = 1 then ' commit' else ' commits' end || ' that bind ' || path || ':' || chr(10))) - octet_length(encode('… and ' || total || ' more for ' || path || chr(10))))",
+        "b as (select h.path, h.ord, h.sha, any_value(h.short) || chr(10) || string_agg('  ' || r.kind || ': ' || r.rule, chr(10) order by case"
+        " when r.kind = 'reject' then 0 else 1 end, r.pos) || chr(10) as text from h join r using (sha) where h.ord <= 100 and r.rule is not null"
+        " and len(list_filter(r.files, lambda f: f = h.path or split_part(f, '/', -1) = split_part(h.path, '/', -1))) > 0 group by h.path, h.ord,"
+        " h.sha)",
+        "n as (select *, count(*) over (partition by path) as total, sum(octet_length(encode(text))) over (partition by path order by ord rows"
+        " unbounded preceding) as used from b)",
+        "fit as (select * from n where used <= 10000 - octet_length(encode('Rules from ' || total || case when total = 1 then ' commit' else '"
+        " commits' end || ' that bind ' || path || ':' || chr(10))) - octet_length(encode('… and ' || total || ' more for ' || path || chr(10))))",
     )
 )
 #: Entries of the first block of a message, by running entry and field numbers.
@@ -61,23 +79,36 @@ PARSE_TABLES = (
     CO
     + Cte(
         r"x as (select sha, concat_ws(chr(10) || chr(10), body, note) as t from c)",
-        r"i as (select sha, regexp_replace(substr(t, position(regexp_extract(t, '(?m)^<[a-z][a-z0-9-]*>[ \t]*$') in t)), '^<[a-z][a-z0-9-]*>[ \t]*\n?', '') as t, regexp_extract(t, '(?m)^<([a-z][a-z0-9-]*)>[ \t]*$', 1) as name from x where regexp_matches(t, '(?m)^<[a-z][a-z0-9-]*>[ \t]*$'))",
-        r"k as (select sha, case when starts_with(t, '</' || name || '>') then '' when contains(t, chr(10) || '</' || name || '>') then left(t, position(chr(10) || '</' || name || '>' in t)) else t end as t from i)",
+        r"i as (select sha, regexp_replace(substr(t, position(regexp_extract(t, '(?m)^<[a-z][a-z0-9-]*>[ \t]*$') in t)), '^<[a-z][a-z0-9-]*>["
+        r" \t]*\n?', '') as t, regexp_extract(t, '(?m)^<([a-z][a-z0-9-]*)>[ \t]*$', 1) as name from x where regexp_matches(t,"
+        r" '(?m)^<[a-z][a-z0-9-]*>[ \t]*$'))",
+        r"k as (select sha, case when starts_with(t, '</' || name || '>') then '' when contains(t, chr(10) || '</' || name || '>') then left(t,"
+        r" position(chr(10) || '</' || name || '>' in t)) else t end as t from i)",
         r"l as (select sha, n, string_split(t, chr(10))[n] as line from k, unnest(range(1, len(string_split(t, chr(10))) + 1)) as u(n))",
-        r"f as (select *, lower(regexp_extract(line, '(?i)^(reject|invariant):', 1)) as head, lower(regexp_extract(line, '(?i)^\s*(why|file):', 1)) as sub, regexp_full_match(line, '\s*') as blank from l)",
+        r"f as (select *, lower(regexp_extract(line, '(?i)^(reject|invariant):', 1)) as head, lower(regexp_extract(line, '(?i)^\s*(why|file):',"
+        r" 1)) as sub, regexp_full_match(line, '\s*') as blank from l)",
         r"g as (select *, case when head <> '' then 'rule' else sub end as field from f)",
-        r"e as (select *, sum(case when field <> '' or blank then 1 else 0 end) over (partition by sha order by n) as piece, sum(case when head <> '' then 1 else 0 end) over (partition by sha order by n) as entry from g)",
+        r"e as (select *, sum(case when field <> '' or blank then 1 else 0 end) over (partition by sha order by n) as piece, sum(case when head <>"
+        r" '' then 1 else 0 end) over (partition by sha order by n) as entry from g)",
         r"d as (select *, max(blank) over (partition by sha, entry order by n rows unbounded preceding) as dead from e)",
-        r"p as (select sha, entry, piece, max(head) as head, max(field) as field, string_agg(text, ' ' order by n) filter (text <> '') as text from (select *, regexp_replace(case when head <> '' then regexp_replace(line, '(?i)^(reject|invariant):', '') when field <> '' then regexp_replace(line, '(?i)^\s*(why|file):', '') else line end, '^\s+|\s+$', '', 'g') as text from d where entry > 0 and not dead) group by all)",
-        r"q as (select sha, entry, max(head) as kind, max(text) filter (field = 'rule') as rule, max_by(coalesce(text, ''), piece) filter (field = 'why') as why, coalesce(flatten(list(list_filter(list_transform(string_split(text, ','), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') order by piece) filter (field = 'file' and text is not null)), []) as files from p group by sha, entry)",
+        r"p as (select sha, entry, piece, max(head) as head, max(field) as field, string_agg(text, ' ' order by n) filter (text <> '') as text"
+        r" from (select *, regexp_replace(case when head <> '' then regexp_replace(line, '(?i)^(reject|invariant):', '') when field <> '' then"
+        r" regexp_replace(line, '(?i)^\s*(why|file):', '') else line end, '^\s+|\s+$', '', 'g') as text from d where entry > 0 and not dead) group"
+        r" by all)",
+        r"q as (select sha, entry, max(head) as kind, max(text) filter (field = 'rule') as rule, max_by(coalesce(text, ''), piece) filter (field ="
+        r" 'why') as why, coalesce(flatten(list(list_filter(list_transform(string_split(text, ','), lambda y: regexp_replace(y, '^\s+|\s+$', '',"
+        r" 'g')), lambda y: y <> '') order by piece) filter (field = 'file' and text is not null)), []) as files from p group by sha, entry)",
     )
 )
 PARSE = PARSE_TABLES + "select sha, kind, row_number() over (partition by sha order by entry) - 1 as pos, rule, why, files from q where rule <> ''"
 #: Trailer lines behind the last blank line of a body.
 TRAILER_TABLES = Cte(
-    r"t1 as (select sha, regexp_extract(regexp_replace(body, '\s+\z', ''), '(?s)(?:\A|\n[ \t]*\n)((?:[A-Za-z][\w-]*:[^\n]*(?:\n|\z)(?:[ \t]+\S[^\n]*(?:\n|\z))*)+)\z', 1) as last from c)",
-    r"t2 as (select sha, i - 1 as pos, string_split(regexp_replace(last, '\n[ \t]+', ' ', 'g'), chr(10))[i] as line from t1, unnest(range(1, len(string_split(last, chr(10))) + 1)) as u(i))",
-    r"trailers as (select sha, pos, regexp_extract(line, '^([^:]+):', 1) as key, regexp_replace(regexp_replace(line, '^[^:]+:', ''), '^\s+|\s+$', '', 'g') as value from t2 where line <> '' and regexp_matches(line, '^[A-Z][A-Za-z]*(?:-[A-Z]\w*)*:'))",
+    r"t1 as (select sha, regexp_extract(regexp_replace(body, '\s+\z', ''), '(?s)(?:\A|\n[ \t]*\n)((?:[A-Za-z][\w-]*:[^\n]*(?:\n|\z)(?:["
+    r" \t]+\S[^\n]*(?:\n|\z))*)+)\z', 1) as last from c)",
+    r"t2 as (select sha, i - 1 as pos, string_split(regexp_replace(last, '\n[ \t]+', ' ', 'g'), chr(10))[i] as line from t1, unnest(range(1,"
+    r" len(string_split(last, chr(10))) + 1)) as u(i))",
+    r"trailers as (select sha, pos, regexp_extract(line, '^([^:]+):', 1) as key, regexp_replace(regexp_replace(line, '^[^:]+:', ''), '^\s+|\s+$',"
+    r" '', 'g') as value from t2 where line <> '' and regexp_matches(line, '^[A-Z][A-Za-z]*(?:-[A-Z]\w*)*:'))",
 )
 
 

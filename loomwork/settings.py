@@ -49,7 +49,9 @@ class Settings:
                 if raw is None:
                     continue
                 default = getattr(out, f.name)
-                value = truthy(raw) if isinstance(default, bool) else seconds(raw) if isinstance(default, float) else raw.strip() if isinstance(default, str) else int(raw) if re.fullmatch(r"\s*[1-9]\d*\s*", raw) else None
+                value = truthy(raw) if isinstance(default, bool) else seconds(raw) if isinstance(default, float) else raw.strip() if isinstance(default, str) else int(raw) if re.fullmatch(
+                    r"\s*[1-9]\d*\s*", raw
+                ) else None
                 if value is not None:
                     setattr(out, f.name, value)
                     break

@@ -60,7 +60,9 @@ class _Reader(DataSourceReader):
         for ord_, record in enumerate(out.split(_RECORD)[1:]):
             sha, short, author, when, subject, body, note, trailers, names = record.split(_FIELD, 8)
             pairs = [tuple(x.strip() for x in line.split(":", 1)) for line in trailers.splitlines() if ":" in line]
-            yield sha, short, author, datetime.fromtimestamp(int(when), timezone.utc), subject, body.rstrip("\n"), note.rstrip("\n") or None, pairs, [n for n in names.splitlines() if n] if self.files else None, ord_, self.path
+            yield sha, short, author, datetime.fromtimestamp(int(when), timezone.utc), subject, body.rstrip("\n"), note.rstrip("\n") or None, pairs, [
+                n for n in names.splitlines() if n
+            ] if self.files else None, ord_, self.path
 
 
 class GitLogSource(DataSource):

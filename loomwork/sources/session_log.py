@@ -185,11 +185,17 @@ def messages_a(lines: DataFrame) -> DataFrame:
     main = read.where(at("$.type").isin("user", "assistant") & ~F.coalesce(F.try_variant_get("v", "$.isSidechain", "boolean"), F.lit(False)))
     parts = F.try_variant_get("v", "$.message.content", "array<variant>")
     kind = lambda p: payload.text_at(p, "$.type")
-    joined = lambda t, k: F.array_join(F.filter(F.transform(F.filter("parts", lambda p: kind(p) == t), lambda p: payload.text_at(p, k)), lambda x: nonempty(F.trim(x)).isNotNull()), "\n")
+    joined = lambda t, k: F.array_join(
+        F.filter(F.transform(F.filter("parts", lambda p: kind(p) == t), lambda p: payload.text_at(p, k)), lambda x: nonempty(F.trim(x)).isNotNull()),
+        "\n"
+    )
     opened = lambda p: F.coalesce(F.try_parse_json(payload.text_at(p, "$.input")), F.try_variant_get(p, "$.input", "variant"))
     call = lambda name, files, summary, error: F.struct(name.alias("name"), files.alias("files"), summary.alias("summary"), error.alias("error"))
     none = F.lit(None).cast("string")
-    calls = F.transform(F.filter("parts", lambda p: kind(p) == "tool_use"), lambda p: call(payload.text_at(p, "$.name"), payload.files_of(opened(p)), payload.summary_of(opened(p)), none))
+    calls = F.transform(
+        F.filter("parts", lambda p: kind(p) == "tool_use"),
+        lambda p: call(payload.text_at(p, "$.name"), payload.files_of(opened(p)), payload.summary_of(opened(p)), none)
+    )
     failed = F.transform(
         F.filter("parts", lambda p: (kind(p) == "tool_result") & F.coalesce(F.try_variant_get(p, "$.is_error", "boolean"), F.lit(False))),
         lambda p: call(F.lit("result"), F.array().cast("array<string>"), F.lit(""), truncate(F.coalesce(payload.content_text(p), F.lit("")), 400)),
@@ -198,9 +204,15 @@ def messages_a(lines: DataFrame) -> DataFrame:
     result = F.exists(F.coalesce("parts", F.array().cast("array<variant>")), lambda p: kind(p) == "tool_result")
     text = F.coalesce("whole", joined("text", "$.text"), F.lit(""))
     rows = held.select(
-        F.col("path").alias("session_key"), F.col("line_no").alias("seq"), F.try_to_timestamp(at("$.timestamp")).alias("ts"), at("$.type").alias("role"), text.alias("text"), joined("thinking", "$.thinking").alias("thinking"),
-        ((at("$.type") == "user") & F.col("parts").isNotNull() & (result | nonempty(at("$.promptId")).isNull())).alias("meta"), F.coalesce(F.concat(calls, failed), F.array().cast("array<struct<name:string,files:array<string>,summary:string,error:string>>")).alias("tools"),
-        F.when(~F.coalesce(at("$.message.model").startswith("<"), F.lit(False)), nonempty(at("$.message.model"))).alias("model"), nonempty(at("$.gitBranch")).alias("branch"), nonempty(at("$.cwd")).alias("cwd"),
+        F.col("path").alias("session_key"), F.col("line_no").alias("seq"), F.try_to_timestamp(at("$.timestamp")).alias("ts"), at("$.type").alias("role"), text.alias("text"), joined(
+            "thinking", "$.thinking"
+        ).alias("thinking"),
+        ((at("$.type") == "user") & F.col("parts").isNotNull() & (result | nonempty(at("$.promptId")).isNull())).alias("meta"), F.coalesce(
+            F.concat(calls, failed), F.array().cast("array<struct<name:string,files:array<string>,summary:string,error:string>>")
+        ).alias("tools"),
+        F.when(
+            ~F.coalesce(at("$.message.model").startswith("<"), F.lit(False)), nonempty(at("$.message.model"))
+        ).alias("model"), nonempty(at("$.gitBranch")).alias("branch"), nonempty(at("$.cwd")).alias("cwd"),
     )
     return rows.where("text <> '' or thinking <> '' or size(tools) > 0")
 
@@ -209,15 +221,31 @@ def messages_b(lines: DataFrame) -> DataFrame:
     """The same of agent B's lines, which have no time or model: ts is the file's, typed prompts are unwrapped and dropped without an envelope."""
     read = lines.where("readable").select("path", "line_no", "mtime", F.try_parse_json("line").alias("v"))
     at = lambda p: payload.text_at(F.col("v"), p)
-    held = read.select("path", "line_no", "mtime", at("$.role").alias("role"), F.try_variant_get("v", "$.message.content", "array<variant>").alias("parts")).where("role in ('user', 'assistant') and parts is not null")
+    held = read.select(
+        "path", "line_no", "mtime", at("$.role").alias("role"), F.try_variant_get("v", "$.message.content", "array<variant>").alias("parts")
+    ).where("role in ('user', 'assistant') and parts is not null")
     kind = lambda p: payload.text_at(p, "$.type")
     text = F.array_join(F.transform(F.filter("parts", lambda p: kind(p) == "text"), lambda p: payload.text_at(p, "$.text")), "\n")
     inputs = lambda p: F.try_variant_get(p, "$.input", "variant")
     tools = F.transform(
         F.filter("parts", lambda p: kind(p) == "tool_use"),
-        lambda p: F.struct(payload.text_at(p, "$.name").alias("name"), payload.files_of(inputs(p), payload.PATH_KEYS_B, distinct=True).alias("files"), payload.summary_of(inputs(p), payload.SUMMARY_KEYS_B).alias("summary"), F.lit(None).cast("string").alias("error")),
+        lambda p: F.struct(
+            payload.text_at(p, "$.name").alias("name"),
+            payload.files_of(inputs(p), payload.PATH_KEYS_B, distinct=True).alias("files"),
+            payload.summary_of(inputs(p), payload.SUMMARY_KEYS_B).alias("summary"),
+            F.lit(None).cast("string").alias("error")
+        ),
+    )
+    rows = held.select(
+        F.col("path").alias("session_key"),
+        F.col("line_no").alias("seq"),
+        F.timestamp_seconds("mtime").alias("ts"),
+        "role",
+        F.when(F.col("role") == "user", unwrap_query(text)).otherwise(text).alias("text"),
+        F.lit("").alias("thinking"),
+        F.lit(False).alias("meta"),
+        tools.alias("tools")
     )
-    rows = held.select(F.col("path").alias("session_key"), F.col("line_no").alias("seq"), F.timestamp_seconds("mtime").alias("ts"), "role", F.when(F.col("role") == "user", unwrap_query(text)).otherwise(text).alias("text"), F.lit("").alias("thinking"), F.lit(False).alias("meta"), tools.alias("tools"))
     return rows.where("text <> '' or (role = 'assistant' and size(tools) > 0)")
 
 
@@ -228,11 +256,24 @@ def sessions_of(lines: DataFrame, repo: str, agent: str) -> DataFrame:
     found = lines.where("line_no >= 0")
     head = found.select("path", "session_id", "project", "mtime", "line_no", F.col("upto").alias("end"), F.when(F.col("line_no") < HEAD_LINES, v).alias("v"))
     cwd, title = nonempty(payload.text_at(F.col("v"), "$.cwd")), nonempty(payload.text_at(F.col("v"), "$.aiTitle"))
-    per = head.groupBy("path", "session_id", "project").agg(F.max("mtime").alias("updated"), F.max("end").alias("cursor_bytes"), F.min_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("cwd"), F.min_by(title, F.when(title.isNotNull(), F.col("line_no"))).alias("title"))
+    per = head.groupBy("path", "session_id", "project").agg(
+        F.max("mtime").alias("updated"),
+        F.max("end").alias("cursor_bytes"),
+        F.min_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("cwd"),
+        F.min_by(title, F.when(title.isNotNull(), F.col("line_no"))).alias("title")
+    )
     slug = "".join(c if c.isascii() and c.isalnum() else "-" for c in repo)
     known = F.coalesce("cwd", F.when(F.col("project").isin(slug, slug.removeprefix("-")), F.lit(repo)))
     root = repo.rstrip("/")
-    return per.withColumn("cwd", known).where((F.col("cwd") == root) | F.col("cwd").startswith(root + "/")).select(F.col("path").alias("session_key"), F.lit(agent).alias("agent"), "session_id", "cwd", "title", F.timestamp_seconds("updated").alias("updated_ts"), "cursor_bytes")
+    return per.withColumn("cwd", known).where((F.col("cwd") == root) | F.col("cwd").startswith(root + "/")).select(
+        F.col("path").alias("session_key"),
+        F.lit(agent).alias("agent"),
+        "session_id",
+        "cwd",
+        "title",
+        F.timestamp_seconds("updated").alias("updated_ts"),
+        "cursor_bytes"
+    )
 
 
 def all_sessions(spark: SparkSession, repo: str, readers: list[tuple[str, str, str]]) -> tuple[DataFrame, list[str]]:
@@ -272,7 +313,11 @@ def load_new(spark: SparkSession, repo: str, readers: list[tuple[str, str, str]]
         messages = new if messages is None else messages.unionByName(new)
         errors = errors.unionByName(lines.where("line_no < 0").select(F.lit(agent).alias("agent"), "path", F.col("line").alias("error")))
     if messages is None:
-        messages = spark.createDataFrame([], "session_key string, seq long, ts timestamp, role string, text string, thinking string, meta boolean, tools array<struct<name:string,files:array<string>,summary:string,error:string>>")
+        messages = spark.createDataFrame(
+            [],
+            "session_key string, seq long, ts timestamp, role string, text string, thinking string, meta boolean, tools"
+            " array<struct<name:string,files:array<string>,summary:string,error:string>>"
+        )
     messages = staged(messages)
     useful = known.join(sessions_with_signal(messages).select("session_key"), "session_key", "left_semi")
     return useful, messages.join(useful.select("session_key"), "session_key", "left_semi"), errors

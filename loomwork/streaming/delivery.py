@@ -26,7 +26,9 @@ class Once(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.served = handle.getMapState("served", StructType([StructField("path", StringType())]), StructType([StructField("seq", LongType())]), ttlDurationMs=self.ttl_ms)
+        self.served = handle.getMapState(
+            "served", StructType([StructField("path", StringType())]), StructType([StructField("seq", LongType())]), ttlDurationMs=self.ttl_ms
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -48,8 +50,16 @@ class Once(StatefulProcessor):
 def once_stream(touches: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """session, seq, path of the touches to serve. touches(session string, seq long, path string, reset boolean [, forced boolean])."""
     forced = F.coalesce("forced", F.lit(False)) if "forced" in touches.columns else F.lit(False)
-    rows = touches.where("session is not null").select("session", F.col("seq").cast("long").alias("seq"), "path", F.coalesce("reset", F.lit(False)).alias("reset"), forced.cast(BooleanType()).alias("forced"))
-    return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=Once(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    rows = touches.where("session is not null").select(
+        "session",
+        F.col("seq").cast("long").alias("seq"),
+        "path",
+        F.coalesce("reset", F.lit(False)).alias("reset"),
+        forced.cast(BooleanType()).alias("forced")
+    )
+    return rows.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=Once(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
+    )
 
 
 def touch_events(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -63,7 +73,13 @@ def touch_events(raw: DataFrame, column: str = "value") -> DataFrame:
     name = payload.text_at(F.col("_v"), "$.hook_event_name")
     reset = F.coalesce(F.lower(F.regexp_replace(name, "[^A-Za-z]", "")).isin("precompact", "sessionend"), F.lit(False))
     keep = [c for c in raw.columns if c != column]
-    found = read.select(*keep, payload.event_session(F.col("_v")).alias("session"), payload.event_path(F.col("_v")).alias("path"), reset.alias("reset"), payload.event_dir(F.col("_v"), F.lit(".")).alias("dir"))
+    found = read.select(
+        *keep,
+        payload.event_session(F.col("_v")).alias("session"),
+        payload.event_path(F.col("_v")).alias("path"),
+        reset.alias("reset"),
+        payload.event_dir(F.col("_v"), F.lit(".")).alias("dir")
+    )
     return found.where("session is not null and (path is not null or reset)")
 
 
