@@ -90,14 +90,22 @@ def p3_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = table(spark, sf_dir, "messages").select(F.lit("messages").alias("row_table"), F.col("message_id").alias("row_id"), F.col("text").alias("old"))
     both = before.unionByName(says).join(p3_masked(spark, sf_dir), ["row_table", "row_id"], "full")
     empty_changed = (F.coalesce(F.trim("old"), F.lit("")) == "") & ~F.col("old").eqNullSafe(F.col("text"))
-    return both.groupBy("row_table").agg(F.count("*").alias("rows"), F.count_if(F.col("old").isNull() != F.col("text").isNull()).alias("lost"), F.count_if(empty_changed).alias("empty_changed"))
+    return both.groupBy("row_table").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("old").isNull() != F.col("text").isNull()).alias("lost"),
+        F.count_if(empty_changed).alias("empty_changed")
+    )
 
 
 def p4_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table: rows that redaction keeps, and credentials that are still found behind it."""
     log, says = credentials.redacted_log(table(spark, sf_dir, "log_entries")), credentials.redacted_messages(table(spark, sf_dir, "messages"))
-    rows = log.agg(F.count("entry_id").alias("rows")).withColumn("row_table", F.lit("log_entries")).unionByName(says.agg(F.count("message_id").alias("rows")).withColumn("row_table", F.lit("messages")))
-    left = credentials.credentials(log, says).groupBy(F.when(F.col("place") == "summary", "messages").otherwise("log_entries").alias("row_table")).agg(F.count("*").alias("n"))
+    rows = log.agg(F.count("entry_id").alias("rows")).withColumn("row_table", F.lit("log_entries")).unionByName(
+        says.agg(F.count("message_id").alias("rows")).withColumn("row_table", F.lit("messages"))
+    )
+    left = credentials.credentials(log, says).groupBy(
+        F.when(F.col("place") == "summary", "messages").otherwise("log_entries").alias("row_table")
+    ).agg(F.count("*").alias("n"))
     return rows.join(left, "row_table", "left").select("row_table", "rows", F.coalesce("n", F.lit(0)).alias("still_there"))
 
 
@@ -107,12 +115,18 @@ def p6_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = staged(packing.packed(sizes, table(spark, sf_dir, "pack_limits")))
     per = filled.groupBy("limit_id", "capacity_tokens", "doc_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces")).join(sizes, "doc_id", "full")
     cost = F.sum(F.col("tokens").cast("double") * F.col("tokens"))
-    box = filled.where("container is not null").groupBy("limit_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), cost.alias("cost"))
+    box = filled.where("container is not null").groupBy("limit_id", "capacity_tokens", "container").agg(
+        F.sum("tokens").alias("used"), F.count("*").alias("n"), cost.alias("cost")
+    )
     square = F.col("capacity_tokens").cast("double") * F.col("capacity_tokens")
-    over = (F.col("used") > F.col("capacity_tokens")) | (F.col("n") > packing.MAX_DOCUMENTS) | (F.col("n") > 1) & (F.col("cost") > packing.ATTENTION_SHARE * square * (1 + 1e-9))
+    over = (F.col("used") > F.col("capacity_tokens")) | (F.col("n") > packing.MAX_DOCUMENTS) | (F.col("n") > 1) & (
+        F.col("cost") > packing.ATTENTION_SHARE * square * (1 + 1e-9)
+    )
     boxes = box.groupBy("limit_id").agg(F.count_if(over).alias("over"))
     documents = per.groupBy("limit_id").agg(
-        F.count("*").alias("documents"), F.count_if(~F.col("held").eqNullSafe(F.col("tokens"))).alias("torn"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("cut_needlessly")
+        F.count("*").alias("documents"), F.count_if(~F.col("held").eqNullSafe(F.col("tokens"))).alias("torn"), F.count_if(
+            (F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))
+        ).alias("cut_needlessly")
     )
     return documents.join(boxes, "limit_id")
 
@@ -125,19 +139,27 @@ def p7_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = staged(mixing.mixed(sized, targets))
     every = sized.where("tokens > 0").select("doc_id", "source").join(mix.select("doc_id", F.col("source").alias("mixed"), "copies"), "doc_id", "left")
     per = every.groupBy("source").agg(
-        F.max("copies").alias("most"), F.min(F.coalesce("copies", F.lit(0))).alias("least"), F.count_if(F.col("mixed").isNotNull() & (F.col("mixed") != F.col("source"))).alias("strange")
+        F.max("copies").alias("most"), F.min(F.coalesce("copies", F.lit(0))).alias("least"), F.count_if(
+            F.col("mixed").isNotNull() & (F.col("mixed") != F.col("source"))
+        ).alias("strange")
     )
     named = targets.where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("max_repeats")).join(per, "source", "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return named.select(
-        "source", F.col("max_repeats"), none(F.greatest(F.col("most") - F.col("max_repeats"), F.lit(0))).alias("beyond"), none(F.col("strange")).alias("strange"), none((F.col("most") - F.col("least") > 1).cast("long")).alias("incomplete")
+        "source", F.col("max_repeats"), none(
+            F.greatest(F.col("most") - F.col("max_repeats"), F.lit(0))
+        ).alias("beyond"), none(F.col("strange")).alias("strange"), none((F.col("most") - F.col("least") > 1).cast("long")).alias("incomplete")
     )
 
 
 def p8_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with text: its paragraphs, and those that have a language though they hold no letter."""
     per = language.paragraph_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
-    return per.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.max("para_no").alias("last"), F.count_if((F.col("letters") == 0) & F.col("lang").isNotNull()).alias("groundless"))
+    return per.groupBy("doc_id").agg(
+        F.count("*").alias("paragraphs"),
+        F.max("para_no").alias("last"),
+        F.count_if((F.col("letters") == 0) & F.col("lang").isNotNull()).alias("groundless")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,7 +85,18 @@ def lines(log_entries: DataFrame) -> DataFrame:
     array = F.col("shape").startswith("ARRAY")
     part_type = lambda p: F.try_variant_get(p, "$.type", "string")
     filled = lambda c: c.rlike(r"(?U)\S")
-    has_text = F.when(F.col("shape") == "STRING", filled(F.col("plain"))).when(array, F.exists("parts", lambda p: F.coalesce((part_type(p) == "text") & (F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING") & filled(F.try_variant_get(p, "$.text", "string")), F.lit(False))))
+    has_text = F.when(F.col("shape") == "STRING", filled(F.col("plain"))).when(
+        array,
+        F.exists(
+            "parts",
+            lambda p: F.coalesce(
+                (part_type(p) == "text") & (
+                    F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING"
+                ) & filled(F.try_variant_get(p, "$.text", "string")),
+                F.lit(False)
+            )
+        )
+    )
     has_result = F.coalesce(array & F.exists("parts", lambda p: F.coalesce(part_type(p) == "tool_result", F.lit(False))), F.lit(False))
     main = F.coalesce(F.col("entry_type").isin("user", "assistant") & ~F.coalesce(F.col("is_sidechain"), F.lit(False)), F.lit(False))
     injected = (F.col("entry_type") == "user") & array & (F.col("prompt_id").isNull() | has_result)
@@ -104,14 +115,24 @@ def timed(found: DataFrame) -> DataFrame:
     ends = first.where("at is not null").groupBy("session_id", "block").agg(F.max_by(F.struct("at", "line_no"), "line_no").alias("end"))
     # a row per block: blocks without a time are added, so that every block knows the one before
     all_blocks = first.select("session_id", "block").distinct().join(ends, ["session_id", "block"], "left")
-    carried = all_blocks.withColumn("before", F.last("end", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("session_id", "block", "before").where("before is not null")
+    carried = all_blocks.withColumn(
+        "before", F.last("end", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    ).select("session_id", "block", "before").where("before is not null")
     whole = inside.join(carried, ["session_id", "block"], "left").withColumn("near", F.coalesce("near", "before"))
     return whole.select("session_id", "line_no", *cols, F.col("near.at").alias("time"), F.when(F.col("at").isNull(), F.col("near.line_no")).alias("parent"))
 
 
 _RANKED = "session_id string, range int, entry_id long, rank long, user boolean, answers long, replies long"
 _RANKED_ARROW = pa.schema(
-    [("session_id", pa.string()), ("range", pa.int32()), ("entry_id", pa.int64()), ("rank", pa.int64()), ("user", pa.bool_()), ("answers", pa.int64()), ("replies", pa.int64())]
+    [
+        ("session_id", pa.string()),
+        ("range", pa.int32()),
+        ("entry_id", pa.int64()),
+        ("rank", pa.int64()),
+        ("user", pa.bool_()),
+        ("answers", pa.int64()),
+        ("replies", pa.int64())
+    ]
 )
 
 
@@ -141,7 +162,15 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(parent for parent, child in replies)
         every = order + left
         ranks = [place.get(n) for n in every]
-        cols = [[session] * len(every), [at] * len(every), [info[n][0] for n in every], ranks, [info[n][1] for n in every], [place.get(answered.get(n)) for n in every], [count[n] for n in every]]
+        cols = [
+            [session] * len(every),
+            [at] * len(every),
+            [info[n][0] for n in every],
+            ranks,
+            [info[n][1] for n in every],
+            [place.get(answered.get(n)) for n in every],
+            [count[n] for n in every]
+        ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _RANKED_ARROW.types)], schema=_RANKED_ARROW)
 
     session, at, rows = None, 0, []
@@ -161,10 +190,14 @@ def _graphs(log_entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     per session and range what the graph says, with before, the turns of earlier ranges."""
     line = staged(timed(lines(log_entries)))
     whole = line.groupBy("session_id").agg(
-        F.count("*").alias("n"), (F.max("line_no") - F.min("line_no") + 1).alias("span"), F.count_if(F.col("main") & ~F.col("readable")).alias("unread"), F.count("user").alias("turns")
+        F.count("*").alias("n"), (
+            F.max("line_no") - F.min("line_no") + 1
+        ).alias("span"), F.count_if(F.col("main") & ~F.col("readable")).alias("unread"), F.count("user").alias("turns")
     )
     sound = whole.where("n = span and unread = 0 and turns > 1").select("session_id", "turns")
-    turns = line.where("user is not null").join(sound, "session_id").select("session_id", "line_no", F.coalesce(F.unix_micros("time"), F.lit(-(2**63))).alias("t"), "parent", "entry_id", "user")
+    turns = line.where("user is not null").join(sound, "session_id").select(
+        "session_id", "line_no", F.coalesce(F.unix_micros("time"), F.lit(-(2**63))).alias("t"), "parent", "entry_id", "user"
+    )
     # ranges are ordered by session, time and line, and balanced by sampling; the number of ranges follows the number of turns
     total = sound.agg(F.coalesce(F.sum("turns"), F.lit(0))).first()[0]
     parts = max(1, -(-total // RANGE_TURNS), min(64, -(-total // 20_000)))
@@ -174,7 +207,9 @@ def _graphs(log_entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     open_prompt = F.col("user") & (F.col("replies") == 0)
     summary = ranked.groupBy("session_id", "range").agg(
         F.count("*").alias("n"), F.count_if("user").alias("users"), F.count_if(F.col("rank").isNull()).alias("left_over"),
-        F.count_if(open_prompt).alias("open"), F.count_if(~F.col("user") & F.col("answers").isNull()).alias("opening_replies"), F.max_by(open_prompt, "rank").alias("ends_open"),
+        F.count_if(open_prompt).alias("open"), F.count_if(
+            ~F.col("user") & F.col("answers").isNull()
+        ).alias("opening_replies"), F.max_by(open_prompt, "rank").alias("ends_open"),
     )
     along = Window.partitionBy("session_id").orderBy("range")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -203,7 +238,9 @@ def session_report(log_entries: DataFrame) -> DataFrame:
     faults = placed.groupBy("session_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("unanswered", "unasked", "left_over")])
     kept = F.coalesce(F.col("unanswered") + F.col("unasked") + F.col("left_over") == 0, F.lit(False))
     return whole.join(faults, "session_id", "left").select(
-        "session_id", F.col("n").alias("lines"), "turns", (F.col("span") - F.col("n")).alias("missing"), "unread", "unanswered", "unasked", "left_over", kept.alias("kept")
+        "session_id", F.col("n").alias("lines"), "turns", (
+            F.col("span") - F.col("n")
+        ).alias("missing"), "unread", "unanswered", "unasked", "left_over", kept.alias("kept")
     )
 
 
@@ -216,7 +253,16 @@ def reply_order(df: DataFrame, group: str, node: str, parent: str, priority: str
         nodes = [((p is None or pd.isna(p), None if pd.isna(p) else p, n), n) for p, n in zip(rows[priority], rows[node])]
         nodes = [((k[0], 0 if k[1] is None else k[1], k[2]), n) for k, n in nodes]
         done, left = kahn(nodes, [(p, n) for p, n in zip(rows[parent], rows[node]) if not pd.isna(p)])
-        return pd.DataFrame({group: rows[group].iloc[0], node: done + left, "place": pd.array([*range(len(done)), *[None] * len(left)], "Int64"), "cyclic": [False] * len(done) + [True] * len(left)})
+        return pd.DataFrame(
+            {
+                group: rows[group].iloc[0],
+                node: done + left,
+                "place": pd.array([*range(len(done)), *[None] * len(left)], "Int64"),
+                "cyclic": [False] * len(done) + [True] * len(left)
+            }
+        )
 
     kinds = dict(df.dtypes)
-    return df.where(F.col(node).isNotNull() & F.col(group).isNotNull()).select(group, node, parent, priority).groupBy(group).applyInPandas(order, f"`{group}` {kinds[group]}, `{node}` {kinds[node]}, place long, cyclic boolean")
+    return df.where(F.col(node).isNotNull() & F.col(group).isNotNull()).select(group, node, parent, priority).groupBy(group).applyInPandas(
+        order, f"`{group}` {kinds[group]}, `{node}` {kinds[node]}, place long, cyclic boolean"
+    )

@@ -101,7 +101,9 @@ def is_credential_name(name: str) -> bool:
         while words and words[-1].isdigit():
             words.pop()
         last = words[-1] if words else ""
-        known = last in CREDENTIAL_WORDS or (last == "key" and len(words) > 1 and words[-2] in KEY_WORDS) or (last not in ("monkey", "turkey") and bool(re.search(r"(?:password|passwd|apikey|secret|authtoken|accesstoken)$", last)))
+        known = last in CREDENTIAL_WORDS or (last == "key" and len(words) > 1 and words[-2] in KEY_WORDS) or (
+            last not in ("monkey", "turkey") and bool(re.search(r"(?:password|passwd|apikey|secret|authtoken|accesstoken)$", last))
+        )
         if len(_names) < 100_000:
             _names[name] = known
     return known
@@ -116,7 +118,9 @@ def entropy(text: str) -> float:
 def looks_random(text: str) -> bool:
     """Mixed character classes and many different characters, or long hexadecimal or upper-case codes, as in generated tokens."""
     classes = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", r"\d", r"[+/=_.-]"))
-    return len(text) >= 16 and not re.search(r"\s", text) and (classes >= 3 and entropy(text) >= 3.4 or bool(re.fullmatch(r"[0-9a-fA-F]{32,}|(?=.*\d)(?=.*[A-Z])[A-Z0-9]{16,}", text)))
+    return len(text) >= 16 and not re.search(r"\s", text) and (
+        classes >= 3 and entropy(text) >= 3.4 or bool(re.fullmatch(r"[0-9a-fA-F]{32,}|(?=.*\d)(?=.*[A-Z])[A-Z0-9]{16,}", text))
+    )
 
 
 _CODE = re.compile(r"[(){}\[\]]|=>|->|^\w+(?:\.[a-z_]\w*)+$|^[A-Z][A-Z0-9]*_[A-Z0-9_]+$")

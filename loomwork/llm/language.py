@@ -170,7 +170,16 @@ def fitted(labelled: DataFrame) -> Languages:
     return fit([(r.label, r.text) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))])
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("para_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("letters", pa.int64())])
+_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("label", pa.string()),
+        ("para_no", pa.int64()),
+        ("lang", pa.string()),
+        ("confidence", pa.float64()),
+        ("letters", pa.int64())
+    ]
+)
 
 
 def paragraph_languages(documents: DataFrame, codes: DataFrame) -> DataFrame:
@@ -188,7 +197,9 @@ def paragraph_languages(documents: DataFrame, codes: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types)], schema=_SCHEMA)
 
-    return labelled.select("doc_id", "label", "text").where("text is not null").mapInArrow(batches, "doc_id long, label string, para_no long, lang string, confidence double, letters long")
+    return labelled.select("doc_id", "label", "text").where("text is not null").mapInArrow(
+        batches, "doc_id long, label string, para_no long, lang string, confidence double, letters long"
+    )
 
 
 def wrong_or_missing(paragraphs_: DataFrame) -> DataFrame:
@@ -198,9 +209,23 @@ def wrong_or_missing(paragraphs_: DataFrame) -> DataFrame:
 
 def document_languages(documents: DataFrame, codes: DataFrame) -> DataFrame:
     """doc_id, label, lang, confidence, languages: per document the language that most letters are in, and how many there are."""
-    per = paragraph_languages(documents, codes).groupBy("doc_id", "label", "lang").agg(F.sum("letters").alias("letters"), F.try_divide(F.sum(F.col("confidence") * F.col("letters")), F.sum("letters")).alias("confidence"))
+    per = paragraph_languages(documents, codes).groupBy("doc_id", "label", "lang").agg(
+        F.sum("letters").alias("letters"), F.try_divide(F.sum(F.col("confidence") * F.col("letters")), F.sum("letters")).alias("confidence")
+    )
     best = F.max(F.when(F.col("lang").isNotNull(), F.struct("letters", "lang", "confidence")))
     whole = per.groupBy("doc_id", "label").agg(best.alias("b"), F.sum("letters").alias("all"), F.count("lang").alias("languages"))
-    found = whole.select("doc_id", "label", F.col("b.lang").alias("lang"), F.round(F.coalesce(F.try_divide(F.col("b.confidence") * F.col("b.letters"), F.col("all")), F.lit(0.0)), 4).alias("confidence"), "languages")
+    found = whole.select(
+        "doc_id",
+        "label",
+        F.col("b.lang").alias("lang"),
+        F.round(F.coalesce(F.try_divide(F.col("b.confidence") * F.col("b.letters"), F.col("all")), F.lit(0.0)), 4).alias("confidence"),
+        "languages"
+    )
     # documents without a paragraph have a row too
-    return usable_labels(documents, codes).select("doc_id", "label").join(found.drop("label"), "doc_id", "left").select("doc_id", "label", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.lit(0)).cast("long").alias("languages"))
+    return usable_labels(documents, codes).select("doc_id", "label").join(found.drop("label"), "doc_id", "left").select(
+        "doc_id",
+        "label",
+        "lang",
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("languages", F.lit(0)).cast("long").alias("languages")
+    )

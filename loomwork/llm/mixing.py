@@ -29,8 +29,14 @@ TARGETS = 100_000
 
 def plan(found: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
     """Per target source: share asked and possible, tokens there, budget, complete epochs and what is left for the fraction."""
-    there = {r.source: r for r in found.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).join(F.broadcast(targets.select("source").distinct().limit(TARGETS)), "source", "left_semi").collect()}
-    rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(TARGETS + 1).collect()
+    there = {
+        r.source: r for r in found.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).join(
+            F.broadcast(targets.select("source").distinct().limit(TARGETS)), "source", "left_semi"
+        ).collect()
+    }
+    rows = targets.where("source is not null").groupBy("source").agg(
+        F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+    ).limit(TARGETS + 1).collect()
     if len(rows) > TARGETS:
         raise ValueError(f"more than {TARGETS} sources")
     usable = [r for r in rows if (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0 and r.source in there]
@@ -43,7 +49,17 @@ def plan(found: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         budget = min(round(size * r.target_share / whole), here * r.max_repeats) if use else 0
         epochs = budget // here if here else 0
         out.append(
-            {"source": r.source, "target_share": r.target_share, "max_repeats": r.max_repeats, "share": r.target_share / whole if use else 0.0, "available": here, "documents": there[r.source].n if use else 0, "budget": budget, "epochs": epochs, "left": budget - epochs * here}
+            {
+                "source": r.source,
+                "target_share": r.target_share,
+                "max_repeats": r.max_repeats,
+                "share": r.target_share / whole if use else 0.0,
+                "available": here,
+                "documents": there[r.source].n if use else 0,
+                "budget": budget,
+                "epochs": epochs,
+                "left": budget - epochs * here
+            }
         )
     return out
 
@@ -81,18 +97,32 @@ def mixed(found: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     planned = spark.createDataFrame([tuple(p.values()) for p in plans], _PLAN)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
     # one row a source: at most TARGETS
-    joined = found.join(F.broadcast(planned.where("budget > 0").select("source", "epochs", "left")), "source").withColumn("key", -F.log(uniform) / F.greatest("quality", F.lit(1e-9)))
+    joined = found.join(
+        F.broadcast(planned.where("budget > 0").select("source", "epochs", "left")), "source"
+    ).withColumn("key", -F.log(uniform) / F.greatest("quality", F.lit(1e-9)))
     first = staged(_fraction(ranged(joined, sum(p["documents"] for p in plans if p["budget"] > 0))))
-    gaps = first.groupBy("source", "left").agg(F.sum(F.when(F.col("taken"), F.col("tokens")).otherwise(0)).alias("got")).select("source", (F.col("left") - F.col("got")).alias("gap"))
+    gaps = first.groupBy("source", "left").agg(
+        F.sum(F.when(F.col("taken"), F.col("tokens")).otherwise(0)).alias("got")
+    ).select("source", (F.col("left") - F.col("got")).alias("gap"))
     rest = first.where("not taken").drop("taken", "left").join(F.broadcast(gaps.where("gap > 0")), "source").where("tokens <= gap").withColumnRenamed("gap", "left")
     more = _fraction(rest).where("taken").select("source", "doc_id", F.lit(1).alias("more"))
     both = first.join(more, ["source", "doc_id"], "left")
-    return both.select("source", "doc_id", "tokens", (F.col("epochs") + F.when(F.col("taken") | F.col("more").isNotNull(), 1).otherwise(0)).alias("copies")).where("copies > 0")
+    return both.select(
+        "source", "doc_id", "tokens", (F.col("epochs") + F.when(F.col("taken") | F.col("more").isNotNull(), 1).otherwise(0)).alias("copies")
+    ).where("copies > 0")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: target_share, actual_share of the mix's tokens, tokens, documents and the most copies of one."""
     per = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
-    named = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(per, "source", "left")
+    named = targets.where("source is not null").groupBy("source").agg(
+        F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+    ).join(per, "source", "left")
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row a source
-    return named.select("source", "target_share", "max_repeats", F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("actual_share"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "documents", "most_copies")])
+    return named.select(
+        "source",
+        "target_share",
+        "max_repeats",
+        F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("actual_share"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "documents", "most_copies")]
+    )

@@ -68,7 +68,9 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     prefix = F.expr(f"slice(order, 1, size(order) - cast(ceil({t} * size(order) - 1e-9) as int) + 1)")
     band = F.floor(F.log("n") / -math.log(t)).cast("int")
     signed = staged(
-        ranked.join(sized, "class_id").select("class_id", "words", "copies", "n", band.alias("band"), *[_signature(k).alias(f"s{k}") for k in range(4)], prefix.alias("prefix"))
+        ranked.join(sized, "class_id").select(
+            "class_id", "words", "copies", "n", band.alias("band"), *[_signature(k).alias(f"s{k}") for k in range(4)], prefix.alias("prefix")
+        )
     )
     rows = signed.select("class_id", "n", "band", "s0", "s1", "s2", "s3", F.posexplode("prefix").alias("at", "p")).where("p.df > 1")
     rows = rows.withColumn("k", F.ceil(F.col("p.df") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("k")).cast("int"))
@@ -76,11 +78,19 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     side = ["class_id", "n", "at", "s0", "s1", "s2", "s3"]
     # the smaller set of a pair shares 2t / (1 + t) of its words, so a shorter prefix of it is enough
-    left = rows.where(F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)")).withColumn("other", all_blocks).select(F.struct(F.col("p.word").alias("w"), F.when(small, -9).otherwise(F.col("band")).alias("band"), F.col("block").alias("i"), F.col("other").alias("j")).alias("tile"), *[F.col(c).alias(f"a_{c}") for c in side])
+    left = rows.where(F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)")).withColumn("other", all_blocks).select(
+        F.struct(
+            F.col("p.word").alias("w"), F.when(small, -9).otherwise(F.col("band")).alias("band"), F.col("block").alias("i"), F.col("other").alias("j")
+        ).alias("tile"),
+        *[F.col(c).alias(f"a_{c}") for c in side]
+    )
     right = (
         rows.withColumn("other", all_blocks)
         .withColumn("tier", F.explode(F.when(small, F.array(F.lit(-9))).otherwise(F.array(F.col("band"), F.col("band") - 1))))
-        .select(F.struct(F.col("p.word").alias("w"), F.col("tier").alias("band"), F.col("other").alias("i"), F.col("block").alias("j")).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in side])
+        .select(
+            F.struct(F.col("p.word").alias("w"), F.col("tier").alias("band"), F.col("other").alias("i"), F.col("block").alias("j")).alias("tile"),
+            *[F.col(c).alias(f"b_{c}") for c in side]
+        )
     )
     need = F.expr(f"ceil({share!r} * (a_n + b_n) - 1e-9)")
     a_only = sum((F.bit_count(F.col(f"a_s{k}").bitwiseAND(F.bitwise_not(f"b_s{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_s0").bitwiseAND(F.bitwise_not("b_s0"))))
@@ -93,11 +103,15 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
     side = lambda k: signed.select(F.col("class_id").alias(k), F.col("words").alias(f"{k}w"), F.col("copies").alias(f"{k}c"))
     full = met.join(side("x"), "x").join(side("y"), "y")
     overlap = F.size(F.array_intersect("xw", "yw"))
-    found = full.select("x", "y", "xc", "yc", overlap.alias("overlap"), (F.size("xw") + F.size("yw") - overlap).alias("either")).where(F.col("overlap") >= t * F.col("either") - 1e-9)
+    found = full.select(
+        "x", "y", "xc", "yc", overlap.alias("overlap"), (F.size("xw") + F.size("yw") - overlap).alias("either")
+    ).where(F.col("overlap") >= t * F.col("either") - 1e-9)
     first = F.col("x") < F.col("y")
     pick = lambda one, other: F.when(first, F.col(one)).otherwise(F.col(other))
     return found.select(
-        pick("x", "y").alias("a"), pick("y", "x").alias("b"), "overlap", (F.col("overlap") / F.col("either")).alias("similarity"), pick("xc", "yc").alias("a_copies"), pick("yc", "xc").alias("b_copies")
+        pick("x", "y").alias("a"), pick("y", "x").alias("b"), "overlap", (
+            F.col("overlap") / F.col("either")
+        ).alias("similarity"), pick("xc", "yc").alias("a_copies"), pick("yc", "xc").alias("b_copies")
     )
 
 
@@ -111,7 +125,11 @@ def similar_pairs(df: DataFrame, id_column: str, *texts: str, threshold: float =
     single = pairs.where("a_copies = 1 and b_copies = 1").select(F.col("a").alias("rule_a"), F.col("b").alias("rule_b"))
     blocks = lambda copies: F.ceil(F.col(copies) / BLOCK).cast("int")
     several = reps.where("copies > 1").select("digest", "class_id", "copies")
-    spread = staged(members.join(several, "digest").select("class_id", "record", blocks("copies").alias("k")).withColumn("block", F.pmod(F.xxhash64("record"), F.col("k")).cast("int")))
+    spread = staged(
+        members.join(several, "digest").select("class_id", "record", blocks("copies").alias("k")).withColumn(
+            "block", F.pmod(F.xxhash64("record"), F.col("k")).cast("int")
+        )
+    )
     every = lambda copies: F.explode(F.sequence(F.lit(0), blocks(copies) - 1))
     met = pairs.where("a_copies > 1 or b_copies > 1").withColumn("i", every("a_copies")).withColumn("j", every("b_copies"))
 
@@ -123,7 +141,9 @@ def similar_pairs(df: DataFrame, id_column: str, *texts: str, threshold: float =
     between = held("a", "i").join(held("b", "j"), ["a", "b", "i", "j"]).select(F.least("ra", "rb").alias("rule_a"), F.greatest("ra", "rb").alias("rule_b"))
     from_here = spread.select("class_id", F.col("record").alias("ra"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("k") - 1)).alias("j"))
     to_there = spread.select("class_id", F.col("record").alias("rb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    inside = from_here.join(to_there, ["class_id", "i", "j"]).where("i < j or ra < rb").select(F.least("ra", "rb").alias("rule_a"), F.greatest("ra", "rb").alias("rule_b"))
+    inside = from_here.join(to_there, ["class_id", "i", "j"]).where("i < j or ra < rb").select(
+        F.least("ra", "rb").alias("rule_a"), F.greatest("ra", "rb").alias("rule_b")
+    )
     return single.unionByName(between).unionByName(inside)
 
 
@@ -139,7 +159,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("x"), "m", "a")
-        earlier, links = links, staged(small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        earlier, links = links, staged(
+            small.select(
+                F.col("x").alias("a"), F.col("m").alias("b")
+            ).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        )
         discard(earlier)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -157,4 +181,10 @@ def similar_groups(df: DataFrame, id_column: str, *texts: str, threshold: float
     roots = components(pairs, reps.select(F.col("class_id").alias("node")))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     grouped = reps.select("digest", F.col("class_id").alias("node"), "copies").join(roots, "node").join(degree, "node", "left")
-    return members.join(grouped, "digest").select("record", F.col("root").alias("group_id"), F.col("node").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return members.join(grouped, "digest").select(
+        "record",
+        F.col("root").alias("group_id"),
+        F.col("node").alias("class_id"),
+        "copies",
+        F.coalesce("links", F.lit(0)).cast("long").alias("links")
+    )

@@ -29,7 +29,9 @@ MAX_DOCUMENTS, ATTENTION_SHARE = 512, 0.85
 WEIGHTS = (1.0, 0.05, 0.25)
 
 
-def best_fit(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS, attention: float | None = None, weights: tuple = WEIGHTS, rule: str = "norm") -> np.ndarray:
+def best_fit(
+    sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS, attention: float | None = None, weights: tuple = WEIGHTS, rule: str = "norm"
+) -> np.ndarray:
     """Container number of each item; every size must be in 1..capacity. An item whose cost is above attention is alone."""
     attention = float(ATTENTION_SHARE * capacity * capacity) if attention is None else attention
     n = len(sizes)
@@ -73,11 +75,24 @@ def pieces(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     if not known:
         each = sizes.select(F.lit(0).alias("limit_id"), F.lit(0).alias("capacity_tokens"), "*").where("false")
     else:
-        each = sizes.select(F.explode(F.array(*[F.struct(F.lit(r.limit_id).alias("limit_id"), F.lit(r.capacity_tokens).alias("capacity_tokens")) for r in known])).alias("l"), "doc_id", "tokens").select("l.*", "doc_id", "tokens")
+        each = sizes.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(r.limit_id).alias("limit_id"), F.lit(r.capacity_tokens).alias("capacity_tokens")) for r in known])
+            ).alias("l"),
+            "doc_id",
+            "tokens"
+        ).select("l.*", "doc_id", "tokens")
     last = F.greatest(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity_tokens")) - 1).cast("int")
     cut = each.select("limit_id", "capacity_tokens", "doc_id", F.col("tokens").alias("whole"), F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
     start = F.col("piece_no").cast("long") * F.col("capacity_tokens")
-    return cut.select("limit_id", "capacity_tokens", "doc_id", "piece_no", start.alias("token_start"), F.least(F.col("whole") - start, F.col("capacity_tokens").cast("long")).alias("tokens"))
+    return cut.select(
+        "limit_id",
+        "capacity_tokens",
+        "doc_id",
+        "piece_no",
+        start.alias("token_start"),
+        F.least(F.col("whole") - start, F.col("capacity_tokens").cast("long")).alias("tokens")
+    )
 
 
 def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS, rule: str = "norm", attention_share: float = ATTENTION_SHARE) -> DataFrame:
@@ -100,7 +115,9 @@ def packed(sizes: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMEN
     full = F.col("tokens") >= F.col("capacity_tokens")
     fitted = items.where(~full & (F.col("tokens") > 0)).withColumn("shard", part).groupBy("limit_id", "shard").applyInPandas(fill, ddl)
     alone = items.where(full | (F.col("tokens") <= 0)).select(
-        F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens"), F.when(full, F.concat_ws("-", "limit_id", F.lit("full"), "doc_id", "piece_no")).alias("container"), F.col("doc_id").cast("long").alias("doc_id"), F.col("piece_no").cast("int").alias("piece_no"), "token_start", "tokens"
+        F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens"), F.when(
+            full, F.concat_ws("-", "limit_id", F.lit("full"), "doc_id", "piece_no")
+        ).alias("container"), F.col("doc_id").cast("long").alias("doc_id"), F.col("piece_no").cast("int").alias("piece_no"), "token_start", "tokens"
     )
     return fitted.unionByName(alone)
 
@@ -113,8 +130,14 @@ def fill_report(packing: DataFrame, attention_share: float = ATTENTION_SHARE) ->
     limit = attention_share * F.col("capacity_tokens") * F.col("capacity_tokens")
     per = held.agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), F.sum(square).alias("cost")).withColumn("share", F.col("cost") / limit)
     return per.groupBy("limit_id", "capacity_tokens").agg(
-        F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 4).alias("used_share"), F.count_if(F.col("used") >= 0.95 * F.col("capacity_tokens")).alias("nearly_full"), F.max("n").alias("most_pieces"), F.max("used").alias("most_used"),
-        F.count_if((F.col("share") > 1) & (F.col("n") == 1)).alias("alone"), F.round(F.max(F.when((F.col("share") <= 1) | (F.col("n") > 1), F.col("share"))), 4).alias("most_attention"),
+        F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.sum("used").alias("tokens"), F.round(
+            F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 4
+        ).alias("used_share"), F.count_if(
+            F.col("used") >= 0.95 * F.col("capacity_tokens")
+        ).alias("nearly_full"), F.max("n").alias("most_pieces"), F.max("used").alias("most_used"),
+        F.count_if((F.col("share") > 1) & (F.col("n") == 1)).alias("alone"), F.round(
+            F.max(F.when((F.col("share") <= 1) | (F.col("n") > 1), F.col("share"))), 4
+        ).alias("most_attention"),
     )
 
 

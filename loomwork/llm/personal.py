@@ -70,7 +70,9 @@ _CAMEL = re.compile(rf"[a-zß-ÿ][{_U}]")
 #: Street types that make an address a seed, by its first or last word or the end of that; the other types are learned.
 _STREET_SEED = re.compile(r"(?i)street|road|avenue|lane|rue|calle|avenida|\w*(?:straße|strasse|weg)")
 #: Looser forms of an address: any capitalised or compound word where the type stands.
-LOOSE_ADDRESS = re.compile(rf"(?<![\w.,-])\d{{1,5}}[A-Za-z]?[ ](?:{_WORD}[ ]){{1,3}}{_WORD}(?![\w.])|(?<![\w-])[{_U}][a-zäöüßéèàç]{{5,}}[ ]\d{{1,4}}(?:\s?[a-z])?(?![\w.:/-])")
+LOOSE_ADDRESS = re.compile(
+    rf"(?<![\w.,-])\d{{1,5}}[A-Za-z]?[ ](?:{_WORD}[ ]){{1,3}}{_WORD}(?![\w.])|(?<![\w-])[{_U}][a-zäöüßéèàç]{{5,}}[ ]\d{{1,4}}(?:\s?[a-z])?(?![\w.:/-])"
+)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BREAK = re.compile(r"[.!?;:…]['\"»”)]*\s|\n")
 
@@ -209,7 +211,17 @@ def candidates(text: str, sure: frozenset[str], ordinary: frozenset[str] = froze
 
 
 _SPANS = pa.schema(
-    [("row_table", pa.string()), ("row_id", pa.int64()), ("part_no", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()), ("kind", pa.string()), ("found_text", pa.string()), ("seed", pa.int64()), ("patterns", pa.list_(pa.string()))]
+    [
+        ("row_table", pa.string()),
+        ("row_id", pa.int64()),
+        ("part_no", pa.int64()),
+        ("slot", pa.int64()),
+        ("start", pa.int64()),
+        ("kind", pa.string()),
+        ("found_text", pa.string()),
+        ("seed", pa.int64()),
+        ("patterns", pa.list_(pa.string()))
+    ]
 )
 _SPANS_DDL = "row_table string, row_id long, part_no long, slot long, start long, kind string, found_text string, seed long, patterns array<string>"
 
@@ -281,7 +293,9 @@ def beliefs(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     an unknown one counts UNKNOWN only; a profile is as sure as its best patterns together, an instance the mean of its profiles,
     and believed from LIKELY on; seeds stay at 1 inside the graph, but belief is what the patterns say."""
     grouped = found.groupBy("profile").agg(
-        F.first("kind").alias("kind"), F.first(F.lower("found_text")).alias("instance"), F.first("patterns").alias("patterns"), F.max("seed").cast("double").alias("seed"), F.count("*").alias("n")
+        F.first("kind").alias("kind"), F.first(
+            F.lower("found_text")
+        ).alias("instance"), F.first("patterns").alias("patterns"), F.max("seed").cast("double").alias("seed"), F.count("*").alias("n")
     )
     held = staged(grouped)
     edges = staged(held.select("profile", "kind", "n", F.explode("patterns").alias("pattern")))
@@ -290,10 +304,14 @@ def beliefs(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     belief = named.join(seeds, ["kind", "instance"]).select("profile", "belief")
     for turn in range(rounds):
         weight = F.col("belief") + UNKNOWN * (1 - F.col("belief"))
-        scores = edges.join(belief, "profile").groupBy("kind", "pattern").agg((F.sum(F.col("belief") * F.col("n")) / (F.sum(weight * F.col("n")) + PRIOR)).alias("score")).where("score > 0")
+        scores = edges.join(belief, "profile").groupBy("kind", "pattern").agg(
+            (F.sum(F.col("belief") * F.col("n")) / (F.sum(weight * F.col("n")) + PRIOR)).alias("score")
+        ).where("score > 0")
         said = edges.join(scores, ["kind", "pattern"]).groupBy("profile").agg(_together(F.collect_list("score")).alias("said"))
         if turn < rounds - 1:
-            per = named.join(said, "profile", "left").groupBy("kind", "instance").agg((F.sum(F.col("n") * F.coalesce("said", F.lit(0.0))) / F.sum("n")).alias("mean"), F.max("seed").alias("seed"))
+            per = named.join(said, "profile", "left").groupBy("kind", "instance").agg(
+                (F.sum(F.col("n") * F.coalesce("said", F.lit(0.0))) / F.sum("n")).alias("mean"), F.max("seed").alias("seed")
+            )
             likely = per.select("kind", "instance", F.greatest("seed", F.when(F.col("mean") >= LIKELY, F.col("mean")).otherwise(0.0)).alias("belief"))
             belief = staged(named.join(likely, ["kind", "instance"]).select("profile", "belief"))
     return said.select("profile", F.col("said").alias("belief"))
@@ -330,7 +348,12 @@ def surest(spans: list[dict]) -> list[dict]:
 
 def _disjoint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(table, row, part, x["start"], x["kind"], x["found_text"], x["seed"]) for table, row, part, spans in zip(*(c.to_pylist() for c in batch.columns)) for x in surest(spans)]
+        rows = [
+            (table, row, part, x["start"], x["kind"], x["found_text"], x["seed"]) for table,
+            row,
+            part,
+            spans in zip(*(c.to_pylist() for c in batch.columns)) for x in surest(spans)
+        ]
         cols = list(zip(*rows)) if rows else [[]] * len(_ITEMS)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ITEMS.types)], schema=_ITEMS)
 
@@ -363,7 +386,9 @@ def mask_message(message: str | None, found: list[dict] | None) -> str | None:
     """A raw message with the items (part_no, start, kind, found_text) of its parts replaced; every other character of the raw text stays."""
     value = opened_located(parse_located(message)) if message and found else None
     content = value.get("content") if isinstance(value, dict) else None
-    parts = {0: content} if isinstance(content, str) else {i: p.get(p.get("type")) for i, p in enumerate(content) if isinstance(p, dict)} if isinstance(content, list) else {}
+    parts = {0: content} if isinstance(content, str) else {
+        i: p.get(p.get("type")) for i, p in enumerate(content) if isinstance(p, dict)
+    } if isinstance(content, list) else {}
     spans = []
     for no, text in parts.items():
         if isinstance(text, Located):
