@@ -202,3 +202,8 @@ def commit_metadata(linked: DataFrame) -> DataFrame:
         agent_label(F.col("agents"), F.col("models")).alias("label"),
         F.array_join(F.array_sort("digests"), ",").alias("transcripts")
     )
+
+
+def oldest_first(sessions: DataFrame) -> DataFrame:
+    """Sessions in order of their last update, undated ones first, equal times by session_key."""
+    return sessions.orderBy(F.asc_nulls_first("updated_ts"), "session_key")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -62,13 +62,22 @@ def once_stream(touches: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     )
 
 
+#: An event is read up to so many bytes; a longer one is none. A fixed value.
+EVENT_BYTES = 1 << 20
+
+
+def _readable(column: str) -> Column:
+    """The variant of an event's text; null if it can't be read or is too long to be one."""
+    return F.when(F.octet_length(column) <= EVENT_BYTES, F.try_parse_json(column))
+
+
 def touch_events(raw: DataFrame, column: str = "value") -> DataFrame:
-    """session, path, reset, forced, dir of raw hook events (JSON text); unreadable events, and those without session, drop out.
+    """session, path, reset, forced, dir of raw hook events (JSON text); unreadable and overlong events, and those without session, drop out.
 
     A compaction or the end of a session resets it."""
     from loomwork.functions import payload
 
-    v = F.try_parse_json(column)
+    v = _readable(column)
     read = raw.select("*", v.alias("_v")).where("_v is not null")
     name = payload.text_at(F.col("_v"), "$.hook_event_name")
     reset = F.coalesce(F.lower(F.regexp_replace(name, "[^A-Za-z]", "")).isin("precompact", "sessionend"), F.lit(False))
@@ -83,6 +92,29 @@ def touch_events(raw: DataFrame, column: str = "value") -> DataFrame:
     return found.where("session is not null and (path is not null or reset)")
 
 
+def touch_trace(raw: DataFrame, contexts: DataFrame, column: str = "value") -> DataFrame:
+    """event, tool, session, path_key, path, bytes, why: a row per raw event for who wants to know why something was (not) served.
+
+    path_key is the key that named the path, bytes the size of the path's text in contexts(path, text), why the reason for no bytes."""
+    from loomwork.functions import payload
+
+    v = F.col("_v")
+    keys = [("tool_input." + k, f"$.tool_input.{k}") for k in payload.EVENT_PATH_KEYS] + [(k, f"$.{k}") for k in payload.EVENT_TOP_KEYS]
+    used = F.coalesce(*[F.when(payload.nonempty(payload.text_at(v, at)).isNotNull(), F.lit(name)) for name, at in keys])
+    read = raw.select(_readable(column).alias("_v")).select(
+        "_v", payload.text_at(v, "$.hook_event_name").alias("event"), payload.text_at(v, "$.tool_name").alias("tool"), payload.event_session(v).alias("session"),
+        used.alias("path_key"), payload.event_path(v).alias("path"),
+    )
+    sized = read.join(contexts.select("path", F.octet_length("text").cast("long").alias("bytes")), "path", "left")
+    why = (
+        F.when(F.col("_v").isNull(), "unreadable event")
+        .when(F.col("session").isNull(), "no session")
+        .when(F.col("path").isNull(), "no path")
+        .when(F.col("bytes").isNull(), "no rules for the path")
+    )
+    return sized.select("event", "tool", "session", "path_key", "path", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), why.alias("why"))
+
+
 def serve_batches(served: DataFrame, contexts: DataFrame) -> DataFrame:
     """Stream-static join: the served touches with the text of their path; paths without rules have none and drop out."""
     return served.join(contexts.select("path", "text"), "path")

@@ -39,10 +39,16 @@ def load_offsets(path: str) -> dict[str, int]:
 
 def save_offsets(path: str, offsets: dict[str, int]) -> None:
     """Write offsets so that a crash leaves the old or the new file whole."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
+    _write_whole(path, {"version": 1, "offsets": offsets})
+
+
+def _write_whole(path: str, value: dict) -> None:
+    """Write beside the file and put it in its place at once."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=folder)
     with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump({"version": 1, "offsets": offsets}, f)
+        json.dump(value, f)
         f.flush()
         os.fsync(f.fileno())
     os.replace(name, path)
@@ -60,10 +66,12 @@ class Pending:
         self.path = os.path.join(folder, "pending.json")
         self.offsets = os.path.join(folder, "offsets.json")
 
-    def save(self, digest: str, offsets: dict[str, int], note: str | None = None) -> None:
-        os.makedirs(os.path.dirname(self.path), exist_ok=True)
-        with open(self.path, "w", encoding="utf-8") as f:
-            json.dump({"digest": digest, "offsets": offsets, "note": note}, f)
+    def save(self, digest: str, offsets: dict[str, int], note: str | None = None, settles: bool = True) -> None:
+        """Keep what the commit will mean. settles: whether something will call settle; if not, the offsets count at once."""
+        if settles:
+            _write_whole(self.path, {"digest": digest, "offsets": offsets, "note": note})
+        else:
+            save_offsets(self.offsets, load_offsets(self.offsets) | offsets)
 
     def settle(self, digest: str) -> dict | None:
         """Apply the pending offsets if the landed message's digest is theirs; drop them in any case. What was applied, else None."""

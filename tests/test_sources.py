@@ -206,3 +206,34 @@ def test_a_checkpoint_can_be_discarded(spark):
 
     df = staged(spark.range(10))
     assert df.count() == 10 and discard(df) and not discard(spark.range(3))
+
+
+def test_pending_counts_at_once_without_a_hook(tmp_path):
+    pending = ingest.Pending(str(tmp_path))
+    pending.save("d", {"a": 5}, settles=False)
+    assert ingest.load_offsets(pending.offsets) == {"a": 5} and pending.settle("d") is None
+    pending.save("d", {"a": 9})
+    assert ingest.load_offsets(pending.offsets) == {"a": 5} and pending.settle("d")["offsets"] == {"a": 9} and ingest.load_offsets(pending.offsets) == {"a": 9}
+
+
+def test_trace_of_touches_and_overlong_events(spark):
+    event = {"hook_event_name": "PreTool", "tool_name": "Edit", "session_id": "s"}
+    raw = [json.dumps(event | {"tool_input": {"path": "a.py"}}), json.dumps(event | {"file_path": "b.py"}), "{", json.dumps({"path": "a.py"}), json.dumps(event), json.dumps(event | {"path": "x" * (1 << 20)})]
+    df = spark.createDataFrame([(r,) for r in raw], "value string")
+    contexts = spark.createDataFrame([("a.py", "é")], "path string, text string")
+    got = sorted(((r.event, r.tool, r.session, r.path_key, r.path, r.bytes, r.why) for r in delivery.touch_trace(df, contexts).collect()), key=str)
+    assert got == sorted(
+        [
+            ("PreTool", "Edit", "s", "tool_input.path", "a.py", 2, None), ("PreTool", "Edit", "s", "file_path", "b.py", 0, "no rules for the path"), (None,) * 5 + (0, "unreadable event"), (None,) * 5 + (0, "unreadable event"),
+            (None, None, None, "path", "a.py", 2, "no session"), ("PreTool", "Edit", "s", None, None, 0, "no path"),
+        ],
+        key=str,
+    )
+    assert delivery.touch_events(df).count() == 2
+
+
+def test_oldest_sessions_first(spark):
+    from loomwork.operators import sessions
+
+    df = spark.createDataFrame([("b", 5), ("a", 5), ("c", None), ("d", 1)], "session_key string, t long").selectExpr("session_key", "timestamp_seconds(t) as updated_ts")
+    assert [r.session_key for r in sessions.oldest_first(df).collect()] == ["c", "d", "a", "b"]
