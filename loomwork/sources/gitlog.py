@@ -3,12 +3,14 @@
     spark.read.format("gitlog").option("repo", folder).option("path", "src/a.py").option("limit", 100).load()
 
 Options: repo, path (the history of one path, following renames; without renames where git can't), limit, notes (ref, default
-commits), files (true adds the paths of each commit). Equality filters on path are pushed down into the git call."""
+commits), files (true adds the paths of each commit), partitions (ranges of commits that are read in parallel, 1). Equality filters on path are pushed down into the git call."""
 
 from __future__ import annotations
 
+import codecs
 import os
 import subprocess
+import tempfile
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
@@ -30,7 +32,8 @@ def git(repo: str, *args: str) -> str:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.repo, self.path, self.limit = options["repo"], options.get("path"), options.get("limit")
+        self.repo, self.path = options["repo"], options.get("path")
+        self.limit, self.parts = int(options["limit"]) if options.get("limit") else None, int(options.get("partitions", 1))
         self.notes, self.files = options.get("notes", "commits"), options.get("files", "false").lower() == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -41,28 +44,58 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        """Ranges of commits; one for the history of a path, whose renames git follows from its newest commit on."""
+        if self.path or self.parts == 1:
+            return [InputPartition((0, self.limit))]
+        try:
+            known = int(git(self.repo, "rev-list", "--count", "HEAD"))
+        except RuntimeError:
+            return [InputPartition((0, self.limit))]
+        total = min(known, self.limit) if self.limit is not None else known
+        size = max(1, -(-total // self.parts))
+        return [InputPartition((skip, min(size, total - skip))) for skip in range(0, total, size)] or [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        base = ["log", f"--format={_FORMAT}", f"--notes={self.notes}"] + ([f"-n{int(self.limit)}"] if self.limit else []) + (["--name-only"] if self.files else [])
-        try:
-            if self.path:
-                try:
-                    out = git(self.repo, *base, "--follow", "--", self.path)
-                except RuntimeError:
-                    out = git(self.repo, *base, "--", self.path)
-            else:
-                out = git(self.repo, *base)
-        except RuntimeError as e:
-            if "does not have any commits" in str(e):
-                return
-            raise
-        for ord_, record in enumerate(out.split(_RECORD)[1:]):
+        skip, most = partition.value
+        base = ["log", f"--format={_FORMAT}", f"--notes={self.notes}", f"--skip={skip}"]
+        base += ([f"-n{most}"] if most is not None else []) + (["--name-only"] if self.files else [])
+        if not self.path:
+            found = _records(self.repo, base)
+        else:
+            found = _records(self.repo, [*base, "--follow", "--", self.path], [*base, "--", self.path])
+        for at, record in enumerate(found, skip):
             sha, short, author, when, subject, body, note, trailers, names = record.split(_FIELD, 8)
             pairs = [tuple(x.strip() for x in line.split(":", 1)) for line in trailers.splitlines() if ":" in line]
-            yield sha, short, author, datetime.fromtimestamp(int(when), timezone.utc), subject, body.rstrip("\n"), note.rstrip("\n") or None, pairs, [
-                n for n in names.splitlines() if n
-            ] if self.files else None, ord_, self.path
+            files = [n for n in names.splitlines() if n] if self.files else None
+            ts = datetime.fromtimestamp(int(when), timezone.utc)
+            yield sha, short, author, ts, subject, body.rstrip("\n"), note.rstrip("\n") or None, pairs, files, at, self.path
+
+
+def _records(repo: str, args: list[str], otherwise: list[str] | None = None) -> Iterator[str]:
+    """The records of a git log as they come, so that no history is held whole; otherwise: what to call if the first call gives nothing but an error."""
+    env = {k: v for k, v in os.environ.items() if not k.startswith("GIT_")} | {"LC_ALL": "C.UTF-8"}
+    with tempfile.TemporaryFile() as said:
+        call = subprocess.Popen(["git", "-C", repo, *args], stdout=subprocess.PIPE, stderr=said, env=env)
+        given, rest = 0, ""
+        decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+        while block := call.stdout.read(1 << 16):
+            *whole, rest = (rest + decode(block)).split(_RECORD)
+            for record in whole:
+                if record:
+                    given += 1
+                    yield record
+        call.stdout.close()
+        if call.wait() == 0:
+            if rest:
+                yield rest
+            return
+        said.seek(0)
+        error = said.read().decode(errors="replace").strip()[:500]
+    if "does not have any commits" in error:
+        return
+    if otherwise is None or given:
+        raise RuntimeError(f"git log: {error}")
+    yield from _records(repo, otherwise)
 
 
 class GitLogSource(DataSource):

@@ -178,6 +178,17 @@ def _identity(git):
     return True
 
 
+@pytest.mark.parametrize("limit", [None, 3])
+def test_history_in_ranges(spark, repo, limit):
+    register(spark)
+    r = spark.read.format("gitlog").option("repo", repo[0])
+    r = r.option("limit", limit) if limit else r
+    row = lambda x: (x.ord, x.sha, x.subject, x.body, x.note)
+    whole = sorted(row(x) for x in r.load().collect())
+    parts = r.option("partitions", 3).load()
+    assert sorted(row(x) for x in parts.collect()) == whole and parts.rdd.getNumPartitions() > 1 and [x[0] for x in whole] == list(range(len(whole)))
+
+
 def test_no_history(spark, tmp_path):
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     register(spark)
