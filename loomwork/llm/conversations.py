@@ -31,6 +31,8 @@ from loomwork.sources.stage import staged
 
 #: Lines of a block within which times are carried forward.
 BLOCK_LINES = 4096
+#: Nodes of a group that reply_order sorts in one task; a larger group is an error.
+GROUP_NODES = 1_000_000
 #: Turns of a range of the sort.
 RANGE_TURNS = 200_000
 
@@ -245,8 +247,8 @@ def session_report(log_entries: DataFrame) -> DataFrame:
 
 
 def reply_order(df: DataFrame, group: str, node: str, parent: str, priority: str) -> DataFrame:
-    """group, node, place, cyclic of explicit reply links, by Kahn's algorithm per group (groups must fit a task; conversations() is
-    the way for any size). place counts from 0 and is null, and cyclic true, for nodes on or behind a cycle. Null parents are roots."""
+    """group, node, place, cyclic of explicit reply links, by Kahn's algorithm per group (a group of more than
+    GROUP_NODES is an error, as a task holds it; conversations() is the way for any size). place counts from 0 and is null, and cyclic true, for nodes on or behind a cycle. Null parents are roots."""
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(node).drop_duplicates(node)
@@ -263,6 +265,9 @@ def reply_order(df: DataFrame, group: str, node: str, parent: str, priority: str
         )
 
     kinds = dict(df.dtypes)
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest > GROUP_NODES:
+        raise ValueError(f"a group of {largest} nodes; more than {GROUP_NODES} don't go into one task")
     return df.where(F.col(node).isNotNull() & F.col(group).isNotNull()).select(group, node, parent, priority).groupBy(group).applyInPandas(
         order, f"`{group}` {kinds[group]}, `{node}` {kinds[node]}, place long, cyclic boolean"
     )

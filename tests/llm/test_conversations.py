@@ -130,6 +130,13 @@ def test_reply_order_shows_cycles(spark):
     assert got == {1: (0, False), 3: (1, False), 2: (2, False), 4: (None, True), 5: (None, True), 6: (0, False)}
 
 
+def test_reply_order_refuses_groups_beyond_a_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "GROUP_NODES", 2)
+    df = spark.createDataFrame([("g", i, None, i) for i in range(3)], "grp string, id long, parent long, at long")
+    with pytest.raises(ValueError):
+        C.reply_order(df, "grp", "id", "parent", "at")
+
+
 @pytest.mark.parametrize("ts,ok", [("2025-01-01T00:00:00.123456789Z", True), ("2025-01-01 00:00:00Z", False), ("2025-01-01T00:00:00", False), ("2025-13-01T00:00:00Z", False), ("2025-01-01T23:59:60Z", True), ("2025-01-01T00:00:00+05:30", True), ("", False)])
 def test_stamps(spark, ts, ok):
     from pyspark.sql import functions as F
