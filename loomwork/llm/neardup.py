@@ -73,25 +73,22 @@ def class_pairs(reps: DataFrame, threshold: float = 0.7) -> DataFrame:
         )
     )
     rows = signed.select("class_id", "n", "band", "s0", "s1", "s2", "s3", F.posexplode("prefix").alias("at", "p")).where("p.df > 1")
-    rows = rows.withColumn("k", F.ceil(F.col("p.df") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("k")).cast("int"))
-    small = F.col("p.df") <= SMALL_TILE
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    side = ["class_id", "n", "at", "s0", "s1", "s2", "s3"]
     # the smaller set of a pair shares 2t / (1 + t) of its words, so a shorter prefix of it is enough
-    left = rows.where(F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)")).withColumn("other", all_blocks).select(
-        F.struct(
-            F.col("p.word").alias("w"), F.when(small, -9).otherwise(F.col("band")).alias("band"), F.col("block").alias("i"), F.col("other").alias("j")
-        ).alias("tile"),
-        *[F.col(c).alias(f"a_{c}") for c in side]
-    )
-    right = (
-        rows.withColumn("other", all_blocks)
-        .withColumn("tier", F.explode(F.when(small, F.array(F.lit(-9))).otherwise(F.array(F.col("band"), F.col("band") - 1))))
-        .select(
-            F.struct(F.col("p.word").alias("w"), F.col("tier").alias("band"), F.col("other").alias("i"), F.col("block").alias("j")).alias("tile"),
-            *[F.col(c).alias(f"b_{c}") for c in side]
-        )
-    )
+    rows = rows.select("*", F.col("p.word").alias("word"), F.expr(f"at <= n - ceil({2 * share!r} * n - 1e-9)").alias("head"))
+    # each side of a frequent word's tile is cut by how many records have the word in their prefix, which is far less than have the word
+    hot = F.col("p.df") > BLOCK
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    held = rows.where(hot).groupBy("word").agg(blocks(F.count_if("head")).alias("ka"), blocks(F.count("*")).alias("kb"))
+    rows = rows.where(~hot).select("*", F.lit(1).alias("ka"), F.lit(1).alias("kb")).unionByName(rows.where(hot).join(held, "word").select(*rows.columns, "ka", "kb"))
+    small = F.col("p.df") <= SMALL_TILE
+    block = lambda k: F.pmod(F.xxhash64("class_id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    # a tile's key is a hash: where two tiles share one, pairs are tested that would not have met, and no pair is lost
+    tile = lambda band, i, j: F.xxhash64("word", F.when(small, -9).otherwise(band), i, j).alias("tile")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("class_id", "n", "at", "s0", "s1", "s2", "s3")]
+    left = rows.where("head").select("*", every("kb").alias("j")).select(tile(F.col("band"), block("ka"), F.col("j")), *side("a"))
+    tiers = F.explode(F.when(small, F.array(F.lit(-9))).otherwise(F.array(F.col("band"), F.col("band") - 1))).alias("tier")
+    right = rows.select("*", every("ka").alias("i")).select("*", tiers).select(tile(F.col("tier"), F.col("i"), block("kb")), *side("b"))
     need = F.expr(f"ceil({share!r} * (a_n + b_n) - 1e-9)")
     a_only = sum((F.bit_count(F.col(f"a_s{k}").bitwiseAND(F.bitwise_not(f"b_s{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_s0").bitwiseAND(F.bitwise_not("b_s0"))))
     b_only = sum((F.bit_count(F.col(f"b_s{k}").bitwiseAND(F.bitwise_not(f"a_s{k}"))) for k in range(1, 4)), F.bit_count(F.col("b_s0").bitwiseAND(F.bitwise_not("a_s0"))))
