@@ -45,8 +45,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of both tables, its raw columns without credentials."""
-    log = credentials.redacted_log(table(spark, sf_dir, "log_entries"))
-    says = credentials.redacted_messages(table(spark, sf_dir, "messages"))
+    log = credentials.redacted_log(table(spark, sf_dir, "log_entries").select("entry_id", "message", "tool_use_result"))
+    says = credentials.redacted_messages(table(spark, sf_dir, "messages").select("message_id", "tools"))
     return log.select(F.lit("log_entries").alias("row_table"), F.col("entry_id").alias("row_id"), "message", "tool_use_result").unionByName(
         says.select(F.lit("messages").alias("row_table"), F.col("message_id").alias("row_id"), "tools"), allowMissingColumns=True
     )
@@ -99,7 +99,8 @@ def p3_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table: rows that redaction keeps, and credentials that are still found behind it."""
-    log, says = credentials.redacted_log(table(spark, sf_dir, "log_entries")), credentials.redacted_messages(table(spark, sf_dir, "messages"))
+    log = credentials.redacted_log(table(spark, sf_dir, "log_entries").select("entry_id", "message", "tool_use_result"))
+    says = credentials.redacted_messages(table(spark, sf_dir, "messages").select("message_id", "tools"))
     rows = log.agg(F.count("entry_id").alias("rows")).withColumn("row_table", F.lit("log_entries")).unionByName(
         says.agg(F.count("message_id").alias("rows")).withColumn("row_table", F.lit("messages"))
     )

@@ -627,15 +627,16 @@ def credentials(log_entries: DataFrame, messages: DataFrame) -> DataFrame:
     return log.mapInArrow(_log_batches, _DDL).unionByName(says.mapInArrow(_summary_batches, _DDL))
 
 
-def redacted(df: DataFrame, columns: list[str], how: Callable[[str | None], str | None] = redact) -> DataFrame:
+def redacted(df: DataFrame, columns: list[str] | dict[str, Callable[[str | None], str | None]]) -> DataFrame:
     """df with the credentials of the named text columns replaced by typed markers; other columns stay as they are.
 
-    how: redact for plain text, redact_message or redact_result for raw JSON."""
+    columns: names of columns of plain text, or by name how a column is redacted: redact, or redact_message or redact_result for raw JSON."""
+    ways = columns if isinstance(columns, dict) else dict.fromkeys(columns, redact)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            new = lambda c: pa.array([how(t) for t in c.to_pylist()], pa.string())
-            cols = [new(c) if name in columns else c for name, c in zip(batch.schema.names, batch.columns)]
+            new = lambda c, how: pa.array([how(t) for t in c.to_pylist()], pa.string())
+            cols = [new(c, ways[name]) if name in ways else c for name, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return df.mapInArrow(batches, df.schema)
@@ -643,7 +644,7 @@ def redacted(df: DataFrame, columns: list[str], how: Callable[[str | None], str
 
 def redacted_log(log_entries: DataFrame) -> DataFrame:
     """log_entries with redacted tool inputs (in message) and tool results; every row and column is there. No shuffle."""
-    return redacted(redacted(log_entries, ["message"], redact_message), ["tool_use_result"], redact_result)
+    return redacted(log_entries, {"message": redact_message, "tool_use_result": redact_result})
 
 
 def redacted_messages(messages: DataFrame) -> DataFrame:
